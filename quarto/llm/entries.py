@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tokenize", "split"]
+MODULES = ["tokenize", "split", "leaks", "quality"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
