@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tokenize", "split", "leaks", "quality", "boilerplate"]
+MODULES = ["tokenize", "split", "leaks", "quality", "boilerplate", "neighbours"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
