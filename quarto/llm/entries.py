@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tokenize", "split", "leaks", "quality", "boilerplate", "neighbours"]
+MODULES = ["tokenize", "split", "leaks", "quality", "boilerplate", "neighbours", "canonical"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
