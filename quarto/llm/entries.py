@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tokenize", "split", "leaks", "quality", "boilerplate", "neighbours", "canonical"]
+MODULES = ["tokenize", "split", "leaks", "quality", "boilerplate", "neighbours", "canonical", "names"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
