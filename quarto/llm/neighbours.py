@@ -3,7 +3,7 @@
 Unit vectors are centred and rotated by a rotation that is learned on a bounded
 sample so that the signs lose little (iterative quantisation); the signs are a
 binary code, cut into ``TABLES`` substrings. Each substring has an index. Two
-codes within a Hamming radius of ``TABLES * (probe + 1) - 1`` agree in at least
+such codes within a Hamming radius of ``TABLES * (probe + 1) - 1`` agree in at least
 one substring but for ``probe`` bits, so probing all substrings at that
 distance finds every such pair. Probing is local: an index is partitioned by
 the leading bits of its substring, and a point is sent to its own partition and
@@ -24,7 +24,8 @@ from quarto.session import ensure_checkpoint_dir, spread
 from quarto.sources.tables import read_table
 
 TABLES, BITS = 8, 16  # 8 substrings of 16 bits
-RADIUS = 38  # of 128 bits; cosine 0.85 differs in 23 bits on average, with a deviation of 4.3
+WORDS = 4  # 64-bit words of a code; the substrings are of the first two, the radius is of all
+RADIUS = 66  # of 256 bits; cosine 0.85 differs in 45 bits on average, with a deviation of 6.1
 #: Rows that the rotation is learned on.
 SAMPLE_ROWS, ROUNDS = 4096, 25
 #: Points of one partition of an index, and pairs that are compared in one step.
@@ -52,8 +53,14 @@ def learn_rotation(table: DataFrame, points: DataFrame, size: int, rows: int = S
     x = x - mean
     rng = np.random.default_rng(5)
     width = TABLES * BITS
+
+    def more(first: np.ndarray) -> np.ndarray:
+        """The further words' bits are signs behind a random rotation of the learned one."""
+        turns = [np.linalg.qr(rng.standard_normal((width, width)))[0] for _ in range(WORDS * 64 // width - 1)]
+        return np.concatenate([first, *(first @ q for q in turns)], 1)
+
     if len(x) < width:
-        return mean, np.linalg.qr(rng.standard_normal((max(size, width), max(size, width))))[0][:size, :width]
+        return mean, more(np.linalg.qr(rng.standard_normal((max(size, width), max(size, width))))[0][:size, :width])
     _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1][:, :width]
     if axes.shape[1] < width:
@@ -64,11 +71,11 @@ def learn_rotation(table: DataFrame, points: DataFrame, size: int, rows: int = S
         b = np.where(p @ r >= 0, 1.0, -1.0)
         u, _, vt = np.linalg.svd(b.T @ p)
         r = vt.T @ u.T
-    return mean, axes @ r
+    return mean, more(axes @ r)
 
 
 def encode(points: DataFrame, mean: np.ndarray, matrix: np.ndarray) -> DataFrame:
-    """(pid, vh, vg, c0, c1): the code as two 64-bit words, beside the vector's class."""
+    """(pid, vh, vg, c0, c1, ...): the code as 64-bit words, beside the vector's class."""
     shared = points.sparkSession.sparkContext.broadcast((mean.astype(np.float32), matrix.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,11 +87,12 @@ def encode(points: DataFrame, mean: np.ndarray, matrix: np.ndarray) -> DataFrame
             x = x / np.abs(x).max(1, keepdims=True)
             x = x / np.linalg.norm(x, axis=1, keepdims=True) - m
             bits = np.packbits(x @ r >= 0, axis=1).view(">u8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=["pid", "vh", "vg", "c0", "c1"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *(pa.array(bits[:, i].copy()) for i in range(WORDS))], names=["pid", "vh", "vg", *CODE])
 
-    return spread(points.select(F.xxhash64("id").alias("pid"), "v", *_class_key())).mapInArrow(run, "pid long, vh long, vg int, c0 long, c1 long")
+    return spread(points.select(F.xxhash64("id").alias("pid"), "v", *_class_key())).mapInArrow(run, "pid long, vh long, vg int, " + ", ".join(f"{c} long" for c in CODE))
 
 
+CODE = [f"c{i}" for i in range(WORDS)]
 _FLIPS = np.array([0] + [1 << i for i in range(BITS)], np.int64)
 
 
@@ -92,11 +100,11 @@ def _probe(lead: int, radius: int):
     """Pairs of one partition of one index: own points against points of own and neighbouring partitions."""
 
     def run(t: pa.Table) -> pa.Table:
-        pid, c0, c1, sub, home = (t[n].to_numpy() for n in ("pid", "c0", "c1", "sub", "home"))
+        pid, sub, home = (t[n].to_numpy() for n in ("pid", "sub", "home"))
         own = np.flatnonzero(home)
         order = own[np.argsort(sub[own], kind="stable")]
         keys = sub[order]
-        u0, u1 = c0.view(np.uint64), c1.view(np.uint64)
+        words = [t[c].to_numpy().view(np.uint64) for c in CODE]
         found: list[np.ndarray] = []
         low = _FLIPS[: 1 + BITS - lead]  # flips of the bits behind the leading ones
         for at in range(0, len(pid), 65_536):
@@ -117,7 +125,7 @@ def _probe(lead: int, radius: int):
                     s = src[lo : lo + STEP_PAIRS]
                     k = np.arange(lo, lo + len(s)) - (np.cumsum(m) - m)[s - start] + f[s - start]
                     a, b = q[s // len(low)], order[k]
-                    near = np.bitwise_count(u0[a] ^ u0[b]) + np.bitwise_count(u1[a] ^ u1[b]) <= radius
+                    near = sum(np.bitwise_count(u[a] ^ u[b]).astype(np.int16) for u in words) <= radius
                     a, b = pid[a[near]], pid[b[near]]
                     differ = a != b
                     a, b = a[differ], b[differ]
@@ -140,11 +148,11 @@ def candidate_pairs(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     words = [F.col("c0"), F.col("c1")]
     per_word = 64 // BITS
     subs = F.array(*[F.shiftrightunsigned(words[t // per_word], 64 - BITS * (t % per_word + 1)).bitwiseAND((1 << BITS) - 1) for t in range(TABLES)])
-    rows = codes.select("pid", "c0", "c1", F.posexplode(subs).alias("tbl", "sub0"))
+    rows = codes.select("pid", *CODE, F.posexplode(subs).alias("tbl", "sub0"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << (BITS - 1 - i)).cast("long") for i in range(lead)])
-    rows = rows.select("pid", "c0", "c1", "tbl", F.col("sub0"), F.posexplode(flips).alias("f", "flip"))
+    rows = rows.select("pid", *CODE, "tbl", F.col("sub0"), F.posexplode(flips).alias("f", "flip"))
     sub = F.col("sub0").bitwiseXOR(F.col("flip"))
-    rows = rows.select("pid", "c0", "c1", "tbl", sub.alias("sub"), (F.col("f") == 0).cast("int").alias("home"), F.shiftright(sub, BITS - lead).cast("int").alias("part"))
+    rows = rows.select("pid", *CODE, "tbl", sub.alias("sub"), (F.col("f") == 0).cast("int").alias("home"), F.shiftright(sub, BITS - lead).cast("int").alias("part"))
     return rows.groupBy("tbl", "part").applyInArrow(_probe(lead, radius), "a long, b long").distinct()
 
 
@@ -161,8 +169,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, min_score
     points = usable(df, key, vector, size)
     mean, matrix = learn_rotation(df, points, size)
     codes = encode(points, mean, matrix).distinct()
-    classes = codes.groupBy("vh", "vg", "c0", "c1").agg(F.min("pid").alias("head"), F.count("*").alias("n")).checkpoint()
-    pairs = candidate_pairs(classes.select(F.col("head").alias("pid"), "c0", "c1"), radius).checkpoint()
+    classes = codes.groupBy("vh", "vg", *CODE).agg(F.min("pid").alias("head"), F.count("*").alias("n")).checkpoint()
+    pairs = candidate_pairs(classes.select(F.col("head").alias("pid"), *CODE), radius).checkpoint()
     wanted = pairs.select(F.col("a").alias("head")).unionAll(pairs.select(F.col("b").alias("head"))).distinct()
     wanted = classes.join(wanted, "head", "left_semi").unionAll(classes.where("n > 1")).select("vh", "vg", "head", "n").distinct()
     # rows of the classes that take part; of an id with different vectors the largest
