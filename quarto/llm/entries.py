@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tokenize", "split", "leaks", "quality", "boilerplate", "neighbours", "canonical", "names"]
+MODULES = ["tokenize", "split", "leaks", "quality", "boilerplate", "neighbours", "canonical", "names", "scans"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
