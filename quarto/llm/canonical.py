@@ -35,10 +35,11 @@ _AFFIX = re.compile(r"^\s*(?:section\s*:|(?:www\.)(?=\S+\.\w+\s*$)|[A-Z]\d{1,2}\
 _SPACED = re.compile(r"^\s*(?:\S\s+){3,}\S\s*$")
 # Groups of letters that scanning confuses.
 CONFUSED = [("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("li", "h"), ("ri", "n"), ("in", "m"), ("ni", "m"), ("fi", "ti"), ("tl", "d"), ("ll", "u")]
-_NEAR = {frozenset(p) for p in (("c", "e"), ("f", "t"), ("l", "i"), ("q", "g"), ("h", "b"), ("u", "n"), ("a", "o"), ("i", "j"), ("l", "t"), ("v", "y"))}
+_NEAR = {q for p in (("c", "e"), ("f", "t"), ("l", "i"), ("q", "g"), ("h", "b"), ("u", "n"), ("a", "o"), ("i", "j"), ("l", "t"), ("v", "y")) for q in (p, p[::-1])}
 _LIKE = 0.3  # cost of a confusion; any other edit costs 1
 
 
+@lru_cache(maxsize=100_000)
 def words_of(value: str) -> list[tuple[str, bool]]:
     """(letters, abbreviated) of each word of a value, without decorations, articles and joining words."""
     text = unicodedata.normalize("NFKC", value)
@@ -56,28 +57,47 @@ def words_of(value: str) -> list[tuple[str, bool]]:
     return out
 
 
+_SWAPS: dict[tuple[str, str], list[tuple[str, str]]] = {}
+for _p, _q in CONFUSED:
+    for _u, _w in ((_p, _q), (_q, _p)):
+        _SWAPS.setdefault((_u[-1], _w[-1]), []).append((_u, _w))
+_FAR = 9.0
+
+
 @lru_cache(maxsize=200_000)
 def edit_cost(a: str, b: str) -> float:
-    """Edits between two words; swaps of neighbours cost 1, scanning confusions and unread characters ``_LIKE``."""
+    """Edits between two words; swaps of neighbours cost 1, scanning confusions and unread characters ``_LIKE``.
+
+    Worked out within a band of four diagonals to either side; ``_FAR`` and
+    more where the lengths differ by more than that.
+    """
+    if a == b:
+        return 0.0
     n, m = len(a), len(b)
-    d = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
+    if abs(n - m) > 4:
+        return _FAR + abs(n - m)
+    d = [[_FAR] * (m + 1) for _ in range(n + 1)]
+    for i in range(min(n, 4) + 1):
         d[i][0] = float(i)
-    for j in range(m + 1):
+    for j in range(min(m, 4) + 1):
         d[0][j] = float(j)
     for i in range(1, n + 1):
-        x = a[i - 1]
-        for j in range(1, m + 1):
+        x, above, row = a[i - 1], d[i - 1], d[i]
+        for j in range(max(1, i - 4), min(m, i + 4) + 1):
             y = b[j - 1]
-            s = 0.0 if x == y else _LIKE if x == "�" or y == "�" or frozenset((x, y)) in _NEAR else 1.0
-            v = min(d[i - 1][j - 1] + s, d[i - 1][j] + 1, d[i][j - 1] + 1)
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, d[i - 2][j - 2] + 1)
-            for p, q in CONFUSED:
-                for u, w in ((p, q), (q, p)):
-                    if a.endswith(u, 0, i) and b.endswith(w, 0, j):
-                        v = min(v, d[i - len(u)][j - len(w)] + _LIKE)
-            d[i][j] = v
+            if x == y:
+                v = above[j - 1]
+            else:
+                v = above[j - 1] + (_LIKE if x == "�" or y == "�" or (x, y) in _NEAR else 1.0)
+            w = (above[j] if above[j] < row[j - 1] else row[j - 1]) + 1.0
+            if w < v:
+                v = w
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and x != y:
+                v = min(v, d[i - 2][j - 2] + 1.0)
+            for u, w in _SWAPS.get((x, y), ()):
+                if a.endswith(u, 0, i) and b.endswith(w, 0, j):
+                    v = min(v, d[i - len(u)][j - len(w)] + _LIKE)
+            row[j] = v
     return d[n][m]
 
 
@@ -93,7 +113,7 @@ def _word_cost(value: str, abbreviated: bool, entry: str, tolerance: float) -> f
     if len(value) == 1:
         return 0.1 if abbreviated and entry[0] == value else None
     cost = edit_cost(value, entry)
-    if cost and value[0] != entry[0] and frozenset((value[0], entry[0])) not in _NEAR and value[0] != "�" and cost >= 2:
+    if cost and value[0] != entry[0] and (value[0], entry[0]) not in _NEAR and value[0] != "�" and cost >= 2:
         cost += 1  # names that begin otherwise are rather other names
     return cost / len(entry) if cost <= tolerance * len(entry) + 1e-9 else None
 
@@ -227,7 +247,8 @@ def map_to_list(records: DataFrame, entries: DataFrame, tolerance: dict[str, flo
             s = [agreement(y, z, tolerance[x]) for x, y, z in zip(f, v, e)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(s, pa.float64())], names=["field", "value", "entry", "jaccard", "score"])
 
-    scored = pairs.mapInArrow(run, "field string, value string, entry string, jaccard double, score double").where("score > 0")
+    slots = values.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be coalesced
+    scored = pairs.repartition(2 * slots, "field", "value").mapInArrow(run, "field string, value string, entry string, jaccard double, score double").where("score > 0")
     # the best two by the words' agreement; equal ones leave the value open
     top = scored.groupBy("field", "value").agg(F.max(F.struct("score", "jaccard", "entry")).alias("top"), F.slice(F.sort_array(F.collect_list("score"), False), 1, 2).alias("two"))
     clear = (F.size("two") < 2) | (F.col("two")[0] - F.try_element_at("two", F.lit(2)) > 0.015)
