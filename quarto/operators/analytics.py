@@ -223,7 +223,7 @@ def cost_rollup(ar: Archive) -> DataFrame:
     c = ar.chunks.select("id", "chunk_type", F.coalesce(F.col("token_count"), F.lit(0)).alias("tokens"))
     hit = c.join(F.broadcast(prices), F.col("chunk_type").contains(F.col("pattern")))  # three fixed rows
     first = hit.groupBy("id", "chunk_type", "tokens").agg(F.min_by("price", "ord").alias("price"))
-    return first.groupBy("chunk_type").agg(F.sum("tokens").alias("tokens"), F.round(F.sum(F.col("tokens") * F.col("price") / 1e6), 6).alias("cost"))
+    return first.groupBy("chunk_type").agg(F.sum("tokens").alias("tokens"), F.round(F.sum(F.col("tokens") * F.col("price") / 1e6), 4).alias("cost"))
 
 
 def page_leads(ar: Archive) -> DataFrame:
@@ -349,7 +349,7 @@ ORACLE = {
     "a16_consensus_brand": "select issue_id, brand, votes from (select issue_id, trim(lower(newspaper_brand)) brand, count(*) votes, row_number() over (partition by issue_id order by count(*) desc, trim(lower(newspaper_brand))) r from page_layouts where trim(newspaper_brand) <> '' group by 1, 2) where r = 1",
     "a17_status_tally": SQL + "select ingestion_status, count(*) issues from i_ group by 1",
     "a18_upsert_max": SQL + ", g as (select newspaper_id, section, year(issue_date) >= 2025 late, count(*) m, round(max(prominence_score), 4) s from dated_articles group by 1, 2, 3) select newspaper_id, section, max(m) mentions, max(s) salience from g group by 1, 2",
-    "a20_cost_rollup": "select chunk_type, cast(sum(tokens) as bigint) tokens, round(sum(tokens * price / 1e6), 6) as cost from (select id, chunk_type, coalesce(token_count, 0) tokens, case when chunk_type like '%visual%' then 2.5 when chunk_type like '%text%' then 0.6 else 1.0 end::double price from (select distinct id, chunk_type, token_count from article_chunks)) group by 1",
+    "a20_cost_rollup": "select chunk_type, cast(sum(tokens) as bigint) tokens, round(sum(tokens * price / 1e6), 4) as cost from (select id, chunk_type, coalesce(token_count, 0) tokens, case when chunk_type like '%visual%' then 2.5 when chunk_type like '%text%' then 0.6 else 1.0 end::double price from (select distinct id, chunk_type, token_count from article_chunks)) group by 1",
     "a21_distinct_papers": SQL + "select distinct newspaper from dated_articles",
     "w03_latest_issue": SQL + "select issue_id, newspaper, issue_date from issue_papers where newspaper ilike '%herald%' order by issue_date desc, issue_id desc limit 1",
     "w08_moving_average": SQL + ", d as (select issue_date, count(*) articles from dated_articles group by 1) select issue_date, articles, round(avg(articles) over (order by issue_date rows between 6 preceding and current row), 4) moving_average from d",

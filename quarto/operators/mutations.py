@@ -146,7 +146,7 @@ QUERIES = {
     "s07_backfill_dates": _q(backfill_dates),
     "s10_history": _q(lambda ar: history(ar.table("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("query"), F.lit('{"citations": [1, 2]}').alias("citations"), F.col("ts").alias("at")))),
     "s12_delete_issue": _q(lambda ar: delete_issue(ar, 58)["article_chunks"].select("id")),
-    "s13_purge_page": _q(lambda ar: purge_page(ar, 22, 15)),
+    "s13_purge_page": _q(lambda ar: purge_page(ar, 301, 12)),
     "s15_schema": lambda spark, root: schema_rows(spark, root, ["articles", "issues", "newspapers"]),
     "s18_rename_paper": _q(lambda ar: rename_paper(ar, "Ostelby Ledger", "Ostelby Post")),
     "s19_get_or_create": _q(lambda ar: get_or_create(ar.newspapers.select("id", "name"), ar.table("page_layouts").select(F.trim("newspaper_brand").alias("name")).where("name <> ''"), "name", "id")),
@@ -161,7 +161,7 @@ ORACLE = {
     "s07_backfill_dates": "select distinct id, cast(strftime(try_cast(json_extract_string(payload, '$.issue_date') as date), '%Y%m%d') as integer) issue_date_int from vector_points where try_cast(json_extract_string(payload, '$.issue_date') as date) is not null",
     "s10_history": "select event_id id, event_type query, cast(2 as integer) citations_count, ts as at from events order by ts desc, event_id desc limit 20",
     "s12_delete_issue": "select distinct id from article_chunks where article_id not in (select id from articles where issue_id = 58)",
-    "s13_purge_page": SQL + "select article_id, case when count(*) filter (page_number <> 15) > 0 then 'unmap' else 'delete' end action from story_pages where issue_id = 22 and article_id in (select article_id from story_pages where issue_id = 22 and page_number = 15) group by 1",
+    "s13_purge_page": SQL + "select article_id, case when count(*) filter (page_number <> 12) > 0 then 'unmap' else 'delete' end action from story_pages where issue_id = 301 and article_id in (select article_id from story_pages where issue_id = 301 and page_number = 12) group by 1",
     "s18_rename_paper": "select distinct id, case when n = 'Ostelby Ledger' then 'Ostelby Post' else n end newspaper_name from (select id, json_extract_string(payload, '$.newspaper_name') n from vector_points)",
     "s19_get_or_create": "with n as (select distinct trim(newspaper_brand) as name from page_layouts where trim(newspaper_brand) <> ''), m as (select name from n where name not in (select name from newspapers)) select id, name from newspapers union all select (select max(id) from newspapers) + row_number() over (order by name), name from m",
 }

@@ -208,7 +208,7 @@ def follow_up(text: str, before: QuerySpec | None, papers: list[str], sections:
 
 
 QUESTIONS = [
-    "How many articles did Ostelby Ledger publish between 2024-01-01 and 2024-12-31 on page 1?",
+    "How many articles did Ostelby Ledger publish between 2024-01-01 and 2024-12-31 on page 15?",
     "What stories in Ostelby Ledger are shared with Ostelby Herald on 15 February 2024?",
     "Which stories of Brackmoor Argus are not in Fellgate Dispatch?",
     "List the articles in Quernford Gazette in March 2024, pages 2 to 4",
@@ -242,6 +242,6 @@ def sandboxed(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {"q01_parsed_questions": parsed_questions, "q06_answered": answered, "q12_safe_sql": sandboxed}
 ORACLE = {
-    "q06_answered": A.SQL + "select count(distinct article_id) articles from stories where newspaper ilike '%ostelby ledger%' and issue_date between date '2024-01-01' and date '2024-12-31' and article_id in (select article_id from story_pages where page_number = 1)",
+    "q06_answered": A.SQL + "select count(distinct article_id) articles from stories where newspaper ilike '%ostelby ledger%' and issue_date between date '2024-01-01' and date '2024-12-31' and article_id in (select article_id from story_pages where page_number = 15)",
     "q12_safe_sql": "select article_type, count(distinct id) articles from articles group by 1",
 }
