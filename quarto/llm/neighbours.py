@@ -1,8 +1,8 @@
 """The most similar vectors of every vector, by multi-index hashing.
 
-Unit vectors are centred and rotated by a rotation that is learned on a bounded
-sample so that the signs lose little (iterative quantisation); the signs are a
-binary code, cut into ``TABLES`` substrings. Each substring has an index. Two
+Unit vectors are rotated by a rotation that is learned on a bounded sample so
+that the signs lose little (iterative quantisation, without centring, as angles
+count); the signs are a binary code, cut into ``TABLES`` substrings. Each substring has an index. Two
 such codes within a Hamming radius of ``TABLES * (probe + 1) - 1`` agree in at least
 one substring but for ``probe`` bits, so probing all substrings at that
 distance finds every such pair. Probing is local: an index is partitioned by
@@ -43,14 +43,12 @@ def _class_key() -> list[Column]:
     return [F.xxhash64("v").alias("vh"), F.hash("v").alias("vg")]
 
 
-def learn_rotation(table: DataFrame, points: DataFrame, size: int, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, matrix): ``sign((unit - mean) @ matrix)`` is the code. Learned on about ``rows`` points, taken by the hash of their id."""
+def learn_rotation(table: DataFrame, points: DataFrame, size: int, rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """The matrix of which ``sign(unit @ matrix)`` is the code. Learned on about ``rows`` points, taken by the hash of their id."""
     n = table.count()
     part = points.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(max(1, n // rows))) == 0).select("v").limit(2 * rows).toArrow()
     x = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-    mean = x.mean(0) if len(x) else np.zeros(size)
-    x = x - mean
     rng = np.random.default_rng(5)
     width = TABLES * BITS
 
@@ -60,7 +58,7 @@ def learn_rotation(table: DataFrame, points: DataFrame, size: int, rows: int = S
         return np.concatenate([first, *(first @ q for q in turns)], 1)
 
     if len(x) < width:
-        return mean, more(np.linalg.qr(rng.standard_normal((max(size, width), max(size, width))))[0][:size, :width])
+        return more(np.linalg.qr(rng.standard_normal((max(size, width), max(size, width))))[0][:size, :width])
     _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1][:, :width]
     if axes.shape[1] < width:
@@ -71,21 +69,21 @@ def learn_rotation(table: DataFrame, points: DataFrame, size: int, rows: int = S
         b = np.where(p @ r >= 0, 1.0, -1.0)
         u, _, vt = np.linalg.svd(b.T @ p)
         r = vt.T @ u.T
-    return mean, more(axes @ r)
+    return more(axes @ r)
 
 
-def encode(points: DataFrame, mean: np.ndarray, matrix: np.ndarray) -> DataFrame:
+def encode(points: DataFrame, matrix: np.ndarray) -> DataFrame:
     """(pid, vh, vg, c0, c1, ...): the code as 64-bit words, beside the vector's class."""
-    shared = points.sparkSession.sparkContext.broadcast((mean.astype(np.float32), matrix.astype(np.float32)))
+    shared = points.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, r = shared.value
+        r = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, len(m))
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, len(r))
             x = x / np.abs(x).max(1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True) - m
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
             bits = np.packbits(x @ r >= 0, axis=1).view(">u8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *(pa.array(bits[:, i].copy()) for i in range(WORDS))], names=["pid", "vh", "vg", *CODE])
 
@@ -167,8 +165,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, min_score
     """
     ensure_checkpoint_dir(df.sparkSession)
     points = usable(df, key, vector, size)
-    mean, matrix = learn_rotation(df, points, size)
-    codes = encode(points, mean, matrix).distinct()
+    codes = encode(points, learn_rotation(df, points, size)).distinct()
     classes = codes.groupBy("vh", "vg", *CODE).agg(F.min("pid").alias("head"), F.count("*").alias("n")).checkpoint()
     pairs = candidate_pairs(classes.select(F.col("head").alias("pid"), *CODE), radius).checkpoint()
     wanted = pairs.select(F.col("a").alias("head")).unionAll(pairs.select(F.col("b").alias("head"))).distinct()
