@@ -169,7 +169,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, min_score
     classes = codes.groupBy("vh", "vg", *CODE).agg(F.min("pid").alias("head"), F.count("*").alias("n")).checkpoint()
     pairs = candidate_pairs(classes.select(F.col("head").alias("pid"), *CODE), radius).checkpoint()
     wanted = pairs.select(F.col("a").alias("head")).unionAll(pairs.select(F.col("b").alias("head"))).distinct()
-    wanted = classes.join(wanted, "head", "left_semi").unionAll(classes.where("n > 1")).select("vh", "vg", "head", "n").distinct()
+    wanted = classes.join(wanted, "head", "left_semi").unionByName(classes.where("n > 1")).select("vh", "vg", "head", "n").distinct()
     # rows of the classes that take part; of an id with different vectors the largest
     rows = points.select("id", F.xxhash64("id").alias("pid"), "v", *_class_key()).join(wanted, ["vh", "vg"])
     rows = rows.groupBy("id").agg(F.max(F.struct("v", "head", "pid", "n")).alias("r")).select("id", "r.*").checkpoint()
