@@ -127,7 +127,8 @@ def agreement(value: str, entry: str, tolerance: float) -> float:
     joined, full = "".join(w for w, _ in got), ["".join(want), "".join(reversed(want)), "and".join(want), "the" + "".join(want)]
     if len(got) == 1 or len(joined) > 6:
         for i, f in enumerate(full):
-            c = edit_cost(joined, f) / len(f)
+            c = edit_cost(joined, f)
+            c = (c + (c >= 2 and joined[0] != f[0] and (joined[0], f[0]) not in _NEAR)) / len(f)
             if c <= min(tolerance, 0.17):
                 best = max(best, 1 - c - 0.005 * i)
     if len(got) == 1 and len(want) > 1 and not got[0][1]:
@@ -139,7 +140,7 @@ def agreement(value: str, entry: str, tolerance: float) -> float:
         c = _word_cost(got[1][0], False, want[0], tolerance)
         if c is not None:
             best = max(best, 0.85 - c)
-    if len(want) > 1 and len(got) >= len(want):
+    if len(want) > 1 and len(want) <= len(got) <= len(want) + 2:
         for pick in permutations(range(len(got)), len(want)):
             rest = [got[i][0] for i in range(len(got)) if i not in pick]
             if any(len(r) > 4 or min(edit_cost(r, s) for s in ("the", "and")) > 2 for r in rest):

@@ -54,7 +54,7 @@ def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS
         "sentence": np.array([i + 1 for i, g in enumerate(gaps) if _SENTENCE.search(text, max(starts[i], ends[i] - 8), ends[i])], int),
     }
     words_before = np.concatenate([[0], np.cumsum(~np.array(broken))])
-    out, at = [], 0
+    out, at, reached = [], 0, 0
     while True:
         # last end under both limits: prefix sums of words, then of characters
         by_words = int(np.searchsorted(words_before, words_before[at] + max_words, "right")) - 1
@@ -63,17 +63,20 @@ def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS
         if end >= n:
             out.append((int(s[at]), int(e[n - 1]), n - at, "end"))
             return out
-        least = at + max(1, (end - at) // 2, (out and overlap + 1) or 1)  # a boundary in the first half would make tiny pieces
+        least = max(at + max(1, (end - at) // 2), reached + 1)  # a boundary in the first half would make tiny pieces
         for kind, places in kinds.items():
             k = int(np.searchsorted(places, end, "right")) - 1
-            if k >= 0 and places[k] >= min(least, end):
+            if k >= 0 and places[k] >= least:
                 end, cut = int(places[k]), kind
                 break
         out.append((int(s[at]), int(e[end - 1]), end - at, cut))
         back = end
         while back > at + 1 and end - back < overlap and not broken[back - 1]:
             back -= 1
-        at = back
+        # the next piece must get beyond this one
+        while back < end and (e[end] - s[back] > max_chars or words_before[end + 1] - words_before[back] > max_words):
+            back += 1
+        at, reached = back, end
 
 
 def split_oversized(df: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, only_oversized: bool = True) -> DataFrame:
