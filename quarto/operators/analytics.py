@@ -311,8 +311,8 @@ QUERIES = {
     "l07_balanced_budget": _q(balanced_budget),
     "v00_set_operations": _q(shared_sections),
     "x_cube": _q(grouping_extras),
-    "p04_exact_date": _q(lambda ar: apply_filters(ar.issue_papers, _DAY).select("issue_id", "newspaper")),
-    "p05_iso_dates": _q(date_forms),
+    "f04_exact_date": _q(lambda ar: apply_filters(ar.issue_papers, _DAY).select("issue_id", "newspaper")),
+    "f05_iso_dates": _q(date_forms),
 }
 
 _F_SQL = "newspaper ilike '%ostelby%' and issue_date between date '2024-01-01' and date '2024-12-31'"
@@ -358,8 +358,8 @@ ORACLE = {
     "l07_balanced_budget": SQL + "select newspaper_id, article_id, cast(turn as integer) turn from (select *, row_number() over (partition by newspaper_id order by prominence_score desc, article_id) turn from dated_articles where newspaper_id in (select newspaper_id from n_ order by 1 limit 4)) where turn <= 8 order by turn, newspaper_id limit 64",
     "v00_set_operations": SQL + ", s as (select year(issue_date) y, section from dated_articles where section is not null), a as (select section from s where y = 2024), b as (select section from s where y = 2025) select 'both' op, section from (select * from a intersect select * from b) union all select 'first', section from (select * from a except select * from b) union all select 'either', section from (select * from a union select * from b)",
     "x_cube": SQL + "select year, article_type, cast(grouping(year, article_type) as bigint) as level, count(*) articles from (select cast(year(issue_date) as integer) as year, article_type from dated_articles) group by cube (year, article_type)",
-    "p04_exact_date": SQL + "select issue_id, newspaper from issue_papers where issue_date = date '2024-02-15'",
-    "p05_iso_dates": r"""select layout_id, case
+    "f04_exact_date": SQL + "select issue_id, newspaper from issue_papers where issue_date = date '2024-02-15'",
+    "f05_iso_dates": r"""select layout_id, case
         when regexp_matches(issue_date, '^\d{4}-\d{1,2}-\d{1,2}$') then printf('%s-%02d-%02d', split_part(issue_date, '-', 1), cast(split_part(issue_date, '-', 2) as integer), cast(split_part(issue_date, '-', 3) as integer))
         when regexp_matches(issue_date, '^\d{1,2}[/-]\d{1,2}[/-]\d{4}$') then (select printf('%s-%02d-%02d', p[3], case when b > 12 and a <= 12 then a else b end, case when b > 12 and a <= 12 then b else a end) from (select regexp_split_to_array(issue_date, '[/-]') p, cast(p[1] as integer) a, cast(p[2] as integer) b))
         else issue_date end iso_date from page_layouts""",

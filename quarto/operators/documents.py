@@ -140,6 +140,22 @@ _EVERY = "(?i)(?:" + "|".join(_body(p) for p in [T.AD_HEADER, *T.AD_CATEGORIES])
 _count = lambda p: f"len(regexp_extract_all(t, '{_d(p)}'))"
 _ADS = SQL + ", z as (select article_id, trim(regexp_replace(coalesce(full_text, ''), '\\s+', ' ', 'g')) t from a_)"
 
+
+def _categories_sql() -> str:
+    hit = lambda c, k, w: f"case when regexp_matches({c}, '\\b{k}\\b') then {w} else 0 end"
+    raw = {c: " + ".join(f"{hit('h', k, 3)} + {hit('b', k, 1)}" for k in ks) for c, ks in TAXONOMY.items()}
+    has = {n: "regexp_matches(h || chr(10) || b, '\\b(?:" + "|".join(ks) + ")\\b')" for n, ks in ANCHORS.items()}
+    final = {c: f"({r})::double" for c, r in raw.items()}
+    final["Sports"] = f"case when ({has['business']} or {has['politics']}) and not {has['sports']} then ({raw['Sports']}) * 0.15::double else ({raw['Sports']})::double end"
+    final["Business & Markets"] = f"(({raw['Business & Markets']}) + case when {has['business']} then 4 else 0 end)::double"
+    final["Politics"] = f"(({raw['Politics']}) + case when {has['politics']} then 4 else 0 end)::double"
+    scores = " union all ".join(f"select article_id, {i} ord, '{c}' category, {e} s from x" for i, (c, e) in enumerate(final.items()))
+    return f"""{SQL}, x as (select article_id, lower(coalesce(headline, '')) h, lower(substr(coalesce(full_text, ''), 1, 1500)) b from a_), sc as ({scores}),
+        r as (select *, row_number() over (partition by article_id order by s desc, ord) r, max(s) over (partition by article_id) top from sc)
+        select article_id, case when max(top) > 0 then max(case when r = 1 then category end) else 'Local/Metro' end category, case when max(top) > 0 then least(0.98, greatest(0.6, round(0.6::double + max(top) / 15.0::double * 0.38::double, 2))) else 0.63 end::double confidence,
+        coalesce(string_agg(category, ', ' order by r) filter (r > 1 and s >= 3 and s >= top * 0.4::double), '') "secondary" from r group by 1"""
+
+
 ORACLE = {
     "t01_tokens": SQL + f"select article_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(headline, '')), '[a-z0-9]+'), lambda w: length(w) >= 3 and not list_contains({_STOP}, w)))), ' '), '') tokens from a_",
     "t02_numeric_anchors": SQL + r"select article_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(full_text, '')), '\b(?:\d+[.,]?\d*(?:%|k|cr|crore|lakh|bn|m)?)\b'), lambda w: length(w) >= 2))), ' '), '') anchors from a_",
@@ -158,4 +174,12 @@ ORACLE = {
         from (select *, len(list_filter(regexp_split_to_array(coalesce(body_text, ''), '\s+'), lambda x: x <> '')) w from stories)""",
     "t29_cache_keys": SQL + r"select article_id, sha256(concat_ws('|', trim(regexp_replace(lower(coalesce(headline, '')), '\s+', ' ', 'g')), lower(trim(coalesce(section, ''))), lower(trim(coalesce(lang, ''))))) as key from a_",
     "t30_slugs": r"select id, regexp_replace(lower(trim(regexp_replace(name, '[^\p{L}\p{M}\p{N}_\s-]', '', 'g'))), '[-\s]+', '_', 'g') slug from newspapers",
+    "t22_section_categories": SQL + ", s as (select article_id, lower(trim(section)) s from a_) select article_id, coalesce(" + ", ".join(f"case when s = '{a}' then '{c}' end" for a, c in ALIASES) + ", " + ", ".join(f"case when s <> '' and (contains(s, '{a}') or contains('{a}', s)) then '{c}' end" for a, c in ALIASES)
+    + ") category, coalesce(" + ", ".join(f"case when s = '{a}' then 0.95 end" for a, _ in ALIASES) + ", " + ", ".join(f"case when s <> '' and (contains(s, '{a}') or contains('{a}', s)) then 0.9 end" for a, _ in ALIASES) + ", 0)::double confidence from s",
+    "t32_visual_chunks": r"select id, coalesce(header_context, '') || chr(10) || chr(10) || '[Visual Data Asset: Price Chart]' || chr(10) || chr(10) || trim(raw_text) as text from (select distinct id, header_context, raw_text from article_chunks where chunk_type = 'visual')",
+    "t20_categories": _categories_sql(),
+    "k25_continuations": SQL + r""", w as (select article_id, issue_id, page_number, continues_to_page, list_filter(list_distinct(regexp_extract_all(lower(coalesce(nullif(trim(regexp_replace(headline, '(?i)[.…]+\s*(?:from\s+page\s+\d+|cont[''’]?d?|continued\s+from\s+p(?:age)?\s*\d*).*$', '')), ''), headline)), '[a-z0-9_]+')), lambda x: not list_contains(__WORDS__, x)) t from stories),
+        p as (select a.article_id, b.article_id other_id, a.t x, b.t y from w a join w b on a.issue_id = b.issue_id and a.continues_to_page = b.page_number and a.article_id <> b.article_id)
+        select article_id, other_id, case when len(x) > 0 and len(y) > 0 then round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) else 0 end::double jaccard, case when len(x) > 0 and len(y) > 0 then round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) else 0 end::double containment,
+        cast(case when len(x) > 0 and len(y) > 0 then len(list_filter(list_intersect(x, y), lambda v: length(v) >= 4)) else 0 end as integer) shared from p""".replace("\\\\", "\\").replace("__WORDS__", "[" + ", ".join(f"'{w}'" for w in T.CONTINUATION_WORDS) + "]"),
 }

@@ -296,6 +296,13 @@ rrf as (select query_id, article_id, round(sum(s), 6) rrf_score, cast(min(v) as
 _TRUTH = ", truth as (select distinct lower(query_id) query_id, lower(id) id from vector_hits where score >= 0.5 and lower(query_id) in (select query_id from q_))"
 
 ORACLE = {
+    "r02_clean_query": SQL + r""", x as (select article_id, 'Tell me about the story ' || coalesce(headline, '') || ' on page 3 dated 2024-05-01?' c from a_),
+        y as (select *, trim(regexp_extract(c, '["“'']([^"”'']{8,150})["”'']', 1)) qt, regexp_replace(regexp_replace(regexp_replace(c, '(?i)\b(?:explain|summari[sz]e|tell\s+me\s+about|what\s+happened|article|story|headline|newspaper|broadsheet|edition|dated?|published\s+on|page\s*\d+|pg\s*\d+|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})\b', ' ', 'g'), '\s+', ' ', 'g'), '^[ ?.!,''"“”]+|[ ?.!,''"“”]+$', '', 'g') p from x)
+        select article_id, case when qt <> '' then qt when length(p) >= 2 then p else trim(c) end query from y""".replace("\\\\", "\\"),
+    "e06_faithfulness": SQL + r""", c as (select distinct id, article_id, chunk_index, coalesce(raw_text, '') t from article_chunks), k as (select article_id, lower(string_agg(t, ' ' order by chunk_index, id)) ctx from c group by 1),
+        s as (select article_id, ctx, full_text, list_filter(list_transform(regexp_split_to_array(full_text, '[.!?\n]+'), lambda x: trim(x)), lambda x: length(x) > 10) s from a_ join k using (article_id)),
+        w as (select *, list_transform(s, lambda x: list_filter(regexp_extract_all(lower(x), '[a-zA-Z0-9_-]{4,}'), lambda y: y not in ('that', 'with', 'this', 'from', 'were', 'have', 'been', 'their', 'which'))) w from s)
+        select article_id as key, round(case when trim(coalesce(full_text, '')) = '' or ctx = '' then 0 when len(w) = 0 then 1 else len(list_filter(w, lambda ws: len(ws) = 0 or len(list_filter(ws, lambda y: contains(ctx, y))) >= 0.5 * len(ws))) / len(w) end, 6) faithfulness from w""".replace("\\\\", "\\"),
     "r01_dense_search": _Q + 'select query_id, id, score, cast("rank" as integer) as "rank" from dense_ where "rank" <= 10',
     "r03_bm25": _BM + 'select query_id, article_id, score, cast("rank" as integer) as "rank" from kw where "rank" <= 30',
     "r05_rrf": _RRF + "select * from rrf",

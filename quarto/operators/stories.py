@@ -301,8 +301,8 @@ QUERIES = {
     "j12_cooccurrence": _q(lambda ar: cooccurrence(mentions(ar))),
     "j14_two_hop": _q(two_hop, ["market", "price"]),
     "j19_missing_papers": _q(missing_papers, "2024-02-15"),
-    "p06_compatible_papers": _q(compatible_papers),
-    "p10_category_filter": _q(lambda ar: category_filter(ar.dated_articles, "prices", {"prices": "Markets & Prices"}, _KEYS).select("article_id")),
+    "f06_compatible_papers": _q(compatible_papers),
+    "f10_category_filter": _q(lambda ar: category_filter(ar.dated_articles, "prices", {"prices": "Markets & Prices"}, _KEYS).select("article_id")),
     "q07_relaxed": _q(lambda ar: relaxed(ar.dated_articles.where("section = 'no such section'").select("article_id"), ar.dated_articles.where("section = 'Farm & Weather'").select("article_id"))),
     "r10_entity_search": _q(entity_search, ["the", "was"]),
     "r11_headline_lookup": _q(lambda ar: headline_lookup(ar, ar.articles.where("length(headline) > 20").select(F.lower(F.substring("headline", 1, 30)).alias("headline")))),
@@ -356,8 +356,8 @@ ORACLE = {
     "j14_two_hop": _M + """, ro as (select article_id, issue_date from dated_articles where headline ilike '%market%' or headline ilike '%price%'), fo as (select name from m_ join ro using (article_id) where salience >= 0.5 group by 1 order by max(salience) desc, name limit 8)
         select article_id, issue_date, newspaper from dated_articles where article_id in (select article_id from m_ where salience >= 0.4 and name in (select name from fo)) and article_id not in (select article_id from ro) and issue_date between (select min(issue_date) from ro) and (select max(issue_date) from ro) order by issue_date, article_id limit 20""",
     "j19_missing_papers": SQL + "select newspaper_id id, newspaper as name from n_ where newspaper not in (select newspaper from issue_papers where issue_date = date '2024-02-15')",
-    "p06_compatible_papers": "select brand, min(id) newspaper_id from (select distinct lower(trim(newspaper_brand)) brand from page_layouts where trim(newspaper_brand) <> '') b, newspapers n where contains(brand, lower(n.name)) or contains(lower(n.name), brand) group by 1",
-    "p10_category_filter": SQL + r"select article_id from dated_articles where coalesce(section, '') ilike '%Markets & Prices%' or regexp_matches(lower(coalesce(headline, '')), '\b(?:market|price|trade)\b')",
+    "f06_compatible_papers": "select brand, min(id) newspaper_id from (select distinct lower(trim(newspaper_brand)) brand from page_layouts where trim(newspaper_brand) <> '') b, newspapers n where contains(brand, lower(n.name)) or contains(lower(n.name), brand) group by 1",
+    "f10_category_filter": SQL + r"select article_id from dated_articles where coalesce(section, '') ilike '%Markets & Prices%' or regexp_matches(lower(coalesce(headline, '')), '\b(?:market|price|trade)\b')",
     "q07_relaxed": SQL + "select article_id from dated_articles where section = 'Farm & Weather'",
     "r10_entity_search": _M + ", h as (select * from m_ join (select article_id, newspaper, issue_date from dated_articles) d using (article_id) where name ilike '%the%' or name ilike '%was%' order by salience desc, mention_count desc, article_id, name limit 20), r2 as (select *, row_number() over (partition by article_id order by salience desc, mention_count desc, name) k from h) select article_id, name, salience, mention_count, newspaper, issue_date from r2 where k = 1",
     "r11_headline_lookup": SQL + ", w as (select distinct lower(substr(headline, 1, 30)) headline from a_ where length(headline) > 20), ex as (select w.headline, min(article_id) article_id from w join a_ on lower(a_.headline) = lower(w.headline) group by 1) select * from ex union all select w.headline, min(article_id) from w join a_ on contains(lower(a_.headline), substr(lower(w.headline), 1, 40)) where w.headline not in (select headline from ex) group by 1",
