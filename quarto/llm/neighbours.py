@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarto.operators.retrieval import dense_search
 from quarto.session import ensure_checkpoint_dir, spread
 from quarto.sources.tables import read_table
 
@@ -204,4 +205,14 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return p1_neighbours(spark, root).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
+def p1_recall(spark: SparkSession, root: str) -> DataFrame:
+    """(queries, expected, found, recall): the operator against exact search for every hundredth id by its hash, against all points."""
+    v = read_table(spark, root, "vector_points").dropDuplicates(["id"])
+    q = usable(v, "id", "vector", 128).where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0).select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    exact = dense_search(q, usable(v, "id", "vector", 128).withColumnRenamed("v", "vector"), 10, 0.85)
+    mine = p1_neighbours(spark, root).select(F.col("id").alias("query_id"), F.col("neighbour").alias("id"), F.lit(1).alias("hit"))
+    g = exact.join(mine, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("expected"), F.count("hit").alias("found"))
+    return g.withColumn("recall", F.when(F.col("expected") > 0, F.round(F.col("found") / F.col("expected"), 4)).otherwise(1.0))
+
+
+QUERIES = {"p1_recall": p1_recall, "p1_found": p1_found, "p1_neighbours": p1_neighbours}
