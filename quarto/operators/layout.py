@@ -95,6 +95,112 @@ def segments(ar: Archive) -> DataFrame:
     return s.groupBy("layout_id", "segment").agg(text(True, " ").alias("headline"), text(False, "\n\n").alias("body"), F.count("*").alias("items"), box.alias("bbox"))
 
 
+def _box_union(a: list[float], b: list[float]) -> list[float]:
+    return [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
+
+
+def merge_headlines(items: list[dict], width: float = PAGE_W) -> list[dict]:
+    """K4: slices of one headline joined: same band (half their height in common), heights within 15 %, gap of 3.5 % of the page at most.
+
+    One pass from left to right within each band; the union keeps the least id
+    and the members.
+    """
+    heads = sorted((i for i in items if i["label"] in HEADS), key=lambda i: (i["box"][1], i["box"][0], i["item_id"]))
+    out: list[dict] = []
+    for h in sorted(heads, key=lambda i: (i["box"][0], i["item_id"])):
+        tall = h["box"][3] - h["box"][1]
+        for o in out:
+            t = o["box"][3] - o["box"][1]
+            band = min(o["box"][3], h["box"][3]) - max(o["box"][1], h["box"][1])
+            if band >= 0.5 * min(t, tall) and abs(t - tall) <= 0.15 * max(t, tall) and -0.01 * width <= h["box"][0] - o["box"][2] <= 0.035 * width:
+                o["box"], o["text"] = _box_union(o["box"], h["box"]), f"{o['text']} {h['text']}".strip()
+                o["members"].append(h["item_id"])
+                break
+        else:
+            out.append({**h, "text": h["text"] or "", "members": [h["item_id"]]})
+    return out
+
+
+def attach_drop_caps(items: list[dict], look: int = 4) -> list[dict]:
+    """A block of one capital goes to the front of the first of the next ``look`` blocks that lies right of it at its height and starts in lower case."""
+    rows = sorted(items, key=lambda i: (i["box"][1], i["box"][0], i["item_id"]))
+    taken: set[int] = set()
+    for k, c in enumerate(rows):
+        letter = (c["text"] or "").strip()
+        if len(letter) != 1 or not letter.isupper():
+            continue
+        for t in rows[k + 1 : k + 1 + look]:
+            body = (t["text"] or "").lstrip()
+            level = min(c["box"][3], t["box"][3]) - max(c["box"][1], t["box"][1])
+            if t["item_id"] not in taken and len(body) > 1 and body[0].islower() and level > 0 and -5 <= t["box"][0] - c["box"][2] <= 60:
+                t["text"], t["box"] = letter + body, _box_union(c["box"], t["box"])
+                taken.add(c["item_id"])
+                break
+    return [r for r in rows if r["item_id"] not in taken]
+
+
+def consolidate(items: list[dict], height: float = PAGE_H) -> list[dict]:
+    """K5: text blocks of one column joined from top to bottom while the gap is 1.5 % of the page at most; a headline between them parts them."""
+    items = attach_drop_caps([dict(i) for i in items])
+    heads = [i for i in items if i["label"] in HEADS]
+    out: list[dict] = []
+    for lane in _lanes([i for i in items if i["label"] not in HEADS], 90.0):
+        for it in lane:
+            last = out[-1] if out and out[-1].get("lane") is lane else None
+            if last is not None:
+                gap = it["box"][1] - last["box"][3]
+                between = any(last["box"][3] <= h["box"][1] <= it["box"][1] and min(h["box"][2], it["box"][2]) > max(h["box"][0], it["box"][0]) for h in heads)
+                if last["label"] == it["label"] and -0.02 * height <= gap <= 0.015 * height and not between:
+                    last["text"] = f"{last['text']}\n{it['text'] or ''}".strip()
+                    last["box"] = _box_union(last["box"], it["box"])
+                    last["members"].append(it["item_id"])
+                    continue
+            out.append({**it, "text": it["text"] or "", "lane": lane, "members": [it["item_id"]]})
+    return out
+
+
+def table_from_words(words: list[dict]) -> tuple[str, dict[str, str]]:
+    """(Markdown table, first column to last number) of word boxes: rows by vertical centre, cells where the gap exceeds a word height."""
+    if not words:
+        return "", {}
+    tall = sorted(w["box"][3] - w["box"][1] for w in words)[len(words) // 2] or 1.0
+    rows: list[list[dict]] = []
+    for w in sorted(words, key=lambda w: (w["box"][1] + w["box"][3], w["box"][0])):
+        mid = (w["box"][1] + w["box"][3]) / 2
+        if rows and abs(mid - sum(x["box"][1] + x["box"][3] for x in rows[-1]) / 2 / len(rows[-1])) <= 0.6 * tall:
+            rows[-1].append(w)
+        else:
+            rows.append([w])
+    table: list[list[str]] = []
+    for row in rows:
+        cells: list[str] = []
+        edge = None
+        for w in sorted(row, key=lambda w: w["box"][0]):
+            if edge is None or w["box"][0] - edge > 1.2 * tall:
+                cells.append(w["text"])
+            else:
+                cells[-1] += " " + w["text"]
+            edge = w["box"][2]
+        table.append(cells)
+    wide = max(map(len, table))
+    table = [r + [""] * (wide - len(r)) for r in table]
+    lines = ["| " + " | ".join(r) + " |" for r in table]
+    lines.insert(1, "|" + "---|" * wide)
+    number = re.compile(r"[-+]?\d[\d.,]*%?$")
+    metrics = {r[0]: next(c for c in reversed(r) if number.match(c)) for r in table if r[0] and any(number.match(c) for c in r[1:])}
+    return "\n".join(lines), metrics
+
+
+def _page_blocks(ar: Archive, machine) -> DataFrame:
+    def page(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = [{"item_id": int(i), "label": lab, "text": t, "box": list(b)} for i, lab, t, b in zip(pdf.item_id, pdf.label, pdf.text, pdf.bbox)]
+        out = machine(items)
+        objects = lambda xs: pd.Series(xs, dtype=object)
+        return pd.DataFrame({"layout_id": pd.Series([int(pdf.layout_id.iloc[0])] * len(out), dtype="int64"), "item_id": pd.Series([min(o["members"]) for o in out], dtype="int64"), "members": objects([sorted(o["members"]) for o in out]), "text": objects([o["text"] for o in out]), "bbox": objects([o["box"] for o in out])})
+
+    return page_items(ar).select("layout_id", "item_id", "label", "text", "bbox").groupBy("layout_id").applyInPandas(page, "layout_id long, item_id long, members array<long>, text string, bbox array<double>")
+
+
 _BULLET = re.compile(r"(?m)^(?=\s*(?:[•▪■►]|\d{1,2}[.)]\s|[A-Z][A-Z .]{2,20}:\s))")
 
 
@@ -269,6 +375,8 @@ QUERIES = {
     "b02_visual_triage": _q(visual_triage),
     "b04_number_agreement": _q(number_agreement),
     "j16_photo_bindings": _q(photo_bindings),
+    "k04_merged_headlines": _q(lambda ar: _page_blocks(ar, merge_headlines)),
+    "k05_consolidated_blocks": _q(lambda ar: _page_blocks(ar, consolidate)),
     "k06_reading_order": _q(ordered_items),
     "k07_segments": _q(segments),
     "k12_stitched_stories": _q(stitched_stories),

@@ -360,3 +360,24 @@ def test_stream_ingest(spark, tmp_path):
     for i in range(2):
         E.ingest(E.event_stream(spark, root), str(tmp_path / "out"), str(tmp_path / f"cp{i}"), "event_type")
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{root}/events.parquet").count()
+
+
+def test_headline_slices_and_drop_caps():
+    it = lambda i, label, text, x, y, w=200, h=50: {"item_id": i, "label": label, "text": text, "box": [x, y, x + w, y + h]}
+    heads = layout.merge_headlines([it(2, "title", "WALL", 320, 105), it(1, "title", "HARBOUR", 100, 100), it(3, "title", "OTHER", 1200, 100), it(4, "text", "x", 0, 0)])
+    assert sorted((h["text"], h["members"]) for h in heads) == [("HARBOUR WALL", [1, 2]), ("OTHER", [3])]
+    blocks = layout.consolidate([it(1, "text", "T", 100, 100, 40, 60), it(2, "text", "he first", 150, 105), it(3, "text", "goes on", 150, 170), it(4, "title", "NEW", 100, 240), it(5, "text", "other", 150, 300), it(6, "text", None, 1500, 100)])
+    assert sorted(b["text"] for b in blocks) == ["", "The first\ngoes on", "other"]
+
+
+def test_table_from_words():
+    w = lambda t, x, y: {"text": t, "box": [x, y, x + 8 * len(t), y + 12]}
+    md, metrics = layout.table_from_words([w("Price", 200, 0), w("Item", 0, 1), w("Fresh", 0, 30), w("cod", 48, 31), w("4.50", 200, 29)])
+    assert md == "| Item | Price |\n|---|---|\n| Fresh cod | 4.50 |" and metrics == {"Fresh cod": "4.50"}
+    assert layout.table_from_words([]) == ("", {})
+
+
+def test_nulls_everywhere(spark):
+    d = frame(spark, [(None, None)], "a string, b string")
+    for c in (text.substantive_tokens(F.col("a")), text.numeric_anchors(F.col("a")), text.repair_ligatures(F.col("a")), text.sanitize_block(F.col("a")), text.is_ad(F.col("a")), text.summary(F.col("a"), F.col("b")), text.is_gibberish(F.col("a")), text.clean_headline(F.col("a"), F.col("b"), F.col("b"))):
+        d.select(c.alias("x")).collect()
