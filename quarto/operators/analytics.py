@@ -23,7 +23,7 @@ def availability(ar: Archive) -> DataFrame:
 def topic_distribution(ar: Archive, newspaper_id: int | None = None) -> DataFrame:
     """A3: articles and mean prominence per section and type; a missing section is labelled after grouping, so it stays apart from a real one of that name."""
     rows = apply_filters(ar.dated_articles, Filters(newspaper_id=newspaper_id))
-    g = rows.groupBy("section", "article_type").agg(F.count("*").alias("articles"), F.round(F.avg("prominence_score"), 3).alias("avg_prominence"))
+    g = rows.groupBy("section", "article_type").agg(F.count("*").alias("articles"), F.round(F.avg("prominence_score") + 1e-9, 3).alias("avg_prominence"))
     return g.select(label("section", "General").alias("section"), "article_type", "articles", "avg_prominence")
 
 
@@ -186,7 +186,7 @@ def section_trend(ar: Archive, period: str = "month") -> DataFrame:
     """A2 with the period applied: articles, words and mean prominence per period and section."""
     t = F.date_format(F.date_trunc(period, "issue_date"), "yyyy-MM-dd")
     g = ar.dated_articles.groupBy(t.alias("period"), label("section", "General").alias("section"))
-    return g.agg(F.count("*").alias("articles"), F.sum("word_count").alias("words"), F.round(F.avg("prominence_score"), 3).alias("avg_prominence"))
+    return g.agg(F.count("*").alias("articles"), F.sum("word_count").alias("words"), F.round(F.avg("prominence_score") + 1e-9, 3).alias("avg_prominence"))
 
 
 def consensus_brand(ar: Archive) -> DataFrame:
@@ -323,8 +323,8 @@ m as (select issue_id, article_id, page_number, coalesce(nullif(headline, ''), '
 
 ORACLE = {
     "a01_availability": SQL + "select issue_date, string_agg(distinct newspaper, ', ' order by newspaper) papers, count(distinct newspaper) n_papers from issue_papers where ingestion_status in ('completed','indexed','ready') group by 1",
-    "a02_section_trend": SQL + f"select strftime(date_trunc('month', issue_date), '%Y-%m-%d') period, {_GENERAL} section, count(*) articles, cast(sum(word_count) as bigint) words, round(avg(prominence_score), 3) avg_prominence from dated_articles group by 1, 2",
-    "a03_topic_distribution": SQL + "select coalesce(nullif(section, ''), 'General') section, article_type, n articles, p avg_prominence from (select section, article_type, count(*) n, round(avg(prominence_score), 3) p from dated_articles group by 1, 2)",
+    "a02_section_trend": SQL + f"select strftime(date_trunc('month', issue_date), '%Y-%m-%d') period, {_GENERAL} section, count(*) articles, cast(sum(word_count) as bigint) words, round(avg(prominence_score) + 1e-9, 3) avg_prominence from dated_articles group by 1, 2",
+    "a03_topic_distribution": SQL + "select coalesce(nullif(section, ''), 'General') section, article_type, n articles, p avg_prominence from (select section, article_type, count(*) n, round(avg(prominence_score) + 1e-9, 3) p from dated_articles group by 1, 2)",
     "a04_front_page_ratio": SQL + ", g as (select page_number, count(distinct article_id) n from story_pages group by 1) select cast(sum(n) as bigint) total_articles, cast(coalesce(sum(n) filter (page_number = 1), 0) as bigint) frontpage_articles, count(*) pages, round(coalesce(sum(n) filter (page_number = 1), 0) / sum(n), 4) frontpage_ratio from g",
     "a04_page_distribution": SQL + "select page_number, count(distinct article_id) articles from story_pages group by 1",
     "a05_issue_manifest": _MANIFEST + " select * from m",

@@ -135,7 +135,7 @@ def entity_listing(ar: Archive, limit: int = 50) -> DataFrame:
 def entity_trend(ar: Archive, name: str) -> DataFrame:
     """A2: articles, mentions and mean salience of an entity per date."""
     m = mentions(ar).where(contains_ci("name", name)).join(ar.dated_articles.select("article_id", "issue_date"), "article_id")
-    return m.groupBy("issue_date").agg(F.count("*").alias("article_count"), F.sum("mention_count").alias("total_mentions"), F.round(F.avg("salience"), 3).alias("avg_salience"))
+    return m.groupBy("issue_date").agg(F.count("*").alias("article_count"), F.sum("mention_count").alias("total_mentions"), F.round(F.avg("salience") + 1e-9, 3).alias("avg_salience"))
 
 
 def headline_lookup(ar: Archive, wanted: DataFrame) -> DataFrame:
@@ -366,6 +366,6 @@ ORACLE = {
     "r16_issues_on": SQL + "select issue_id, newspaper, edition, ingestion_status from issue_papers where issue_date = date '2024-02-15'",
     "r16_newspaper_ids": "select wanted, min(id) newspaper_id from (values ('herald'), ('Ostelby'), ('none')) w(wanted) join newspapers on contains(lower(name), lower(wanted)) group by 1",
     "r17_chunk_context": SQL + "select c.id chunk_id, c.article_id, coalesce(headline, 'Untitled') headline, issue_date, coalesce(newspaper, 'unknown') newspaper from (select distinct id, article_id from article_chunks where chunk_type = 'visual') c left join a_ using (article_id) left join issue_papers p on p.issue_id = a_.issue_id",
-    "a02_entity_trend": _M + " select issue_date, count(*) article_count, cast(sum(mention_count) as bigint) total_mentions, round(avg(salience), 3) avg_salience from m_ join dated_articles using (article_id) where name ilike '%was%' group by 1",
+    "a02_entity_trend": _M + " select issue_date, count(*) article_count, cast(sum(mention_count) as bigint) total_mentions, round(avg(salience) + 1e-9, 3) avg_salience from m_ join dated_articles using (article_id) where name ilike '%was%' group by 1",
 }
 ORACLE["g05_coverage_tally"] = "select status, count(*) papers from (" + ORACLE["g04_coverage"] + ") group by 1"
