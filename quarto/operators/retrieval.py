@@ -73,24 +73,30 @@ def tokens(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 3)
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, tf, dl) of each document."""
+def postings(docs: DataFrame, key: str, text: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, dl) of each document, of the ``wanted`` terms only if given, which are cut before they are counted."""
     t = docs.select(F.col(key), tokens(text).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if wanted is not None:
+        t = t.join(wanted, "term", "left_semi")
     return t.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str, text: Column, k: int = 30, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, key, score, rank) by BM25; ``queries``: query_id, query. Equal scores (9 digits) by key."""
+def bm25_scores(queries: DataFrame, docs: DataFrame, key: str, text: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, key, score) by BM25 of every document that holds a query word; scores have 9 digits."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     size = docs.select(F.size(tokens(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    p = postings(docs, key, text).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")  # the words of a query set
+    p = postings(docs, key, text, terms.select("term").distinct())
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     s = p.join(terms, "term").join(df, "term").crossJoin(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = s.groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
+    return s.groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, key: str, text: Column, k: int = 30) -> DataFrame:
+    """(query_id, key, score, rank) of the k best by BM25; ``queries``: query_id, query. Equal scores go by key."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return bm25_scores(queries, docs, key, text).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarto.functions import text as T
 from quarto.functions.dates import window_around
 from quarto.operators.documents import mentions
-from quarto.operators.retrieval import bm25, tokens
+from quarto.operators.retrieval import bm25_scores, tokens
 from quarto.plans.filters import contains_ci, label
 from quarto.sources.archive import READY, SQL, Archive
 
@@ -211,11 +211,9 @@ def coverage(ar: Archive, query: str, day: str, days: int = 2, strict: bool = Fa
     win = ar.issue_papers.where(window_around(F.col("issue_date"), day, days))
     health = win.groupBy("newspaper_id", "newspaper").agg(F.max((~F.col("ingestion_status").isin(*READY)).cast("int")).alias("broken"))
     docs = ar.dated_articles.join(win.select("issue_id"), "issue_id", "left_semi").withColumn("body", F.concat_ws(" ", "headline", "full_text"))
-    q = ar.spark.createDataFrame([(query,)], "query string")
     words = F.array_distinct(tokens(F.lit(query)))
-    per = ar.newspapers.select(F.col("id").alias("query_id")).join(q)
-    hits = bm25(per.select("query_id", "query").join(health.select(F.col("newspaper_id").alias("query_id")), "query_id", "left_semi"), docs, "article_id", F.col("body"), 10**9)
-    own = hits.join(docs.select("article_id", "newspaper_id", F.array_distinct(tokens(F.col("body"))).alias("d"), "prominence_score"), "article_id").where("query_id = newspaper_id")
+    hits = bm25_scores(ar.spark.createDataFrame([(0, query)], "query_id int, query string"), docs, "article_id", F.col("body"))
+    own = hits.join(docs.select("article_id", "newspaper_id", F.array_distinct(tokens(F.col("body"))).alias("d"), "prominence_score"), "article_id")
     own = own.withColumn("r", F.row_number().over(Window.partitionBy("newspaper_id").orderBy(F.desc("score"), "article_id"))).where("r <= 5")
     fused = F.round(0.5 / (60 + F.col("r")), 6)
     overlap = F.size(F.array_intersect(words, F.col("d"))) / F.greatest(F.lit(1), F.size(words))
