@@ -5,7 +5,8 @@ business, further initials. Family words become vectors of character trigrams
 weighted by rarity; a distributed sparse join brings together those whose
 cosine reaches a threshold, by an inverted index of the rare trigrams that two
 such vectors must share, within the same kind and initial. Pairs whose other
-parts agree are linked, and each component is grouped by average linkage.
+parts agree are linked, and each component of any size is grouped by average
+linkage over its scored pairs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from zlib import crc32
 
 import numpy as np
@@ -30,8 +32,10 @@ from quarto.sources.tables import read_table
 COSINE, LINK, LINKAGE = 0.25, 0.5, 0.45
 #: Hashed trigrams; bound of the rarity table that is collected and broadcast.
 GRAMS = 1 << 18
-#: Names of one component that are compared all with all; a larger one is grouped around its most frequent names.
-COMPONENT = 1500
+#: More edits that two misspellings of one name may be apart; such pairs count in the linkage and link nothing themselves.
+SLACK = 1.5
+#: Tasks that compare the names of one component.
+SPLIT = 8
 _DIGITS = str.maketrans("01!58|", "olisbl")
 # Short forms of given names.
 NICKNAMES = {
@@ -236,51 +240,69 @@ def similar_families(families: DataFrame, cosine: float = COSINE) -> DataFrame:
     return pairs.mapInArrow(verify, "block string, fa string, fb string, cosine double").where(F.col("cosine") >= cosine)
 
 
-def average_linkage(similarity: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
-    """Group number of each item: the two groups of highest mean similarity are joined until none reaches ``least``."""
-    n = len(similarity)
-    total = similarity * weight[:, None] * weight[None, :]
-    size, group = weight.astype(float).copy(), np.arange(n)
-    mean = similarity.copy()
-    np.fill_diagonal(mean, -1)
-    live = np.ones(n, bool)
-    for _ in range(n - 1):
-        k = int(mean.argmax())
-        i, j = divmod(k, n)
-        if mean[i, j] < least:
-            break
-        i, j = min(i, j), max(i, j)
-        total[i] += total[j]
-        total[:, i] = total[i]
-        size[i] += size[j]
+def sparse_linkage(left: list[int], right: list[int], similarity: list[float], weight: list[float], least: float) -> list[int]:
+    """Group number (its least item) of each item: the two groups of highest mean similarity are joined until none reaches ``least``.
+
+    Pairs that are not given count 0, so memory and time go by the pairs given.
+    A mean in the heap is a bound from above: it falls as its groups grow, and
+    one whose sum has grown is put in anew.
+    """
+    n = len(weight)
+    size, label, members = list(weight), list(range(n)), [[i] for i in range(n)]
+    total: list[dict[int, float]] = [{} for _ in range(n)]
+    for i, j, s in zip(left, right, similarity):
+        if i != j:
+            total[i][j] = total[j][i] = s * weight[i] * weight[j]
+    live = [True] * n
+
+    def entry(i: int, j: int) -> tuple[float, int, int, int, int]:
+        return (-total[i][j] / (size[i] * size[j]), min(label[i], label[j]), max(label[i], label[j]), i, j)
+
+    heap = [e for i in range(n) for j in total[i] if i < j and -(e := entry(i, j))[0] >= least]
+    heapify(heap)
+    while heap:
+        bound, _, _, i, j = heappop(heap)
+        if not (live[i] and live[j]):
+            continue
+        now = entry(i, j)
+        if now[0] > bound:
+            if -now[0] >= least:
+                heappush(heap, now)
+            continue
+        if len(total[i]) < len(total[j]):
+            i, j = j, i
         live[j] = False
-        group[group == j] = i
-        mean[j], mean[:, j] = -1, -1
-        row = np.where(live, total[i] / (size[i] * size), -1)
-        row[i] = -1
-        mean[i], mean[:, i] = row, row
+        del total[i][j]
+        size[i] += size[j]
+        label[i] = min(label[i], label[j])
+        members[i] += members[j]
+        for k, t in total[j].items():
+            if k != i:
+                del total[k][j]
+                total[i][k] = total[k][i] = total[i].get(k, 0.0) + t
+                if -(e := entry(i, k))[0] >= least:
+                    heappush(heap, e)
+        total[j], members[j] = {}, []
+    group = [0] * n
+    for i in range(n):
+        for m in members[i]:
+            group[m] = label[i]
     return group
 
 
-def _grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Average linkage of one component's names, weighted by the root of how often they occur."""
+def average_linkage(similarity: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
+    """``sparse_linkage`` of a full matrix."""
+    i, j = np.nonzero(np.triu(similarity, 1))
+    return np.array(sparse_linkage(i.tolist(), j.tolist(), similarity[i, j].tolist(), weight.tolist(), least))
+
+
+def _grouped(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Average linkage of one component's names over its scored pairs, weighted by the root of how often they occur."""
     pdf = pdf.sort_values(["n", "family", "rest", "more"], ascending=[False, True, True, True]).reset_index(drop=True)
-    names = list(zip(pdf.family, pdf.rest, pdf.more))
-    kind = pdf.kind.iloc[0]
-    if len(names) > COMPONENT:
-        heads: list[int] = []
-        group = []
-        for i, a in enumerate(names):
-            g = next((h for h in heads if name_similarity(kind, names[h], a) >= LINK), None)
-            if g is None:
-                heads.append(g := i)
-            group.append(g)
-    else:
-        s = np.eye(len(names))
-        for i in range(len(names)):
-            for j in range(i):
-                s[i, j] = s[j, i] = name_similarity(kind, names[i], names[j], slack=1.5)
-        group = average_linkage(s, np.sqrt(pdf.n.to_numpy(float)), LINKAGE).tolist()
+    at = pd.Index(pdf.uid)
+    i, j = at.get_indexer(pairs.a), at.get_indexer(pairs.b)
+    order = np.lexsort((np.maximum(i, j), np.minimum(i, j)))
+    group = sparse_linkage(i[order].tolist(), j[order].tolist(), pairs.s.to_numpy()[order].tolist(), np.sqrt(pdf.n.to_numpy(float)).tolist(), LINKAGE)
     return pd.DataFrame({"uid": pdf.uid, "cluster": pdf.uid.to_numpy()[group]})
 
 
@@ -305,17 +327,27 @@ def link_names(rows: DataFrame) -> DataFrame:
     same = a.join(b.withColumnRenamed("fb", "fa"), ["block", "fa"]).where("a < b").withColumn("fb", F.col("fa"))
     cols = ["kind", "fa", "ra", "ma", "a", "fb", "rb", "mb", "b"]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            c = [t.column(i).to_pylist() for i in range(9)]
-            s = [name_similarity(k, (f, r, m), (f2, r2, m2)) for k, f, r, m, f2, r2, m2 in zip(c[0], c[1], c[2], c[3], c[5], c[6], c[7])]
-            yield pa.RecordBatch.from_arrays([t.column(4), t.column(8), pa.array(s, pa.float64())], names=["a", "b", "s"])
+    def score(slack: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                c = [t.column(i).to_pylist() for i in range(9)]
+                s = [name_similarity(k, (f, r, m), (f2, r2, m2), slack) for k, f, r, m, f2, r2, m2 in zip(c[0], c[1], c[2], c[3], c[5], c[6], c[7])]
+                yield pa.RecordBatch.from_arrays([t.column(4), t.column(8), pa.array(s, pa.float64())], names=["a", "b", "s"])
+
+        return run
 
     slots = 2 * rows.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be coalesced
-    links = other.select(cols).unionAll(same.select(cols)).repartition(slots, "a").mapInArrow(score, "a long, b long, s double").where(F.col("s") >= LINK)
+    links = other.select(cols).unionAll(same.select(cols)).repartition(slots, "a").mapInArrow(score(0.0), "a long, b long, s double").where(F.col("s") >= LINK)
     parts = connected_components(links.select("a", "b"), "a", "b")
-    linked = units.join(parts, units.uid == parts.node).select("uid", "kind", "family", "rest", "more", "n", "component")
-    clusters = linked.repartition(slots, "component").groupBy("component").applyInPandas(_grouped, "uid long, cluster long")
+    linked = units.join(parts, units.uid == parts.node).select("uid", "kind", "family", "rest", "more", "n", "component").checkpoint()
+    # all pairs of a component, also those whose trigrams are too far apart to link; a large component is compared in SPLIT tasks
+    a = linked.select("component", "kind", *(F.col(c).alias(d) for c, d in zip(("family", "rest", "more", "uid"), cols[1:5])), F.pmod("uid", F.lit(SPLIT)).cast("int").alias("salt"))
+    b = linked.select("component", *(F.col(c).alias(d) for c, d in zip(("family", "rest", "more", "uid"), cols[5:])), F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("salt"))
+    a, b = (x.repartition(slots, "component", "salt") for x in (a, b))
+    inside = a.join(b, ["component", "salt"]).where("a < b").where(F.abs(F.length("fa") - F.length("fb")) <= 3)
+    inside = inside.select(*cols).mapInArrow(score(SLACK), "a long, b long, s double").where(F.col("s") > 0)
+    inside = inside.join(linked.select(F.col("uid").alias("a"), F.col("component").alias("of")), "a")
+    clusters = linked.repartition(slots, "component").groupBy("component").cogroup(inside.repartition(slots, "of").groupBy("of")).applyInPandas(_grouped, "uid long, cluster long")
     return parsed.join(clusters, "uid", "left").select("rec", F.coalesce("cluster", "uid").alias("cluster")).distinct()
 
 

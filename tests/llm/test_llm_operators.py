@@ -251,6 +251,21 @@ def test_average_linkage_by_hand():
     assert len(set(names.average_linkage(s, np.ones(3), 0.29).tolist())) == 1
 
 
+def test_linkage_of_a_large_component(spark):
+    """An initial links 1,510 different people of one family, who must stay apart."""
+    rng = random.Random(13)
+    given = sorted({"E" + "".join(rng.choice("bcdfghklmnoprstuvwxyz") for _ in range(5)) for _ in range(1510)})
+    rows = [("person", "E. Monjormeen", "initial"), *(("person", f"{g} Monjormeen", g) for g in given)]
+    got = pd.Series({r.rec: r.cluster for r in names.link_names(frame(spark, rows, "kind string, name string, rec string")).collect()})
+    assert len(rows) > 1500 and len(got) == len(rows) and got.value_counts().iloc[0] <= 20
+
+
+def test_sparse_linkage_of_a_chain():
+    pairs = [*((i, i + 1, 0.6 if i % 2 == 0 else 0.1) for i in range(1999)), (2000, 2001, 0.8), (2000, 2002, 0.4), (2001, 2002, 0.6)]
+    got = names.sparse_linkage(*map(list, zip(*pairs)), [1.0] * 2003, 0.45)
+    assert got == [i - i % 2 for i in range(2000)] + [2000] * 3
+
+
 # 8: tokens
 
 
