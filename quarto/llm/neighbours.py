@@ -8,7 +8,9 @@ one substring but for ``probe`` bits, so probing all substrings at that
 distance finds every such pair. Probing is local: an index is partitioned by
 the leading bits of its substring, and a point is sent to its own partition and
 to those one leading bit away. Candidates within the radius are scored on the
-floats.
+floats. The index serves searches above a score limit; without one, the k-th
+neighbour lies too far away for any index to prove, and blocks of points are
+compared all with all.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ RADIUS = 66  # of 256 bits; cosine 0.85 differs in 45 bits on average, with a de
 SAMPLE_ROWS, ROUNDS = 4096, 25
 #: Points of one partition of an index, and pairs that are compared in one step.
 PART_POINTS, STEP_PAIRS = 150_000, 2_000_000
+#: Points of one block of the exact search, and rows of one product of blocks.
+BLOCK_POINTS, BLOCK_ROWS = 25_000, 1024
 
 
 def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
@@ -155,9 +159,66 @@ def candidate_pairs(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.groupBy("tbl", "part").applyInArrow(_probe(lead, radius), "a long, b long").distinct()
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, min_score: float = 0.85, size: int = 128, radius: int = RADIUS) -> DataFrame:
+def _nearest(k: int):
+    """The k best of each point of one block among those of another; points of a block among its own."""
+
+    def best(q: np.ndarray, other: np.ndarray, x: np.ndarray, pid: np.ndarray) -> tuple[np.ndarray, ...]:
+        score = np.concatenate([np.einsum("ij,ij->i", x[q[i : i + 100_000]], x[other[i : i + 100_000]]) for i in range(0, len(q), 100_000)] or [np.empty(0)])
+        order = np.lexsort((pid[other], -score, q))
+        q, other, score = q[order], other[order], score[order]
+        first = np.searchsorted(q, q, "left")
+        keep = np.arange(len(q)) - first < k
+        return pid[q[keep]], pid[other[keep]], score[keep]
+
+    def run(t: pa.Table) -> pa.Table:
+        pid, block, i, j = t["pid"].to_numpy(), t["block"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(pid), -1)
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = x.astype(np.float32)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        turned = np.ascontiguousarray(y[right].T)
+        found, back = [], []
+        m = len(right)
+        top = np.full((k, m), -2, np.float32)
+        for at in range(0, len(left) if m else 0, BLOCK_ROWS):
+            own = left[at : at + BLOCK_ROWS]
+            s = y[own] @ turned
+            if i == j:
+                s[np.arange(len(own)), at + np.arange(len(own))] = -3
+            # the k-th of the maxima of disjoint parts is a bound that the k best reach; 1e-5 is more than single precision errs by
+            w = max(1, m // 256)
+            parts = s[:, : m // w * w].reshape(len(own), m // w, w).max(2)
+            bound = np.partition(parts, -k, axis=1)[:, -k] if parts.shape[1] >= k else np.full(len(own), -2, np.float32)
+            a, b = np.nonzero(s >= np.maximum(bound, -2)[:, None] - 1e-5)
+            found.append(best(own[a], right[b], x, pid))
+            if i != j:
+                w = max(1, len(own) // 64)
+                parts = s[: len(own) // w * w].reshape(len(own) // w, w, m).max(1)
+                top = np.partition(np.concatenate([top, parts]), -k, axis=0)[-k:]
+                a, b = np.nonzero(s >= top.min(0)[None, :] - 1e-5)
+                back.append((right[b], own[a]))
+        if back:
+            found.append(best(np.concatenate([q for q, _ in back]), np.concatenate([o for _, o in back]), x, pid))
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table(dict(zip(("a", "b", "score"), map(pa.array, cols))))
+
+    return run
+
+
+def nearest(vectors: DataFrame, k: int) -> DataFrame:
+    """(a, b, score): of every (pid, v) the k others of highest cosine, by exact search. Its work grows with the square of the points."""
+    blocks = max(1, -(-vectors.count() // BLOCK_POINTS))
+    rows = vectors.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "pid"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("pid", "v", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    rows = rows.repartition(max(1, blocks * (blocks + 1) // 2), "i", "j")
+    return rows.groupBy("i", "j").applyInArrow(_nearest(k), "a long, b long, score double")
+
+
+def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, min_score: float | None = 0.85, size: int = 128, radius: int = RADIUS) -> DataFrame:
     """(id, neighbour, score, rank): of every usable vector the k others of highest cosine, of ``min_score`` at least.
 
+    With ``min_score=None`` all k come out however far away, by exact search.
     Null, all-zero, shorter or longer vectors and such with a number that is
     null or not finite have no neighbours. An id counts once, however often it
     occurs. Equal scores are ordered by id. Points with equal vectors form a
@@ -168,16 +229,22 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, min_score
     points = usable(df, key, vector, size)
     codes = encode(points, learn_rotation(df, points, size)).distinct()
     classes = codes.groupBy("vh", "vg", *CODE).agg(F.min("pid").alias("head"), F.count("*").alias("n")).checkpoint()
-    pairs = candidate_pairs(classes.select(F.col("head").alias("pid"), *CODE), radius).checkpoint()
-    wanted = pairs.select(F.col("a").alias("head")).unionAll(pairs.select(F.col("b").alias("head"))).distinct()
-    wanted = classes.join(wanted, "head", "left_semi").unionByName(classes.where("n > 1")).select("vh", "vg", "head", "n").distinct()
+    if min_score is None:
+        wanted = classes.select("vh", "vg", "head", "n").distinct()
+    else:
+        pairs = candidate_pairs(classes.select(F.col("head").alias("pid"), *CODE), radius).checkpoint()
+        wanted = pairs.select(F.col("a").alias("head")).unionAll(pairs.select(F.col("b").alias("head"))).distinct()
+        wanted = classes.join(wanted, "head", "left_semi").unionByName(classes.where("n > 1")).select("vh", "vg", "head", "n").distinct()
     # rows of the classes that take part; of an id with different vectors the largest
     rows = points.select("id", F.xxhash64("id").alias("pid"), "v", *_class_key()).join(wanted, ["vh", "vg"])
     rows = rows.groupBy("id").agg(F.max(F.struct("v", "head", "pid", "n")).alias("r")).select("id", "r.*").checkpoint()
     vectors = rows.where("pid = head").select("head", "v")
-    left, right = vectors.select(F.col("head").alias("a"), F.col("v").alias("va")), vectors.select(F.col("head").alias("b"), F.col("v").alias("vb"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", _cosine("va", "vb").alias("score")).where(F.col("score") >= min_score)
-    both = scored.unionAll(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    if min_score is None:
+        both = nearest(vectors.withColumnRenamed("head", "pid"), k + 1)
+    else:
+        left, right = vectors.select(F.col("head").alias("a"), F.col("v").alias("va")), vectors.select(F.col("head").alias("b"), F.col("v").alias("vb"))
+        scored = pairs.join(left, "a").join(right, "b").select("a", "b", _cosine("va", "vb").alias("score")).where(F.col("score") >= min_score)
+        both = scored.unionAll(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     both = both.unionAll(rows.where("n > 1").select(F.col("head").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("score")).distinct())
     best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     both = both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
@@ -198,18 +265,19 @@ def _cosine(a: str, b: str):
 
 
 def p1_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    return similar_vectors(read_table(spark, root, "vector_points"), "id", "vector")
+    return similar_vectors(read_table(spark, root, "vector_points"), "id", "vector", min_score=None)
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    return p1_neighbours(spark, root).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+    found = similar_vectors(read_table(spark, root, "vector_points"), "id", "vector")
+    return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
 def p1_recall(spark: SparkSession, root: str) -> DataFrame:
     """(queries, expected, found, recall): the operator against exact search for every hundredth id by its hash, against all points."""
     v = read_table(spark, root, "vector_points").dropDuplicates(["id"])
     q = usable(v, "id", "vector", 128).where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0).select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
-    exact = dense_search(q, usable(v, "id", "vector", 128).withColumnRenamed("v", "vector"), 10, 0.85)
+    exact = dense_search(q, usable(v, "id", "vector", 128).withColumnRenamed("v", "vector"), 10, -1.0)
     mine = p1_neighbours(spark, root).select(F.col("id").alias("query_id"), F.col("neighbour").alias("id"), F.lit(1).alias("hit"))
     g = exact.join(mine, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("expected"), F.count("hit").alias("found"))
     return g.withColumn("recall", F.when(F.col("expected") > 0, F.round(F.col("found") / F.col("expected"), 4)).otherwise(1.0))

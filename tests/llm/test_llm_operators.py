@@ -40,6 +40,15 @@ def test_similar_vectors_recall(spark):
     assert len(found & want) >= 0.98 * len(found)
 
 
+def test_all_neighbours_without_a_limit(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", 150)
+    rng = np.random.default_rng(2)
+    ids, x = [f"v{i:03d}" for i in range(400)], rng.standard_normal((400, 128)).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, x)]
+    got = neighbours.similar_vectors(frame(spark, rows + rows[:9], "id string, vector array<float>"), "id", "vector", min_score=None).collect()
+    assert len(got) == 4000 and {(r.id, r.neighbour) for r in got} == brute_neighbours(ids, x.astype(float), 10, -1)
+
+
 def test_similar_vectors_edges(spark):
     good = [1.0] * 64 + [0.5] * 64
     near = [1.0] * 64 + [0.52] * 64
