@@ -2,9 +2,10 @@
 
 Word offsets are prefix sums over the text; boundaries (paragraph, line,
 sentence) are one sorted array of word positions each. A piece ends at the last
-boundary under the limit, found by binary search, best kind first; the next
-piece starts the wished number of words earlier. Where no boundary lies under
-the limit the cut is hard.
+boundary under the limit, found by binary search, best kind first; a better
+kind in the first half of the window yields to a lesser one in the second. The
+next piece starts the wished number of words earlier. Only where no boundary
+lies under the limit and beyond the piece before the cut is hard.
 """
 
 from __future__ import annotations
@@ -63,12 +64,15 @@ def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS
         if end >= n:
             out.append((int(s[at]), int(e[n - 1]), n - at, "end"))
             return out
-        least = max(at + max(1, (end - at) // 2), reached + 1)  # a boundary in the first half would make tiny pieces
+        last = {}
         for kind, places in kinds.items():
             k = int(np.searchsorted(places, end, "right")) - 1
-            if k >= 0 and places[k] >= least:
-                end, cut = int(places[k]), kind
-                break
+            if k >= 0 and places[k] > reached:
+                last[kind] = int(places[k])
+        if last:  # the best kind in the second half of the window, else the last boundary of any kind
+            half = at + max(1, (end - at) // 2)
+            cut = next((kind for kind in last if last[kind] >= half), max(last, key=last.get))
+            end = last[cut]
         out.append((int(s[at]), int(e[end - 1]), end - at, cut))
         back = end
         while back > at + 1 and end - back < overlap and not broken[back - 1]:

@@ -215,6 +215,19 @@ def test_split_overlap_and_boundaries():
     assert split.split_text(" \n ", 5, 9, 1) == [] and split.split_text("a b", 2, 9, 1)[0][3] == "whole"
 
 
+def test_split_is_hard_only_without_a_boundary():
+    t = "w " * 19 + "end. " + "v " * 100
+    p = split.split_text(t, 60, 4000, 5)
+    assert (p[0][2], p[0][3]) == (20, "sentence") and t[p[1][0] : p[1][1]].split()[:5] == t[: p[0][1]].split()[-5:] and p[1][3] == "hard"
+    rng = random.Random(14)
+    for _ in range(60):
+        t = "".join(rng.choice(["word", "a"]) + rng.choice([" "] * 40 + [". ", "\n", "\n\n"]) for _ in range(400))
+        reached = 0
+        for a, b, _, cut in split.split_text(t, 50, 4000, 4):
+            assert cut != "hard" or not any(x in t[max(a, reached) : b].rstrip() for x in (". ", "\n"))
+            reached = b + len(t[b:]) - len(t[b:].lstrip())
+
+
 def test_split_frame(spark):
     rows = [(1, "a " * 501, 1), (1, "a " * 501, 1), (2, "short", 2), (3, None, 3), (4, "", 4), (5, " " * 5000, 5), (6, "a " * 500, 6)]
     df = frame(spark, rows, "id long, text string, piece_no int")
