@@ -3,8 +3,8 @@
 A line's unit is (source, normal form); its document frequency is counted over
 all documents. Units carry the minhash signature of their line with numbers,
 dates and names masked, over shingles of five words. Within a source, units
-that share a band of the signature and agree in enough of it are linked to the
-band's least unit; the components are clusters of near-duplicate lines, whose
+that share a band of the signature and whose shingles have a Jaccard similarity
+of 0.8 are linked, through any of the band that agree; the components are clusters of near-duplicate lines, whose
 document frequency is the sum of their units'. Clusters at or above the limit
 are repeated lines.
 """
@@ -25,7 +25,7 @@ from quarto.session import ensure_checkpoint_dir
 from quarto.sources.tables import read_table
 
 MIN_DOCS, MIN_CHARS, SHINGLE = 5, 20, 5
-BANDS, ROWS, AGREE = 4, 2, 6  # of BANDS * ROWS minima, AGREE must be equal: 0.75, where 0.8 is expected to give 6.4
+BANDS, ROWS, JACCARD = 8, 2, 0.8  # a pair of Jaccard 0.8 shares a band with probability 0.9997
 _EDGE = r" .,;:!?*_|\-"
 def normal_form(line: Column) -> Column:
     """Lower case, digit runs as ``0``, white space as one blank, edges without blanks and ``.,;:!?*-_|``."""
@@ -61,8 +61,8 @@ def _plain_hash(word: str) -> int:
     return sum((ord(c) + 1) * int(_POWERS[i]) for i, c in enumerate(word)) % (1 << 64)
 
 
-def line_signatures(lines: list[str], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-case letters, band keys, packed minima) of each line.
+def line_signatures(lines: list[str], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(lower-case letters, band keys, shingles) of each line; shingles are hashes of 32 bits, each once.
 
     Words with a digit, and month or weekday names beside one, are masked as
     number, words with a capital and a small letter that do not start the line
@@ -79,9 +79,8 @@ def line_signatures(lines: list[str], own: np.ndarray) -> tuple[np.ndarray, np.n
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     bands = np.repeat(own.astype(np.int64)[:, None], BANDS, 1)
-    packed = np.zeros(n, np.int64)
     if not len(starts):
-        return small, bands, packed
+        return small, bands, pa.array([[]] * n, pa.list_(pa.int32()))
     line = np.searchsorted(ends, starts)
     lengths = stops - starts
     text = lower[raw][inside]
@@ -115,9 +114,10 @@ def line_signatures(lines: list[str], own: np.ndarray) -> tuple[np.ndarray, np.n
     for r in range(1, ROWS):
         keys = keys * _POWERS[0] + minima[:, r::ROWS]
     bands[has] = keys.view(np.int64)
-    top = ((minima * _POWERS[3]) >> np.uint64(56)).astype(np.uint8)  # eight bits of each minimum tell whether two are equal
-    packed[has] = np.ascontiguousarray(top).view(np.int64)[:, 0]
-    return small, bands, packed
+    short = (sh * _POWERS[3]) >> np.uint64(32)
+    each = np.unique((np.repeat(has, per).astype(np.uint64) << np.uint64(32)) | short)
+    offsets = np.searchsorted(each >> np.uint64(32), np.arange(n + 1, dtype=np.uint64)).astype(np.int32)
+    return small, bands, pa.ListArray.from_arrays(pa.array(offsets), pa.array((each & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
 
 
 _DATE_HASHES = np.array([_plain_hash(w) for w in DATE_WORDS.split()], np.uint64)
@@ -126,8 +126,32 @@ _DATE_HASHES = np.array([_plain_hash(w) for w in DATE_WORDS.split()], np.uint64)
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            small, bands, packed = line_signatures([x.replace("\0", " ") for x in b.column(4).to_pylist()], b.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(5), *(pa.array(x) for x in (small, *np.ascontiguousarray(bands.T), packed))], names=["doc", "source", "h1", "h2", "t", "l", *(f"b{i}" for i in range(BANDS)), "packed"])
+            small, bands, shingles = line_signatures([x.replace("\0", " ") for x in b.column(4).to_pylist()], b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(5), *(pa.array(x) for x in (small, *np.ascontiguousarray(bands.T))), shingles], names=["doc", "source", "h1", "h2", "t", "l", *(f"b{i}" for i in range(BANDS)), "shingles"])
+
+
+def _alike(t: pa.Table) -> pa.Table:
+    """(uid, head) that connect the units of one bucket whose shingles reach JACCARD, through any that agree."""
+    uid = t["uid"].to_numpy()
+    order = np.argsort(uid, kind="stable")
+    uid, lists = uid[order], t["shingles"].combine_chunks().take(pa.array(order))
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    starts = np.concatenate([[0], ends[:-1]])
+    sizes = ends - starts
+    rest, out = np.flatnonzero(sizes > 0), []
+    while len(rest):  # each unit, once reached, is compared with those that are not yet
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            h = front.pop()
+            begin = np.concatenate([[0], np.cumsum(sizes[rest])[:-1]])
+            at = np.repeat(starts[rest] - begin, sizes[rest]) + np.arange(sizes[rest].sum())
+            both = np.add.reduceat(np.isin(flat[at], flat[starts[h] : ends[h]]).astype(np.int64), begin)
+            near = both >= JACCARD * (sizes[rest] + sizes[h] - both) - 1e-9
+            out += [(u, uid[h]) for u in uid[rest[near]]]
+            front += rest[near].tolist()
+            rest = rest[~near]
+    a, b = zip(*out) if out else ((), ())
+    return pa.table({"uid": pa.array(a, pa.int64()), "head": pa.array(b, pa.int64())})
 
 
 def source_lines(df: DataFrame, doc: str, source: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -150,21 +174,18 @@ def repeated_units(df: DataFrame, doc: str, source: str, text: str, min_docs: in
     """
     lines = source_lines(df, doc, source, text, min_chars)
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    schema = f"doc {kinds['doc']}, source {kinds['source']}, h1 long, h2 long, t long, l long, " + ", ".join(f"b{i} long" for i in range(BANDS)) + ", packed long"
+    schema = f"doc {kinds['doc']}, source {kinds['source']}, h1 long, h2 long, t long, l long, " + ", ".join(f"b{i} long" for i in range(BANDS)) + ", shingles array<int>"
     signed = lines.select("doc", *_unit(), "line", F.xxhash64("line").alias("t")).mapInArrow(_signed, schema)
     # of a line's spellings the one with most lower case stands for it, as names show in it
-    rep = F.struct("l", "t", *(f"b{i}" for i in range(BANDS)), "packed")
+    rep = F.struct("l", "t", *(f"b{i}" for i in range(BANDS)), "shingles")
     per_doc = signed.groupBy("source", "h1", "h2", "doc").agg(F.max(rep).alias("rep"))
     units = per_doc.groupBy("source", "h1", "h2").agg(F.count("*").alias("unit_docs"), F.max("rep").alias("rep"))
     ensure_checkpoint_dir(df.sparkSession)
     units = units.select("source", "h1", "h2", "unit_docs", F.xxhash64("source", "h1", "h2").alias("uid"), "rep.*").drop("l", "t").checkpoint()
-    bands = units.select("uid", "packed", "source", F.posexplode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band", "key"))
-    heads = bands.groupBy("source", "band", "key").agg(F.min("uid").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    links = bands.join(heads, ["source", "band", "key"]).where(F.col("uid") != F.col("head")).select("uid", "packed", "head").distinct()
-    links = links.join(units.select(F.col("uid").alias("head"), F.col("packed").alias("other")), "head")
-    differ = F.col("packed").bitwiseXOR(F.col("other"))
-    same = sum(F.when(F.shiftrightunsigned(differ, 8 * i).bitwiseAND(255) == 0, 1).otherwise(0) for i in range(BANDS * ROWS))
-    links = links.where(same >= AGREE).select("uid", "head")
+    bands = units.select("uid", F.posexplode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band", "key"), "source").select("uid", F.xxhash64("source", "band", "key").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    filled = bands.join(shared, "bucket").join(units.select("uid", "shingles"), "uid")
+    links = filled.groupBy("bucket").applyInArrow(_alike, "uid long, head long").distinct()
     parts = connected_components(links, "uid", "head")
     clustered = units.select("source", "h1", "h2", "unit_docs", "uid").join(parts, units.uid == parts.node, "left").withColumn("cluster", F.coalesce("component", "uid"))
     size = clustered.groupBy("source", "cluster").agg(F.sum("unit_docs").alias("cluster_docs")).where(F.col("cluster_docs") >= min_docs)

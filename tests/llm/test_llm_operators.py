@@ -151,6 +151,25 @@ def test_near_duplicate_lines_cluster(spark):
     assert boilerplate.repeated_lines(df, "doc", "source", "text").where("cluster_docs >= 5").count() == 6
 
 
+def test_bucket_links_past_its_head():
+    import pyarrow as pa
+
+    sets = [[900, 901], list(range(20)), list(range(1, 21)), [], list(range(3, 23)), list(range(50, 60))]
+    t = pa.table({"uid": pa.array(range(6), pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int32()))})
+    assert sorted(zip(*boilerplate._alike(t).to_pydict().values())) == [(2, 1), (4, 2)]
+
+
+def test_near_duplicates_at_the_limit_are_linked(spark):
+    """Variants whose Jaccard similarity to the notice is 0.8 to 0.82: a word in the middle of 50 differs."""
+    rng = random.Random(15)
+    rows, word = [], lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(7))
+    for n in range(100):
+        notice = [word() for _ in range(50)]
+        rows += [(n, 5 * n + d, " ".join([*notice[:25], word(), *notice[26:]] if d == 4 else notice)) for d in range(5)]
+    df = frame(spark, rows, "source long, doc long, text string")
+    assert boilerplate.repeated_lines(df, "doc", "source", "text").where("cluster_docs >= 5").count() == 500
+
+
 # 5: canonical lists
 
 
