@@ -1,9 +1,9 @@
 """Per-document text statistics, and running prose told from lists, tables and junk.
 
 Tables and lists show in the layout: delimiters that stand in the same columns
-of neighbouring lines, a common number of cells, item marks that return at one
-indentation, line lengths that correlate from line to line. These signs are
-combined with word, symbol, punctuation and common-word ratios.
+of neighbouring lines, a common number of cells, item marks. These signs are
+combined with word, symbol, punctuation and common-word ratios. Changes of
+indentation and the correlation of line lengths are told, but decide nothing.
 """
 
 from __future__ import annotations
