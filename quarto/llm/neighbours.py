@@ -141,7 +141,7 @@ def _probe(lead: int, radius: int):
     def run(t: pa.Table) -> pa.Table:
         pid, sub, away, block = (t[n].to_numpy() for n in ("pid", "sub", "away", "block"))
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        words = [t[c].to_numpy().view(np.uint64) for c in CODE]
+        codes = np.stack([t[c].to_numpy().view(np.uint64) for c in CODE], 1)
         found: list[np.ndarray] = []
         for one, other in {(i, j), (j, i)}:  # points of one block ask, own points of the other answer
             own = np.flatnonzero((away == 0) & (block == other))
@@ -152,7 +152,7 @@ def _probe(lead: int, radius: int):
                 # a point from a neighbouring partition was sent with leading bits flipped, which count
                 wanted = np.where(weight[None, :] + away[q, None] <= PROBE, sub[q, None] ^ low[None, :], -1)
                 first, last = np.searchsorted(sub[order], wanted, "left"), np.searchsorted(sub[order], wanted, "right")
-                found += _compare(q, first.ravel(), (last - first).ravel(), len(low), order, words, pid, radius)
+                found += _compare(q, first.ravel(), (last - first).ravel(), len(low), order, codes, pid, radius)
         pairs = np.unique(np.concatenate(found)) if found else np.empty(0, PAIR)
         return pa.table({"a": pa.array(np.ascontiguousarray(pairs["a"])), "b": pa.array(np.ascontiguousarray(pairs["b"]))})
 
@@ -162,24 +162,31 @@ def _probe(lead: int, radius: int):
 PAIR = [("a", "i8"), ("b", "i8")]
 
 
-def _compare(q: np.ndarray, first: np.ndarray, n: np.ndarray, width: int, order: np.ndarray, words: list[np.ndarray], pid: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+def _compare(q: np.ndarray, first: np.ndarray, n: np.ndarray, width: int, order: np.ndarray, codes: np.ndarray, pid: np.ndarray, radius: int) -> Iterator[np.ndarray]:
     """Pairs within the radius of the asking points and the buckets their probes meet, STEP_PAIRS compared at a time."""
+    full = np.flatnonzero(n)
+    first, n, asks = first[full], n[full], q[full // width]
     ends = np.cumsum(n)
-    total, at = int(ends[-1]) if len(ends) else 0, 0
-    while at < total:
-        k = np.arange(at, min(at + STEP_PAIRS, total))
-        s = np.searchsorted(ends, k, "right")
-        a, b = q[s // width], order[first[s] + k - (ends[s] - n[s])]
-        once = pid[a] < pid[b]  # the pair turned round is met from the other side
-        a, b = a[once], b[once]
-        near = np.bitwise_count(words[0][a] ^ words[0][b]).astype(np.int16)
-        for u in words[1:]:
-            near += np.bitwise_count(u[a] ^ u[b])
-        hit = near <= radius
-        pair = np.empty(int(hit.sum()), PAIR)
-        pair["a"], pair["b"] = pid[a[hit]], pid[b[hit]]
-        yield np.unique(pair)
-        at += STEP_PAIRS
+    start = 0
+    sorted_codes, sorted_pid = codes[order], pid[order]
+    while start < len(n):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + STEP_PAIRS, "right")))
+        m, lag = n[start:stop], first[start:stop] - (ends[start:stop] - n[start:stop] - base)
+        total = int(ends[stop - 1] - base)
+        for lo in range(0, total, STEP_PAIRS):  # more than one step only for a full bucket
+            hi = min(lo + STEP_PAIRS, total)
+            if hi - lo == total:
+                a, b = np.repeat(asks[start:stop], m), np.repeat(lag, m) + np.arange(total)
+            else:
+                a, b = np.full(hi - lo, asks[start]), np.arange(lo, hi) + lag[0]
+            once = pid[a] < sorted_pid[b]  # the pair turned round is met from the other side
+            a, b = a[once], b[once]
+            near = np.bitwise_count(np.take(codes, a, 0) ^ np.take(sorted_codes, b, 0)).sum(1, dtype=np.uint16) <= radius
+            pair = np.empty(int(near.sum()), PAIR)
+            pair["a"], pair["b"] = pid[a[near]], sorted_pid[b[near]]
+            yield np.unique(pair)
+        start = stop
 
 
 def candidate_pairs(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
