@@ -1,12 +1,13 @@
 """Lines repeated across the documents of one source.
 
 A line's unit is (source, normal form); its document frequency is counted over
-all documents. Units carry the minhash signature of their line with numbers,
-dates and names masked, over shingles of five words. Within a source, units
-that share a band of the signature and whose shingles have a Jaccard similarity
-of 0.8 are linked, through any of the band that agree; the components are clusters of near-duplicate lines, whose
-document frequency is the sum of their units'. Clusters at or above the limit
-are repeated lines.
+all documents. The unit's line, with numbers, dates and names masked, becomes a
+set of shingles of five words. Within a source, units of the same set are
+linked at once; sets that share a band of their minhash signature and whose
+Jaccard similarity is 0.8 are linked, all of a band that agree. The components
+are clusters of near-duplicate lines, whose document frequency is the number of
+different documents that hold any of their lines. Clusters at or above the
+limit are repeated lines.
 """
 
 from __future__ import annotations
@@ -21,17 +22,21 @@ from pyspark.sql import functions as F
 
 from quarto.llm.textcodes import DATE_WORDS, DIGIT, LETTER, MARK, codes_of, kind_table
 from quarto.plans.graph import connected_components
-from quarto.session import ensure_checkpoint_dir
+from quarto.session import written
 from quarto.sources.tables import read_table
 
 MIN_DOCS, MIN_CHARS, SHINGLE = 5, 20, 5
 BANDS, ROWS, JACCARD = 8, 2, 0.8  # a pair of Jaccard 0.8 shares a band with probability 0.9997
-_EDGE = r" .,;:!?*_|\-"
+#: Different sets of one bucket, or of two of its blocks, that one task compares.
+TASK_SETS = 20_000
+_EDGE = " .,;:!?*-_|"
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def normal_form(line: Column) -> Column:
     """Lower case, digit runs as ``0``, white space as one blank, edges without blanks and ``.,;:!?*-_|``."""
     c = F.regexp_replace(F.lower(line), "[0-9]+", "0")
-    c = F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " ")
-    return F.regexp_replace(c, f"^[{_EDGE}]+|[{_EDGE}]+$", "")
+    return F.btrim(F.regexp_replace(c, _SPACE, " "), F.lit(_EDGE))
 
 
 @lru_cache(maxsize=1)
@@ -61,26 +66,23 @@ def _plain_hash(word: str) -> int:
     return sum((ord(c) + 1) * int(_POWERS[i]) for i, c in enumerate(word)) % (1 << 64)
 
 
-def line_signatures(lines: list[str], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(lower-case letters, band keys, shingles) of each line; shingles are hashes of 32 bits, each once.
+def line_shingles(lines: list[str]) -> pa.ListArray:
+    """Shingles of SHINGLE words of each line, as hashes of 32 bits, sorted and each once; a shorter line is one, a line without words has none.
 
     Words with a digit, and month or weekday names beside one, are masked as
     number, words with a capital and a small letter that do not start the line
-    as name. The minima are over shingles of SHINGLE words; a shorter line is
-    one shingle, a line without words has its own key (``own``).
+    as name.
     """
     n = len(lines)
     lower, up, low = _tables()
     raw = codes_of("\0".join(lines) + "\0")
     ends = np.flatnonzero(raw == 0)
-    small = np.add.reduceat(low[raw].astype(np.int64), np.concatenate([[0], ends[:-1] + 1]))
     kinds = kind_table()[raw]
     inside = (kinds == LETTER) | (kinds == MARK) | (kinds == DIGIT)
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    bands = np.repeat(own.astype(np.int64)[:, None], BANDS, 1)
     if not len(starts):
-        return small, bands, pa.array([[]] * n, pa.list_(pa.int32()))
+        return pa.array([[]] * n, pa.list_(pa.int32()))
     line = np.searchsorted(ends, starts)
     lengths = stops - starts
     text = lower[raw][inside]
@@ -106,32 +108,61 @@ def line_signatures(lines: list[str], own: np.ndarray) -> tuple[np.ndarray, np.n
         k = np.minimum(at + j, len(h) - 1)
         sh += np.where(at + j < last, (h[k] + np.uint64(1)) * _POWERS[j + 7], np.uint64(0))
     sh ^= sh >> np.uint64(31)
+    short = (sh * _POWERS[3]) >> np.uint64(32)
+    each = np.unique((np.repeat(has, per).astype(np.uint64) << np.uint64(32)) | short)
+    offsets = np.searchsorted(each >> np.uint64(32), np.arange(n + 1, dtype=np.uint64)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((each & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+
+
+def set_keys(shingles: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(indices of the sets that are not empty, hash of each whole set, band keys of each)."""
+    sizes = shingles.value_lengths().to_numpy()
+    has = np.flatnonzero(sizes)
+    flat = shingles.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+    begin = (np.cumsum(sizes) - sizes)[has]
+    if not len(has):
+        return has, np.empty(0, np.int64), np.empty((0, BANDS), np.int64)
     minima = np.empty((len(has), BANDS * ROWS), np.uint64)
+    mixed = (flat + np.uint64(1)) * _POWERS[0]
+    mixed ^= mixed >> np.uint64(32)
     for j in range(BANDS * ROWS):
-        v = sh * _MIX[j]
+        v = mixed * _MIX[j]
         minima[:, j] = np.minimum.reduceat(v ^ (v >> np.uint64(29)), begin)
     keys = minima[:, ::ROWS].copy()
     for r in range(1, ROWS):
         keys = keys * _POWERS[0] + minima[:, r::ROWS]
-    bands[has] = keys.view(np.int64)
-    short = (sh * _POWERS[3]) >> np.uint64(32)
-    each = np.unique((np.repeat(has, per).astype(np.uint64) << np.uint64(32)) | short)
-    offsets = np.searchsorted(each >> np.uint64(32), np.arange(n + 1, dtype=np.uint64)).astype(np.int32)
-    return small, bands, pa.ListArray.from_arrays(pa.array(offsets), pa.array((each & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+    v = mixed * _MIX[0]
+    whole = np.add.reduceat((v ^ (v >> np.uint64(31))) * _MIX[1], begin)
+    return has, whole.view(np.int64), keys.view(np.int64)
 
 
 _DATE_HASHES = np.array([_plain_hash(w) for w in DATE_WORDS.split()], np.uint64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            small, bands, shingles = line_signatures([x.replace("\0", " ") for x in b.column(4).to_pylist()], b.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column(5), *(pa.array(x) for x in (small, *np.ascontiguousarray(bands.T))), shingles], names=["doc", "source", "h1", "h2", "t", "l", *(f"b{i}" for i in range(BANDS)), "shingles"])
+            shingles = line_shingles([x.replace("\0", " ") for x in b.column(5).to_pylist()])
+            has, whole, _ = set_keys(shingles)
+            same = np.zeros(b.num_rows, np.int64)
+            same[has] = whole
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(same, mask=shingles.value_lengths().to_numpy() == 0), shingles], names=["h1", "h2", "uid", "src", "unit_docs", "same", "shingles"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, bucket): the buckets of each set, by source and band."""
+    band = np.arange(1, BANDS + 1, dtype=np.uint64) * _POWERS[2]
+    for b in batches:
+        has, _, keys = set_keys(b.column(2))
+        src = b.column(1).to_numpy()[has].view(np.uint64)
+        v = (keys.view(np.uint64) ^ src[:, None]) * _POWERS[1] + band
+        v ^= v >> np.uint64(31)
+        uid = np.repeat(b.column(0).to_numpy()[has], BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(v.view(np.int64).ravel())], names=["uid", "bucket"])
 
 
 def _alike(t: pa.Table) -> pa.Table:
-    """(uid, head) that connect the units of one bucket whose shingles reach JACCARD, through any that agree."""
+    """(uid, head) that connect the sets of one bucket, or of two of its blocks, whose shingles reach JACCARD, through any that agree."""
     uid = t["uid"].to_numpy()
     order = np.argsort(uid, kind="stable")
     uid, lists = uid[order], t["shingles"].combine_chunks().take(pa.array(order))
@@ -162,45 +193,56 @@ def source_lines(df: DataFrame, doc: str, source: str, text: str, min_chars: int
     return lines.where(F.char_length("norm") >= min_chars)
 
 
-def _unit() -> list[Column]:
-    return [F.col("source"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2")]
+def _unit(kind: str) -> list[Column]:
+    """Fingerprint of 128 bits of a line's unit."""
+    source = F.col("source").cast(kind)
+    return [F.xxhash64(source, "norm").alias("h1"), F.xxhash64(F.lit(7), source, "norm").alias("h2")]
 
 
-def repeated_units(df: DataFrame, doc: str, source: str, text: str, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(source, h1, h2, unit_docs, cluster_docs) of the line units that lie in clusters of at least ``min_docs`` documents.
+def near_links(units: DataFrame) -> DataFrame:
+    """(uid, head) of the units (uid, src, same, shingles) that are near-duplicates within a source: of one set, or of sets at JACCARD or more.
 
-    ``unit_docs`` counts the documents of the line itself, ``cluster_docs``
-    those of its cluster, where a document with two of its lines counts twice.
+    Sets are compared within the buckets of their bands. A bucket of more than
+    TASK_SETS different sets is cut into blocks that are compared two by two.
     """
-    lines = source_lines(df, doc, source, text, min_chars)
-    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    schema = f"doc {kinds['doc']}, source {kinds['source']}, h1 long, h2 long, t long, l long, " + ", ".join(f"b{i} long" for i in range(BANDS)) + ", shingles array<int>"
-    signed = lines.select("doc", *_unit(), "line", F.xxhash64("line").alias("t")).mapInArrow(_signed, schema)
-    # of a line's spellings the one with most lower case stands for it, as names show in it
-    rep = F.struct("l", "t", *(f"b{i}" for i in range(BANDS)), "shingles")
-    per_doc = signed.groupBy("source", "h1", "h2", "doc").agg(F.max(rep).alias("rep"))
-    units = per_doc.groupBy("source", "h1", "h2").agg(F.count("*").alias("unit_docs"), F.max("rep").alias("rep"))
-    ensure_checkpoint_dir(df.sparkSession)
-    units = units.select("source", "h1", "h2", "unit_docs", F.xxhash64("source", "h1", "h2").alias("uid"), "rep.*").drop("l", "t").checkpoint()
-    bands = units.select("uid", F.posexplode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band", "key"), "source").select("uid", F.xxhash64("source", "band", "key").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    filled = bands.join(shared, "bucket").join(units.select("uid", "shingles"), "uid")
-    links = filled.groupBy("bucket").applyInArrow(_alike, "uid long, head long").distinct()
-    parts = connected_components(links, "uid", "head")
-    clustered = units.select("source", "h1", "h2", "unit_docs", "uid").join(parts, units.uid == parts.node, "left").withColumn("cluster", F.coalesce("component", "uid"))
-    size = clustered.groupBy("source", "cluster").agg(F.sum("unit_docs").alias("cluster_docs")).where(F.col("cluster_docs") >= min_docs)
-    return clustered.join(size, ["source", "cluster"]).select("source", "h1", "h2", "unit_docs", "cluster_docs")
+    units = units.where("same is not null")
+    heads = units.groupBy("src", "same").agg(F.min(F.struct("uid", "shingles")).alias("x"), F.count("*").alias("n"))
+    heads = written(heads.select("src", "same", "x.uid", "x.shingles", "n"))
+    equal = units.join(heads.where("n > 1").select("src", "same", F.col("uid").alias("head")), ["src", "same"]).where("uid <> head").select("uid", "head")
+    slots = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = heads.select("uid", "src", "shingles").mapInArrow(_buckets, "uid long, bucket long").repartition(slots, "bucket")
+    full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.when(F.col("n") > TASK_SETS, F.ceil(F.col("n") / (TASK_SETS // 2))).otherwise(1).cast("int")
+    filled = rows.join(full.select("bucket", blocks.alias("blocks")), "bucket").join(heads.select("uid", "shingles"), "uid")
+    filled = filled.withColumn("block", F.pmod("uid", "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    filled = filled.select("uid", "shingles", "bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    return filled.groupBy("bucket", "i", "j").applyInArrow(_alike, "uid long, head long").unionAll(equal).distinct()
 
 
 def repeated_lines(df: DataFrame, doc: str, source: str, text: str, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, line_no, unit_docs, cluster_docs) of every repeated line, once per document and line.
 
-    Null texts, documents or sources give no rows. Documents that occur twice
-    count once.
+    ``unit_docs`` counts the documents that hold the line's own normal form,
+    ``cluster_docs`` those that hold it or a near-duplicate; lines come out
+    whose cluster has ``min_docs``. Null texts, documents or sources give no
+    rows. Documents that occur twice count once.
     """
-    units = repeated_units(df, doc, source, text, min_docs, min_chars)
-    lines = source_lines(df, doc, source, text, min_chars).select("doc", "line_no", *_unit())
-    return lines.join(units, ["source", "h1", "h2"]).select("doc", "line_no", "unit_docs", "cluster_docs").dropDuplicates(["doc", "line_no"])
+    spark = df.sparkSession
+    lines = source_lines(df, doc, source, text, min_chars)
+    kind = lines.schema["source"].dataType.simpleString()
+    places = written(lines.select("doc", "line_no", *_unit(kind)))
+    # of a line's spellings the greatest stands for it: small letters come after capitals
+    per_doc = lines.select("doc", *_unit(kind), F.xxhash64("source").alias("src"), "line").groupBy("h1", "h2", "src", "doc").agg(F.max("line").alias("line"))
+    units = per_doc.groupBy("h1", "h2", "src").agg(F.count("*").alias("unit_docs"), F.max("line").alias("line"))
+    units = units.select("h1", "h2", F.xxhash64("h1", "h2").alias("uid"), "src", "unit_docs", "line")
+    units = written(units.mapInArrow(_shingled, "h1 long, h2 long, uid long, src long, unit_docs long, same long, shingles array<int>"))
+    parts = connected_components(near_links(units.select("uid", "src", "same", "shingles")), "uid", "head").withColumnRenamed("node", "uid").checkpoint()
+    together = places.select("doc", F.xxhash64("h1", "h2").alias("uid")).join(parts, "uid").select("component", "doc").distinct().groupBy("component").agg(F.count("*").alias("docs"))
+    # units without a near-duplicate that are rare by themselves are gone before they are joined
+    sizes = units.select("h1", "h2", "uid", "unit_docs")
+    linked = sizes.join(parts, "uid").join(together.where(F.col("docs") >= min_docs), "component").select("h1", "h2", "unit_docs", F.col("docs").alias("cluster_docs"))
+    alone = sizes.where(F.col("unit_docs") >= min_docs).join(parts, "uid", "left_anti").select("h1", "h2", "unit_docs", F.col("unit_docs").alias("cluster_docs"))
+    return places.join(linked.unionAll(alone), ["h1", "h2"]).select("doc", "line_no", "unit_docs", "cluster_docs").dropDuplicates(["doc", "line_no"])
 
 
 def without_repeated(df: DataFrame, doc: str, source: str, text: str, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
