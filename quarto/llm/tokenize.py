@@ -4,16 +4,21 @@
 applies one merge gadget per rule, in rank order. The gadget of ``u v -> w``
 gives ``w`` an arc wherever ``u`` has one, splits the state behind ``u`` and
 removes its arc ``v``. All arcs of one label lead to one state, so a state is
-named by the token read last, and an arc exists from ``t`` on ``w`` unless a
-gadget along the right spine of ``t`` and the left spine of ``w`` removed it.
-Arcs are worked out once and kept in the transition table; a word is encoded by
-the only path of arcs that spells it, found left to right. Decoding emits the
-arc labels.
+named by the token read last. A removed arc stays removed for the tokens made
+of its ends later: for the states whose right spine leads to ``u`` by younger
+rules, and the labels whose left spine leads to ``v`` by rules not older. With
+tokens numbered along the tree of left parts, younger children first, those
+labels are one interval; so each gadget is compiled to one interval of labels,
+and the row of a state is the union of the intervals along its right spine. A
+word is encoded from left to right over the trie of the labels: from every
+position, which only one token reaches, the arcs of its state lead on. Decoding
+emits the arc labels.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,6 +36,8 @@ TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 PRE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept per worker; a full cache is emptied, which costs time and changes no result.
 CACHE_WORDS = 400_000
+#: Rows of the transition table that a worker keeps unpacked; there is one per token at most.
+CACHE_ROWS = 8_192
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,7 +56,7 @@ def compile_merges(path: str = TOKENIZER_PATH) -> dict:
     n = max(vocab.values()) + 1
     rank = np.full(n, -1, np.int64)  # of bytes: -1
     left, right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    gadgets: dict[tuple[int, int], int] = {}
+    gadgets: dict[tuple[int, int], int] = {}  # the first rule of a pair
     for r, m in enumerate(model["merges"]):
         a, b = m.split(" ") if isinstance(m, str) else m
         u, v = vocab[bytes(back[c] for c in a)], vocab[bytes(back[c] for c in b)]
@@ -61,80 +68,103 @@ def compile_merges(path: str = TOKENIZER_PATH) -> dict:
     labels = [b""] * n
     for t, i in vocab.items():
         labels[i] = t
-    return {"rank": rank, "left": left, "right": right, "gadgets": gadgets, "labels": labels}
+    # tokens along the tree of left parts, younger children first: position, end of the subtree
+    children: list[list[int]] = [[] for _ in range(n)]
+    for w in np.argsort(-rank, kind="stable").tolist():
+        if left[w] >= 0:
+            children[left[w]].append(w)
+    place, end, at = [0] * n, [0] * n, 0
+    for root in (t for t in vocab.values() if left[t] < 0):
+        stack = [(root, False)]
+        while stack:
+            t, done = stack.pop()
+            if done:
+                end[t] = at
+                continue
+            place[t], at = at, at + 1
+            stack.append((t, True))
+            stack += [(c, False) for c in reversed(children[t])]
+    # the labels that each gadget removes: v, and what was made of it by rules not older
+    older = [[-int(rank[c]) for c in cs] for cs in children]
+    cuts: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
+    for (u, v), r in gadgets.items():
+        young = bisect_right(older[v], -r)
+        cuts[u].append((r, place[v], end[children[v][young - 1]] if young else place[v] + 1))
+    counts = np.array([len(c) for c in cuts], np.int64)
+    flat = np.array([x for c in cuts for x in sorted(c)], np.int64).reshape(-1, 3)
+    return {"rank": rank, "right": right, "place": np.array(place, np.int64), "first": np.concatenate([[0], np.cumsum(counts)]), "gadgets": flat, "labels": labels}
 
 
 class Automaton:
     """Table-driven encoder and decoder of one compiled vocabulary."""
 
     def __init__(self, compiled: dict):
-        self.rank, self.left, self.right = (compiled[k].tolist() for k in ("rank", "left", "right"))
+        self.rank, self.right, self.place, self.first = (compiled[k].tolist() for k in ("rank", "right", "place", "first"))
         self.gadgets, self.labels = compiled["gadgets"], compiled["labels"]
-        self.byte = {t[0]: i for i, t in enumerate(self.labels) if len(t) == 1}
-        self.arcs: dict[int, bool] = {}
-        self.ending: dict[int, int] = {}  # reversed trie: node * 256 + byte -> node
+        self.rows: dict[int, tuple[list[int], list[int]]] = {}
+        self.ahead: dict[int, int] = {}  # trie: node * 256 + byte -> node
         self.token: dict[int, int] = {}
         size = 1
         for i, t in enumerate(self.labels):
             if not t or (len(t) > 1 and self.rank[i] < 0):
                 continue
             node = 0
-            for b in reversed(t):
-                nxt = self.ending.get(node << 8 | b)
+            for b in t:
+                nxt = self.ahead.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.ending[node << 8 | b] = size
+                    nxt = self.ahead[node << 8 | b] = size
                     size += 1
                 node = nxt
             self.token[node] = i
         self.split = regex.compile(PRE_SPLIT).findall
         self.words: dict[str, list[int]] = {}
 
-    def arc(self, t: int, w: int) -> bool:
-        """Whether the state behind token ``t`` has an arc ``w``."""
-        key = t << 20 | w
-        known = self.arcs.get(key)
+    def row(self, t: int) -> tuple[list[int], list[int]]:
+        """The state behind ``t``: starts and ends of the intervals of labels that have no arc."""
+        known = self.rows.get(t)
         if known is None:
-            known = self.arcs[key] = self._arc(t, w)
+            parts, until, x = [], 1 << 60, t
+            while x >= 0:  # along the right spine, each token up to the rule that took it into the next
+                g = self.gadgets[self.first[x] : self.first[x + 1]]
+                parts.append(g[: np.searchsorted(g[:, 0], until), 1:])
+                until, x = self.rank[x], self.right[x]
+            cut = np.concatenate(parts)
+            cut = cut[np.argsort(cut[:, 0], kind="stable")]
+            reach = np.maximum.accumulate(cut[:, 1]) if len(cut) else cut[:, 1]
+            new = np.flatnonzero(np.concatenate([[True], cut[1:, 0] > reach[:-1]])) if len(cut) else np.empty(0, int)
+            known = cut[new, 0].tolist(), (reach[np.append(new[1:], len(cut)) - 1] if len(cut) else reach).tolist()
+            if len(self.rows) >= CACHE_ROWS:
+                self.rows.clear()
+            self.rows[t] = known
         return known
 
-    def _arc(self, t: int, w: int) -> bool:
-        """Unwinds the gadgets from the last to the first: a removal counts while both tokens are current."""
-        rank, left, right, gadgets = self.rank, self.left, self.right, self.gadgets
-        until = 1 << 60
-        while True:
-            r = gadgets.get((t, w))
-            if r is not None and r < until:
-                return False
-            if rank[t] > rank[w]:
-                until = rank[t]
-                t = right[t]
-                if t < 0:
-                    return True
-                continue
-            if rank[w] < 0:
-                return True
-            until = rank[w] + 1  # the rule that made w would also join t and w's left part, as it lies further left
-            w = left[w]
+    def arc(self, t: int, w: int) -> bool:
+        """Whether the state behind token ``t`` has an arc ``w``."""
+        starts, ends = self.row(t)
+        p = self.place[w]
+        k = bisect_right(starts, p) - 1
+        return k < 0 or p >= ends[k]
 
     def word(self, text: str) -> list[int]:
         """Ids of one pre-split word."""
         data = text.encode("utf-8", "surrogatepass")
         n = len(data)
         last, start = [-1] * (n + 1), [0] * (n + 1)
-        ending, token, arc = self.ending, self.token, self.arc
-        for end in range(1, n + 1):
-            node, i, best = 0, end, -1
-            while i:
-                i -= 1
-                node = ending.get(node << 8 | data[i])
+        ahead, token, place = self.ahead, self.token, self.place
+        for i in range(n):
+            starts, ends = self.row(last[i]) if i else ((), ())
+            node, j = 0, i
+            while j < n:
+                node = ahead.get(node << 8 | data[j])
                 if node is None:
                     break
-                t = token.get(node)
-                if t is not None and (i == 0 or arc(last[i], t)):
-                    best, start[end] = t, i  # exactly one token passes
-                    if i:
-                        break
-            last[end] = best
+                j += 1
+                if last[j] < 0:  # exactly one token reaches each position
+                    t = token.get(node)
+                    if t is not None:
+                        k = bisect_right(starts, place[t]) - 1
+                        if k < 0 or place[t] >= ends[k]:
+                            last[j], start[j] = t, i
         out = []
         while n:
             out.append(last[n])
@@ -171,7 +201,7 @@ class Automaton:
                         x = self.word(w)
                         if len(w) < 64:
                             words[w] = x
-                    known = known + x
+                    known += x
                 if len(piece) < 64:
                     words[piece] = known
             ids.append(known)
