@@ -1,9 +1,11 @@
 """Per-document text statistics, and running prose told from lists, tables and junk.
 
 Tables and lists show in the layout: delimiters that stand in the same columns
-of neighbouring lines, a common number of cells, item marks. These signs are
-combined with word, symbol, punctuation and common-word ratios. Changes of
-indentation and the correlation of line lengths are told, but decide nothing.
+of neighbouring lines, a common number of cells, item marks, a period of the
+indentation, and a rhythm of the line lengths. These signs are combined with
+word, symbol, punctuation and common-word ratios by an additive model over
+their steps, fitted on the labels at hand when the query runs; a rule stands in
+where labels are few.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarto.llm.sampling import sampled
 from quarto.llm.textcodes import DIGIT, LETTER, MARK, NUMBER, OTHER, PUNCT, SPACE, SYMBOL, codes_of, kind_table
 from quarto.session import spread
 from quarto.sources.tables import read_table
@@ -36,21 +39,26 @@ _LEADER = re.compile(r"(?:\.{3,}|…)\s*\d+\s*$")
 _SENTENCE_END = ".!?।…\"'”’»)"
 STATS = [
     ("words", "int"), ("mean_word_length", "double"), ("symbol_ratio", "double"), ("punctuated_line_share", "double"), ("common_word_share", "double"),
-    ("lines", "int"), ("aligned_share", "double"), ("numeric_cell_share", "double"), ("item_share", "double"), ("line_autocorrelation", "double"), ("distinct_word_share", "double"), ("indent_period_share", "double"), ("inline_list_share", "double"), ("kind", "string"),
+    ("lines", "int"), ("aligned_share", "double"), ("numeric_cell_share", "double"), ("item_share", "double"), ("line_autocorrelation", "double"), ("distinct_word_share", "double"), ("indent_periodicity", "double"), ("inline_list_share", "double"), ("kind", "string"),
 ]
+KINDS = ["prose", "list", "table", "junk"]
+#: Labelled documents that the model is fitted on, by the hash of their key; steps per statistic, lags looked at.
+LABELS, STEPS, LAGS = 20_000, 8, 6
+#: Log-odds that the rule gives its kind before any label, and the weight that holds the model back.
+TRUST, RIDGE, ROUNDS = 3.0, 2.0, 400
 
 
-def _autocorrelation(x: np.ndarray) -> float:
-    """Correlation of each line's length with the next one's."""
+def _periodicity(x: np.ndarray) -> float:
+    """Highest correlation of a sequence with itself 1 to LAGS places on; 0 for under four values, 1 for equal ones."""
     if len(x) < 4:
         return 0.0
     y = x - x.mean()
     v = float((y * y).sum())
-    return 1.0 if v == 0 else float((y[1:] * y[:-1]).sum() / v)
+    return 1.0 if v == 0 else max(float((y[k:] * y[:-k]).sum() / v) * len(y) / (len(y) - k) for k in range(1, min(LAGS, len(y) // 2) + 1))
 
 
 def layout(lines: list[str]) -> tuple[float, float, float, float, float]:
-    """(aligned, numeric cells, items, autocorrelation, indentation period) of the lines that are not blank."""
+    """(aligned, numeric cells, items, rhythm of line lengths, indentation period) of the lines that are not blank."""
     n = len(lines)
     if n < 2:
         return 0.0, 0.0, 0.0, 0.0, 0.0
@@ -72,13 +80,13 @@ def layout(lines: list[str]) -> tuple[float, float, float, float, float]:
             aligned += k == m or len(set(a) & set(b)) * 2 >= min(k, m)
     lengths = np.array([len(x) for x in lines], float)
     indents = [len(x) - len(x.lstrip()) for x in lines]
-    steps = [b - a for a, b in zip(indents, indents[1:])]
-    period = sum(s != 0 for s in steps) / len(steps)
-    return aligned / (n - 1), numeric / max(1, total), items / n, _autocorrelation(lengths), period
+    indents = np.array(indents, float)
+    period = _periodicity(indents) if indents.any() and np.ptp(indents) else 0.0
+    return aligned / (n - 1), numeric / max(1, total), items / n, _periodicity(lengths), period
 
 
-def kind_of(words: int, mean_length: float, symbols: float, punctuated: float, common: float, lines: int, aligned: float, numeric: float, items: float, autocorrelation: float, distinct: float, inline: float) -> str:
-    """``prose``, ``table``, ``list`` or ``junk``, by thresholds that hold at every size."""
+def kind_of(words: int, mean_length: float, symbols: float, punctuated: float, common: float, lines: int, aligned: float, numeric: float, items: float, distinct: float, inline: float) -> str:
+    """``prose``, ``table``, ``list`` or ``junk`` by a rule, which the model starts from."""
     if lines >= 3 and (aligned >= 0.5 or numeric >= 0.4) and common < 0.2:
         return "table"
     if lines >= 3 and items >= 0.5 and common < 0.2:
@@ -113,27 +121,78 @@ def text_statistics(texts: list[str]) -> list[tuple]:
         slashes = sum(w in ("/", "·", "|", "•") for w in low) + sum(w[-1] in ",;" for w in low)
         feats = layout(lines)
         mean, sym, punct, distinct, inline = s / n, o / max(1, s), ended / len(lines), len(set(low)) / n, slashes / n
-        kind = kind_of(n, mean, sym, punct, common, len(lines), feats[0], feats[1], feats[2], feats[3], distinct, inline)
+        kind = kind_of(n, mean, sym, punct, common, len(lines), feats[0], feats[1], feats[2], distinct, inline)
         out.append((n, mean, sym, punct, common, len(lines), feats[0], feats[1], feats[2], feats[3], distinct, feats[4], inline, kind))
     return out
 
 
-def quality_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ``STATS``): one row per row of ``df``.
+def _matrix(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(statistics, number of the rule's kind) of ``text_statistics`` rows."""
+    return np.array([r[:-1] for r in rows], float).reshape(len(rows), len(STATS) - 1), np.array([KINDS.index(r[-1]) for r in rows], int)
+
+
+class KindModel:
+    """Softmax over the steps of each statistic, with the rule's kind as offset."""
+
+    def __init__(self, cuts: list[np.ndarray], weights: np.ndarray):
+        self.cuts, self.weights = cuts, weights
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(c, x[:, j], "right") + j * STEPS for j, c in enumerate(self.cuts)], 1)
+
+    def scores(self, x: np.ndarray, rule: np.ndarray) -> np.ndarray:
+        out = self.weights[self.cells(x)].sum(1)
+        out[np.arange(len(x)), rule] += TRUST
+        return out
+
+    def kinds(self, x: np.ndarray, rule: np.ndarray) -> list[str]:
+        return [KINDS[k] for k in self.scores(x, rule).argmax(1).tolist()] if len(x) else []
+
+
+def fit_kinds(rows: list[tuple], labels: list[str]) -> KindModel:
+    """The model of ``text_statistics`` rows and their labels; with no labels it is the rule."""
+    x, rule = _matrix(rows)
+    gold = np.array([KINDS.index(k) for k in labels], int)
+    quantiles = np.arange(1, STEPS) / STEPS
+    model = KindModel([np.quantile(x[:, j], quantiles) if len(x) else np.zeros(STEPS - 1) for j in range(x.shape[1])], np.zeros((x.shape[1] * STEPS, len(KINDS))))
+    if not len(x):
+        return model
+    cells = model.cells(x)
+    hot = np.zeros((len(x), len(model.weights)))
+    np.put_along_axis(hot, cells, 1.0, 1)
+    target = np.eye(len(KINDS))[gold]
+    step = 1.0 / (0.5 * x.shape[1] + RIDGE / len(x))
+    ahead, before = model.weights, model.weights
+    for i in range(ROUNDS):  # accelerated gradient descent of a convex loss
+        model.weights = ahead
+        z = model.scores(x, rule)
+        z = np.exp(z - z.max(1, keepdims=True))
+        new = ahead - step * (hot.T @ (z / z.sum(1, keepdims=True) - target) + RIDGE * ahead) / len(x)
+        ahead, before = new + i / (i + 3) * (new - before), new
+    model.weights = before
+    return model
+
+
+def quality_statistics(df: DataFrame, key: str = "doc_id", text: str = "text", model: KindModel | None = None) -> DataFrame:
+    """(key, ``STATS``): one row per row of ``df``; the kind is the model's, or the rule's without one.
 
     Null, empty and blank texts have 0 words and lines, null elsewhere. The
     symbol ratio is of the characters that are not white space.
     """
     kind = df.schema[key].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(model and (model.cuts, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = KindModel(*shared.value) if shared.value else None
         for b in batches:
             texts = [(t or "").replace("\0", " ") for t in b.column(1).to_pylist()]
             full = [i for i, t in enumerate(texts) if t and not t.isspace()]
             rows: list[tuple] = [(0, None, None, None, None, 0) + (None,) * 8] * len(texts)
             if full:
-                for i, r in zip(full, text_statistics([texts[i] for i in full])):
-                    rows[i] = r
+                found = text_statistics([texts[i] for i in full])
+                kinds = fitted.kinds(*_matrix(found)) if fitted else [r[-1] for r in found]
+                for i, r, k in zip(full, found, kinds):
+                    rows[i] = (*r[:-1], k)
             types = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
             cols = [pa.array(c, types[k]) for c, (_, k) in zip(zip(*rows) if rows else [()] * len(STATS), STATS)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, *(n for n, _ in STATS)])
@@ -142,8 +201,18 @@ def quality_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -
     return spread(df.select(F.col(key), F.col(text).alias("_text"))).mapInArrow(run, schema)
 
 
+def fitted_kinds(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> KindModel:
+    """The model fitted on LABELS labelled documents at most; documents without words, other labels and contradicting ones are left out."""
+    few = labels.where(F.col("kind").isin(*KINDS) & F.col(key).isNotNull()).groupBy(key).agg(F.min("kind").alias("label"), F.max("kind").alias("other"))
+    few = sampled(few.where("label = other").select(key, "label"), key, LABELS)
+    known = quality_statistics(docs.join(few.select(key), key, "left_semi").select(key, text), key, text).where("words > 0").dropDuplicates([key])
+    rows = known.join(few, key).select(*(n for n, _ in STATS), "label").orderBy(F.xxhash64(key), key).collect()
+    return fit_kinds([tuple(r)[:-1] for r in rows], [r["label"] for r in rows])
+
+
 def p10_stats(spark: SparkSession, root: str) -> DataFrame:
-    return quality_statistics(read_table(spark, root, "documents"))
+    docs = read_table(spark, root, "documents")
+    return quality_statistics(docs, model=fitted_kinds(docs, read_table(spark, root, "doc_labels")))
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
