@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarto.llm.canonical import CONFUSED, edit_cost
+from quarto.llm.sampling import sampled
 from quarto.llm.textcodes import DATE_WORDS
 from quarto.session import ensure_checkpoint_dir, spread
 from quarto.sources.tables import read_table
@@ -235,9 +236,9 @@ def _noisy(word: str, rng: np.random.Generator) -> tuple[str, list[str]] | None:
 def train_editor(counts: DataFrame, seed: int = 7) -> Editor:
     """The editor for a corpus whose word counts are given; at most TRAIN_WORDS words reach the driver."""
     frequent = counts.where(F.col("n") >= FREQUENT).where(~F.col("word").rlike(r"[0-9!|�©]") & (F.length("word") < 40))
-    compounds = [r["word"] for r in frequent.where(F.col("word").contains("-")).orderBy(F.xxhash64("word"), "word").limit(TRAIN_COMPOUNDS).collect()]
+    compounds = [r["word"] for r in sampled(frequent.where(F.col("word").contains("-")), "word", TRAIN_COMPOUNDS).collect()]
     frequent = frequent.where(~F.col("word").contains("-"))
-    words = [r["word"] for r in frequent.orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS).collect()]
+    words = [r["word"] for r in sampled(frequent, "word", TRAIN_WORDS).collect()]
     letters = frequent.select(F.explode(F.split("word", "")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n")).where(F.length("c") == 1)
     letters = letters.checkpoint()
     total = letters.agg(F.sum("n")).first()[0] or 1
@@ -385,7 +386,7 @@ def train_margins(texts: DataFrame, furniture: tuple[list[str], list[str]], seed
 
     Learned on TRAIN_ITEMS items with a box at most; both kinds weigh alike. None without items of both kinds.
     """
-    rows = texts.where(F.col("box").isNotNull()).select("rec_id", "text", "box").orderBy(F.xxhash64("rec_id"), "rec_id").limit(TRAIN_ITEMS).collect()
+    rows = sampled(texts.where(F.col("box").isNotNull()).select("rec_id", "text", "box"), "rec_id", TRAIN_ITEMS).collect()
     fur = Furniture(*furniture)
     seen = [(_place(r["box"]), fur.parts(r["text"].strip())) for r in rows if len(r["box"]) >= 4 and all(x is not None for x in r["box"][:4])]
     n = sum(y for _, y in seen)
