@@ -146,12 +146,15 @@ def _probe(lead: int, radius: int):
         for one, other in {(i, j), (j, i)}:  # points of one block ask, own points of the other answer
             own = np.flatnonzero((away == 0) & (block == other))
             order = own[np.argsort(sub[own], kind="stable")]
+            starts = np.zeros((1 << BITS) + 2, np.int64)  # of each bucket; the one past the last is empty
+            starts[1 : (1 << BITS) + 1] = np.cumsum(np.bincount(sub[own], minlength=1 << BITS))
+            starts[-1] = starts[-2]
             asks = np.flatnonzero(block == one)
             for at in range(0, len(asks), 16_384):
                 q = asks[at : at + 16_384]
                 # a point from a neighbouring partition was sent with leading bits flipped, which count
-                wanted = np.where(weight[None, :] + away[q, None] <= PROBE, sub[q, None] ^ low[None, :], -1)
-                first, last = np.searchsorted(sub[order], wanted, "left"), np.searchsorted(sub[order], wanted, "right")
+                wanted = np.where(weight[None, :] + away[q, None] <= PROBE, sub[q, None] ^ low[None, :], 1 << BITS)
+                first, last = starts[wanted], starts[wanted + 1]
                 found += _compare(q, first.ravel(), (last - first).ravel(), len(low), order, codes, pid, radius)
         pairs = np.unique(np.concatenate(found)) if found else np.empty(0, PAIR)
         return pa.table({"a": pa.array(np.ascontiguousarray(pairs["a"])), "b": pa.array(np.ascontiguousarray(pairs["b"]))})
