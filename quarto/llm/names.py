@@ -1,12 +1,15 @@
 """Variant spellings of people and organisations, linked.
 
 A name is read as its parts: the family word, the given name or line of
-business, further initials. Family words become vectors of character trigrams
-weighted by rarity; a distributed sparse join brings together those whose
-cosine reaches a threshold, by an inverted index of the rare trigrams that two
-such vectors must share, within the same kind and initial. Pairs whose other
-parts agree are linked, and each component of any size is grouped by average
-linkage over its scored pairs.
+business, further initials. Words become vectors of hashed character n-grams,
+weighted by their rarity among all names; a name's vector is that of all its
+words, in whatever order. A distributed sparse join over an inverted index of
+the n-grams finds all pairs of words whose cosine reaches a threshold, and
+names meet through such words where these weigh enough in both: no list of most
+similar ones is cut. Pairs that met are scored by their parts, and each
+component of linked ones is grouped by average linkage over its scored pairs:
+in one task where they are few, by rounds of reciprocal nearest groups over all
+tasks where they are many, with the same result.
 """
 
 from __future__ import annotations
@@ -29,13 +32,21 @@ from quarto.plans.graph import connected_components
 from quarto.session import ensure_checkpoint_dir
 from quarto.sources.tables import read_table
 
-COSINE, LINK, LINKAGE = 0.25, 0.5, 0.45
-#: Hashed trigrams; bound of the rarity table that is collected and broadcast.
+COSINE, LINK, LINKAGE = 0.35, 0.5, 0.45
+#: Edits between two similar words: a link allows a cost of 2, of which a change of places is two edits here.
+EDITS = 4
+#: Share of a name's weight that a word has through which it meets others; the heaviest and the family word always count.
+KEY_SHARE = 0.45
+#: What a pair of one component counts that never met, as two misspellings of one name may; pairs that met and contradict count 0.
+UNMET = 0.4
+#: Cosine of whole names from which a pair without similarity counts as a contradiction.
+CONTRADICT = 0.5
+#: Hashed n-grams; bound of the rarity table that is collected and broadcast.
 GRAMS = 1 << 18
 #: More edits that two misspellings of one name may be apart; such pairs count in the linkage and link nothing themselves.
 SLACK = 1.5
-#: Tasks that compare the names of one component.
-SPLIT = 8
+#: Pairs of a component that one task groups; larger ones are grouped by distributed rounds.
+TASK_PAIRS = 200_000
 _DIGITS = str.maketrans("01!58|", "olisbl")
 # Short forms of given names.
 NICKNAMES = {
@@ -141,6 +152,14 @@ def _business(a: str, b: str) -> float:
 
 
 def name_similarity(kind: str, a: tuple[str, str, str], b: tuple[str, str, str], slack: float = 0.0) -> float:
+    """Similarity of two names from their parts, 0 if any part contradicts; a person's family and given name may be turned round."""
+    s = _similarity(kind, a, b, slack)
+    if not s and kind == "person" and len(a[1]) > 1 and len(b[1]) > 1 and edit_cost(a[0], b[1]) + edit_cost(a[1], b[0]) <= 1:
+        return 0.85 - 0.12 * (edit_cost(a[0], b[1]) + edit_cost(a[1], b[0]))
+    return s
+
+
+def _similarity(kind: str, a: tuple[str, str, str], b: tuple[str, str, str], slack: float) -> float:
     """Similarity of two names from their parts, 0 if any part contradicts.
 
     ``slack`` more edits of the family word count against it without
@@ -164,13 +183,17 @@ def name_similarity(kind: str, a: tuple[str, str, str], b: tuple[str, str, str],
     return max(0.0, rest - 0.12 * c)
 
 
-def trigrams(family: str) -> list[int]:
-    text = f"^{family}$"
-    return sorted({crc32(text[i : i + 3].encode()) % GRAMS for i in range(len(text) - 2)})
+def grams_of(*words: str) -> list[int]:
+    """Hashed n-grams of the words, their ends marked: trigrams, runs of four in order of the alphabet, which two letters changed round do not alter, and of each word its first letter, which an initial has too."""
+    out = set()
+    for w in words:
+        text = f"^{w}$"
+        out |= {text[i : i + 3] for i in range(len(text) - 2)} | {"".join(sorted(text[i : i + 4])) + "4" for i in range(len(text) - 3)} | {text[:2]}
+    return sorted({crc32(g.encode()) % GRAMS for g in out})
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    """(kind, family, rest, more, block, rec): the parts of each (kind, name, rec); names without a family word are left out."""
+    """(kind, family, rest, more, rec): the parts of each (kind, name, rec); names without a family word are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,70 +203,133 @@ def _parsed(rows: DataFrame) -> DataFrame:
                     k = "org" if kind == "org" else "person"
                     p = organisation(one) if k == "org" else person(one)
                     if p:
-                        out.append((k, *p, k[0] + (p[1] or "-")[0], rec))
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["kind", "family", "rest", "more", "block", "rec"])
+                        out.append((k, *p, rec))
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["kind", "family", "rest", "more", "rec"])
+
+    return rows.mapInArrow(run, "kind string, family string, rest string, more string, rec string")
+
+
+NAME = "kind string, family string, rest string, more string"
+PARTS = ["family", "rest", "more"]
 
-    return rows.mapInArrow(run, "kind string, family string, rest string, more string, block string, rec string")
 
+def _words(family: str, rest: str, more: str) -> list[str]:
+    return [family, *rest.split(), *more]
 
-def similar_families(families: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(block, fa, fb, cosine), fa < fb: pairs of family words of one block whose trigram vectors reach the cosine."""
-    counts = families.select("family").distinct()
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gram_weights(units: DataFrame) -> np.ndarray:
+    """Rarity of each hashed n-gram among the names; GRAMS numbers reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(GRAMS, np.int64)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([trigrams(f) for f in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.int32()))], names=[*b.schema.names, "g"])
+            for parts in zip(*(b.column(i).to_pylist() for i in range(3))):
+                n[grams_of(*_words(*parts))] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["t", "n"])
 
     n = np.ones(GRAMS)
-    for r in counts.mapInArrow(grams, "family string, g array<int>").select(F.explode("g").alias("t")).groupBy("t").count().collect():  # GRAMS rows at most
-        n[r["t"]] = r["count"]
-    idf = np.log(1 + counts.count() / n).astype(np.float32)
-    shared = families.sparkSession.sparkContext.broadcast(idf)
+    for r in units.select(*PARTS).mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # GRAMS rows at most
+        n[r["t"]] = r["n"]
+    return np.log(1 + units.count() / n).astype(np.float32)
+
+
+def similar_words(words: DataFrame, shared, cosine: float = COSINE) -> DataFrame:
+    """(kind, u, v) of all distinct (kind, word) whose vectors reach the cosine and that are EDITS edits apart at most, both ways round; a few whose cosine falls short may come too."""
+    high = float(np.sqrt(cosine))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            out = []
-            for block, family in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                g = sorted(trigrams(family), key=lambda t: (-w[t], t))
-                mass = w[g].astype(float) ** 2
-                rest = mass.sum()
-                for t, m in zip(g, mass):  # what follows the prefix is too light to reach the cosine alone
-                    if rest < cosine * cosine * mass.sum():
-                        break
-                    out.append((block, family, t))
-                    rest -= m
-            cols = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=["block", "family", "t"])
-
-    index = families.select("block", "family").mapInArrow(prefixes, "block string, family string, t int")
-    near = F.abs(F.length("fa") - F.length("fb")) <= 3
-    pairs = index.withColumnRenamed("family", "fa").join(index.withColumnRenamed("family", "fb"), ["block", "t"]).where("fa < fb").where(near).select("block", "fa", "fb").distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, cols = [], [[], [], [], []]
+            for i, word in enumerate(b.column(1).to_pylist()):
+                g = np.array(grams_of(word))
+                g = g[np.lexsort((g, -w[g]))]
+                x = w[g].astype(float)
+                rest = np.sqrt(np.cumsum(x[::-1] ** 2)[::-1])  # from each n-gram on
+                x, rest = x / rest[0], rest / rest[0]
+                low = rest[rest < high]
+                rows += [i] * len(g)
+                for c, v in zip(cols, (g.tolist(), x.tolist(), (rest >= high).tolist(), [float(low[0]) if len(low) else 0.0] * len(g))):
+                    c += v
+            at = pa.array(rows, pa.int32())
+            types = [pa.int32(), pa.float32(), pa.bool_(), pa.float32()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(c, t) for c, t in zip(cols, types))], names=["kind", "word", "t", "x", "high", "low"])
+
+    # Two n-grams that both lie where their vectors have less than the root of the cosine left add less than ``low * low`` in all, so such pairs are not met.
+    slots = 2 * words.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be coalesced
+    index = words.select("kind", "word").mapInArrow(vectors, "kind string, word string, t int, x float, high boolean, low float").repartition(slots, "kind", "t")
+    left = index.where("high").select("kind", "t", F.col("word").alias("p"), F.col("x").alias("px"), F.col("low").alias("pl"))
+    right = index.select("kind", "t", F.col("word").alias("q"), F.col("x").alias("qx"), F.col("low").alias("ql"), "high")
+    met = left.join(right, ["kind", "t"]).where((F.col("p") < F.col("q")) | (~F.col("high") & (F.col("p") != F.col("q"))))
+    pairs = met.groupBy("kind", F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).agg(F.sum(F.col("px").cast("double") * F.col("qx")).alias("dot"), F.max(F.col("pl") * F.col("ql")).alias("open"))
+    pairs = pairs.where(F.col("dot") + F.col("open") >= cosine - 1e-5).where(F.levenshtein("u", "v", EDITS) >= 0).select("kind", "u", "v")
+    same = words.select("kind", F.col("word").alias("u"), F.col("word").alias("v"))
+    return pairs.unionAll(pairs.select("kind", F.col("v").alias("u"), F.col("u").alias("v"))).unionAll(same)
+
+
+def similar_names(units: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(kind, a, b, s, loose) of the pairs of names (uid, kind, family, rest, more), a < b, that meet through similar words.
+
+    ``s`` is their similarity by parts, ``loose`` the one with SLACK; pairs
+    without come out where the whole names' cosine tells that they contradict
+    each other rather than having nothing in common.
+    """
+    units = units.select("uid", "kind", *PARTS)
+    shared = units.sparkSession.sparkContext.broadcast(gram_weights(units))
+    slots = 2 * units.sparkSession.sparkContext.defaultParallelism
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for b in batches:
+            rows, words = [], []
+            for i, parts in enumerate(zip(*(b.column(i).to_pylist() for i in range(2, 5)))):
+                own = sorted({x for x in _words(*parts) if len(x) > 1})
+                mass = [float((w[grams_of(x)].astype(float) ** 2).sum()) for x in own]
+                least = min(KEY_SHARE * sum(mass), max(mass))
+                for x, m in zip(own, mass):
+                    if m >= least or x == parts[0]:
+                        rows.append(i)
+                        words.append(x)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int32())) for c in b.columns), pa.array(words, pa.string())], names=["uid", "kind", *PARTS, "word"])
+
+    named = units.mapInArrow(keys, f"uid long, {NAME}, word string").checkpoint()
+    near = similar_words(named.select("kind", "word").distinct(), shared, cosine)
+    side = lambda x, word: named.select("kind", F.col("word").alias(word), F.col("uid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in PARTS))
+    pairs = near.join(side("a", "u"), ["kind", "u"]).join(side("b", "v"), ["kind", "v"]).where("a < b")
+    pairs = pairs.select("kind", "a", "b", "u", "v", *(f"{c}_{x}" for x in "ab" for c in PARTS)).repartition(slots, "a")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
 
         @lru_cache(maxsize=50_000)
-        def vector(family: str) -> tuple[frozenset, float]:
-            g = trigrams(family)
+        def vector(parts: tuple) -> tuple[frozenset, float]:
+            g = grams_of(*_words(*parts))
             return frozenset(g), float(np.sqrt((w[g].astype(float) ** 2).sum()))
 
-        for b in batches:
-            score = []
-            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for batch in batches:
+            kind, a, b, _, _, fa, ra, ma, fb, rb, mb = (batch.column(i).to_pylist() for i in range(11))
+            out = []
+            for i, (x, y) in enumerate(zip(zip(fa, ra, ma), zip(fb, rb, mb))):
+                loose = name_similarity(kind[i], x, y, SLACK)
+                if loose:
+                    out.append((kind[i], a[i], b[i], name_similarity(kind[i], x, y), loose))
+                    continue
                 (gx, nx), (gy, ny) = vector(x), vector(y)
-                both = list(gx & gy)
-                score.append(float((w[both].astype(float) ** 2).sum()) / (nx * ny))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=["block", "fa", "fb", "cosine"])
+                if float((w[list(gx & gy)].astype(float) ** 2).sum()) >= CONTRADICT * nx * ny:
+                    out.append((kind[i], a[i], b[i], 0.0, 0.0))
+            cols = list(zip(*out)) if out else [[]] * 5
+            types = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], names=["kind", "a", "b", "s", "loose"])
 
-    return pairs.mapInArrow(verify, "block string, fa string, fb string, cosine double").where(F.col("cosine") >= cosine)
+    return pairs.mapInArrow(score, "kind string, a long, b long, s double, loose double").distinct()
 
 
-def sparse_linkage(left: list[int], right: list[int], similarity: list[float], weight: list[float], least: float) -> list[int]:
+def sparse_linkage(left: list[int], right: list[int], similarity: list[float], weight: list[float], least: float, unmet: float = 0.0) -> list[int]:
     """Group number (its least item) of each item: the two groups of highest mean similarity are joined until none reaches ``least``.
 
-    Pairs that are not given count 0, so memory and time go by the pairs given.
+    Pairs that are not given count ``unmet``, so memory and time go by the pairs given.
     A mean in the heap is a bound from above: it falls as its groups grow, and
     one whose sum has grown is put in anew.
     """
@@ -252,7 +338,8 @@ def sparse_linkage(left: list[int], right: list[int], similarity: list[float], w
     total: list[dict[int, float]] = [{} for _ in range(n)]
     for i, j, s in zip(left, right, similarity):
         if i != j:
-            total[i][j] = total[j][i] = s * weight[i] * weight[j]
+            total[i][j] = total[j][i] = (s - unmet) * weight[i] * weight[j]
+    least -= unmet
     live = [True] * n
 
     def entry(i: int, j: int) -> tuple[float, int, int, int, int]:
@@ -296,14 +383,38 @@ def average_linkage(similarity: np.ndarray, weight: np.ndarray, least: float) ->
     return np.array(sparse_linkage(i.tolist(), j.tolist(), similarity[i, j].tolist(), weight.tolist(), least))
 
 
-def _grouped(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+def _grouped(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """Average linkage of one component's names over its scored pairs, weighted by the root of how often they occur."""
-    pdf = pdf.sort_values(["n", "family", "rest", "more"], ascending=[False, True, True, True]).reset_index(drop=True)
-    at = pd.Index(pdf.uid)
+    nodes = nodes.sort_values("uid").reset_index(drop=True)
+    at = pd.Index(nodes.uid)
     i, j = at.get_indexer(pairs.a), at.get_indexer(pairs.b)
-    order = np.lexsort((np.maximum(i, j), np.minimum(i, j)))
-    group = sparse_linkage(i[order].tolist(), j[order].tolist(), pairs.s.to_numpy()[order].tolist(), np.sqrt(pdf.n.to_numpy(float)).tolist(), LINKAGE)
-    return pd.DataFrame({"uid": pdf.uid, "cluster": pdf.uid.to_numpy()[group]})
+    group = sparse_linkage(i.tolist(), j.tolist(), pairs.loose.tolist(), nodes.weight.tolist(), LINKAGE, UNMET)
+    return pd.DataFrame({"uid": nodes.uid, "cluster": nodes.uid.to_numpy()[group]})
+
+
+def linkage_rounds(nodes: DataFrame, pairs: DataFrame, least: float = LINKAGE, unmet: float = UNMET) -> DataFrame:
+    """(uid, cluster): ``sparse_linkage`` of (uid, weight) nodes and (a, b, loose) pairs of any number, by distributed rounds.
+
+    Each round joins all pairs of groups that are each other's nearest and reach
+    ``least``. The mean of a joined group is never above its parts' better one,
+    so the order of such joins does not matter and the groups are those of the
+    one-by-one linkage. Every round is cut by a checkpoint.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    groups = nodes.select("uid", F.col("uid").alias("cluster"), "weight").checkpoint()
+    w = nodes.select(F.col("uid").alias("a"), F.col("weight").alias("wa")), nodes.select(F.col("uid").alias("b"), F.col("weight").alias("wb"))
+    edges = pairs.join(w[0], "a").join(w[1], "b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max((F.col("loose") - unmet) * F.col("wa") * F.col("wb")).alias("total")).checkpoint()
+    while True:
+        size = groups.groupBy("cluster").agg(F.sum("weight").alias("size"))
+        mean = edges.join(size.select(F.col("cluster").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("cluster").alias("b"), F.col("size").alias("sb")), "b")
+        mean = mean.select(F.struct((F.col("total") / (F.col("sa") * F.col("sb"))).alias("m"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b")).alias("x"), "a", "b").where(F.col("x.m") >= least - unmet)
+        best = mean.select(F.col("a").alias("g"), "x").unionAll(mean.select(F.col("b").alias("g"), "x")).groupBy("g").agg(F.max("x").alias("x"))
+        joins = best.groupBy("x").agg(F.count("*").alias("n")).where("n = 2").select((-F.col("x.b")).alias("cluster"), (-F.col("x.a")).alias("into")).checkpoint()
+        if joins.isEmpty():
+            return groups.select("uid", "cluster")
+        moved = lambda df, c: df.join(joins.withColumnRenamed("cluster", c), c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
+        groups = moved(groups, "cluster").checkpoint()
+        edges = moved(moved(edges, "a"), "b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("total").alias("total")).checkpoint()
 
 
 def link_names(rows: DataFrame) -> DataFrame:
@@ -316,38 +427,20 @@ def link_names(rows: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(rows.sparkSession)
     parsed = _parsed(rows.where(F.trim("name") != "").select("kind", "name", "rec")).distinct()
-    uid = F.xxhash64("kind", "family", "rest", "more").alias("uid")
-    parsed = parsed.select("*", uid).checkpoint()
-    units = parsed.groupBy("uid", "kind", "family", "rest", "more", "block").agg(F.count("*").alias("n")).checkpoint()
-    families = units.select("block", "family").distinct()
-    near = similar_families(families)
-    a = units.select("block", F.col("family").alias("fa"), F.col("rest").alias("ra"), F.col("more").alias("ma"), F.col("uid").alias("a"), "kind")
-    b = units.select("block", F.col("family").alias("fb"), F.col("rest").alias("rb"), F.col("more").alias("mb"), F.col("uid").alias("b"))
-    other = near.join(a, ["block", "fa"]).join(b, ["block", "fb"])
-    same = a.join(b.withColumnRenamed("fb", "fa"), ["block", "fa"]).where("a < b").withColumn("fb", F.col("fa"))
-    cols = ["kind", "fa", "ra", "ma", "a", "fb", "rb", "mb", "b"]
-
-    def score(slack: float):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
-                c = [t.column(i).to_pylist() for i in range(9)]
-                s = [name_similarity(k, (f, r, m), (f2, r2, m2), slack) for k, f, r, m, f2, r2, m2 in zip(c[0], c[1], c[2], c[3], c[5], c[6], c[7])]
-                yield pa.RecordBatch.from_arrays([t.column(4), t.column(8), pa.array(s, pa.float64())], names=["a", "b", "s"])
-
-        return run
-
+    parsed = parsed.select("*", F.xxhash64("kind", *PARTS).alias("uid")).checkpoint()
+    units = parsed.groupBy("uid", "kind", *PARTS).agg(F.sqrt(F.count("*")).alias("weight")).checkpoint()
+    near = similar_names(units).checkpoint()
+    parts = connected_components(near.where(F.col("s") >= LINK), "a", "b").checkpoint()
+    # the pairs within a component, also those that alone would not link, or contradict
+    of = lambda c, x: parts.select(F.col("node").alias(c), F.col("component").alias(x))
+    inside = near.join(of("a", "of"), "a").join(of("b", "of_b"), "b").where("of = of_b").select("of", "a", "b", "loose").checkpoint()
+    large = inside.groupBy("of").count().where(F.col("count") > TASK_PAIRS).select("of")
+    linked = units.join(parts, units.uid == parts.node).select("component", "uid", "weight").checkpoint()
     slots = 2 * rows.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be coalesced
-    links = other.select(cols).unionAll(same.select(cols)).repartition(slots, "a").mapInArrow(score(0.0), "a long, b long, s double").where(F.col("s") >= LINK)
-    parts = connected_components(links.select("a", "b"), "a", "b")
-    linked = units.join(parts, units.uid == parts.node).select("uid", "kind", "family", "rest", "more", "n", "component").checkpoint()
-    # all pairs of a component, also those whose trigrams are too far apart to link; a large component is compared in SPLIT tasks
-    a = linked.select("component", "kind", *(F.col(c).alias(d) for c, d in zip(("family", "rest", "more", "uid"), cols[1:5])), F.pmod("uid", F.lit(SPLIT)).cast("int").alias("salt"))
-    b = linked.select("component", *(F.col(c).alias(d) for c, d in zip(("family", "rest", "more", "uid"), cols[5:])), F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("salt"))
-    a, b = (x.repartition(slots, "component", "salt") for x in (a, b))
-    inside = a.join(b, ["component", "salt"]).where("a < b").where(F.abs(F.length("fa") - F.length("fb")) <= 3)
-    inside = inside.select(*cols).mapInArrow(score(SLACK), "a long, b long, s double").where(F.col("s") > 0)
-    inside = inside.join(linked.select(F.col("uid").alias("a"), F.col("component").alias("of")), "a")
-    clusters = linked.repartition(slots, "component").groupBy("component").cogroup(inside.repartition(slots, "of").groupBy("of")).applyInPandas(_grouped, "uid long, cluster long")
+    small = linked.join(large, linked.component == large.of, "left_anti").repartition(slots, "component").groupBy("component")
+    clusters = small.cogroup(inside.join(large, "of", "left_anti").repartition(slots, "of").groupBy("of")).applyInPandas(_grouped, "uid long, cluster long")
+    if not large.isEmpty():
+        clusters = clusters.unionByName(linkage_rounds(linked.join(large, linked.component == large.of, "left_semi").select("uid", "weight"), inside.join(large, "of", "left_semi").select("a", "b", "loose")))
     return parsed.join(clusters, "uid", "left").select("rec", F.coalesce("cluster", "uid").alias("cluster")).distinct()
 
 

@@ -198,6 +198,24 @@ def test_near_duplicate_lines_cluster(spark):
     assert boilerplate.repeated_lines(df, "doc", "source", "text").where("cluster_docs >= 5").count() == 6
 
 
+def test_cluster_counts_documents_once(spark):
+    """Three documents with two bylines each that differ in the name alone: six lines, three documents."""
+    rows = [(1, d, "\n".join(f"Agency copy edited for length and style by {n} of the desk" for n in (f"Mersed{d}a", f"Dunbis{d}a"))) for d in range(3)]
+    got = boilerplate.repeated_lines(frame(spark, rows, "source long, doc long, text string"), "doc", "source", "text", min_docs=3).collect()
+    assert len(got) == 6 and {r.cluster_docs for r in got} == {3}
+    clean = boilerplate.without_repeated(frame(spark, rows, "source long, doc long, text string"), "doc", "source", "text").collect()
+    assert all(len(r.text.split("\n")) == 2 for r in clean)
+
+
+def test_a_full_bucket_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate, "TASK_SETS", 8)
+    rng = random.Random(24)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(6))
+    head = [word() for _ in range(40)]
+    rows = [(1, d, " ".join(head[:39] + [word()])) for d in range(60)]
+    assert boilerplate.repeated_lines(frame(spark, rows, "source long, doc long, text string"), "doc", "source", "text").where("cluster_docs = 60").count() == 60
+
+
 def test_bucket_links_past_its_head():
     import pyarrow as pa
 
@@ -316,21 +334,48 @@ def test_names_link(spark):
     assert names.link_names(frame(spark, [], "kind string, name string, rec string")).count() == 0
 
 
+def test_names_typed_otherwise(spark):
+    """A first letter mistyped, parts turned round without a comma, a letter off in the line of business."""
+    rows = [("person", "Robert Hallowell", "p1"), ("person", "Rob Hallowell", "p2"), ("person", "Kobert Hallowell", "p3"), ("person", "Hallowell Robert", "p4"), ("org", "Brackmoor Bank", "o1"), ("org", "Brackmoor Vank", "o2"), ("org", "Brackmoor Foundry", "o3"), ("person", "Ingrid Hallowell", "p5")]
+    rows += [("person", f"{g} {f}", f"x{g}{f}") for g in ("Robert", "Ingrid", "Edward") for f in ("Stadonber", "Tolgamek", "Krenagow", "Vespukin")]
+    got = {}
+    for r in names.link_names(frame(spark, rows, "kind string, name string, rec string")).collect():
+        got.setdefault(r.cluster, set()).add(r.rec)
+    assert sorted(map(sorted, (s for s in got.values() if len(s) > 1))) == [["o1", "o2"], ["p1", "p2", "p3", "p4"]]
+
+
 def test_cosine_join_against_brute_force(spark):
     rng = random.Random(12)
     syll = [a + b for a in "bdgkmrst" for b in ("ar", "el", "ov", "um", "ik")]
-    fam = sorted({"".join(rng.choice(syll) for _ in range(3)) for _ in range(150)})
-    rows = [("pa" if i % 3 else "pb", f) for i, f in enumerate(fam)]
-    got = {(r.block, r.fa, r.fb) for r in names.similar_families(frame(spark, rows, "block string, family string"), 0.5).collect()}
-    n = {}
-    for f in fam:
-        for g in names.trigrams(f):
-            n[g] = n.get(g, 0) + 1
-    w = {g: float(np.float32(np.log(1 + len(fam) / c))) for g, c in n.items()}
-    vec = {f: set(names.trigrams(f)) for f in fam}
-    norm = {f: sum(w[g] ** 2 for g in vec[f]) ** 0.5 for f in fam}
-    want = {(b, x, y) for b, x in rows for c, y in rows if b == c and x < y and sum(w[g] ** 2 for g in vec[x] & vec[y]) / norm[x] / norm[y] >= 0.5}
-    assert got == want
+    words = sorted({(rng.choice(["person", "org"]), "".join(rng.choice(syll) for _ in range(3))) for _ in range(250)})
+    w = np.array([1 + (t * 7919 % 100) / 25 for t in range(names.GRAMS)], np.float32)
+    got = {(r.kind, r.u, r.v) for r in names.similar_words(frame(spark, words, "kind string, word string"), spark.sparkContext.broadcast(w), 0.5).collect()}
+
+    def cosine(x, y):
+        gx, gy = names.grams_of(x), names.grams_of(y)
+        mass = lambda g: float((w[sorted(g)].astype(float) ** 2).sum())
+        return mass(set(gx) & set(gy)) / (mass(gx) * mass(gy)) ** 0.5
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, old = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (a != b)))
+        return row[-1]
+
+    every = {(k, x, y): cosine(x, y) for k, x in words for j, y in words if k == j}
+    want = {(k, x, y) for (k, x, y), c in every.items() if c >= 0.5 and edits(x, y) <= names.EDITS}
+    assert want <= got and len(want) > len(words) + 20 and min(every[p] for p in got) > 0.04
+
+
+def test_linkage_by_rounds_is_the_same(spark):
+    rng = random.Random(23)
+    weight = [rng.choice([1.0, 1.5, 2.0]) for _ in range(120)]
+    pairs = {(i, j): max(0.0, rng.uniform(-0.1, 1)) for i in range(120) for j in range(i + 1, 120) if (i // 6 == j // 6 and rng.random() < 0.9) or rng.random() < 0.01}
+    want = names.sparse_linkage([i for i, _ in pairs], [j for _, j in pairs], list(pairs.values()), weight, 0.45, names.UNMET)
+    got = names.linkage_rounds(frame(spark, list(enumerate(weight)), "uid long, weight double"), frame(spark, [(i, j, s) for (i, j), s in pairs.items()], "a long, b long, loose double"))
+    assert [r.cluster for r in got.orderBy("uid").collect()] == want and len(set(want)) < 120
 
 
 def test_average_linkage_by_hand():
@@ -443,13 +488,27 @@ def test_leak_with_an_edit(spark):
 # 10: quality
 
 
-def test_quality_on_labels(spark):
+def test_quality_on_labels_left_out(spark):
+    """Fitted on one half of the labels, measured on the other, both ways."""
     root = "/root/testdata/sf0.1"
-    label = spark.read.parquet(f"{root}/doc_labels.parquet").distinct()
-    docs = spark.read.parquet(f"{root}/documents.parquet").join(label, "doc_id").where(F.length(F.trim("text")) > 0)
-    got = quality.quality_statistics(docs).withColumnRenamed("kind", "got").join(label, "doc_id").collect()
-    right = sum((r.got == "prose") == (r.kind == "prose") for r in got)
-    assert right >= 0.98 * len(got)
+    label = spark.read.parquet(f"{root}/doc_labels.parquet").distinct().withColumn("half", F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(2)))
+    docs = spark.read.parquet(f"{root}/documents.parquet").join(label.select("doc_id"), "doc_id").where(F.length(F.trim("text")) > 0)
+    right = n = 0
+    for half in (0, 1):
+        model = quality.fitted_kinds(docs, label.where(F.col("half") == half))
+        got = quality.quality_statistics(docs.join(label.where(F.col("half") != half).select("doc_id"), "doc_id"), model=model).withColumnRenamed("kind", "got").join(label, "doc_id").collect()
+        right, n = right + sum((r.got == "prose") == (r.kind == "prose") for r in got), n + len(got)
+    assert n > 300 and right >= 0.985 * n
+
+
+def test_layout_signals_decide():
+    """Where only the indentation's period tells two kinds apart, the model uses it; without labels it is the rule."""
+    base = (40, 5.0, 0.0, 0.9, 0.3, 9, 0.0, 0.0, 0.0, 0.1, 0.9, 0.0, 0.0, "prose")
+    listed = (*base[:11], 0.9, *base[12:])
+    model = quality.fit_kinds([base, listed] * 40, ["prose", "list"] * 40)
+    assert model.kinds(*quality._matrix([base, listed])) == ["prose", "list"]
+    assert quality.fit_kinds([], []).kinds(*quality._matrix([base, listed])) == ["prose", "prose"]
+    assert quality._periodicity(np.array([0.0, 4, 8] * 6)) > 0.9 > 0.5 > quality._periodicity(np.array([3.0, 9, 1, 7, 2, 8, 8, 1, 5, 6, 2, 9]))
 
 
 def test_quality_values(spark):
