@@ -10,10 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarto.plans.filters import Filters, apply_filters, label
+from quarto.plans.filters import Filters, apply_filters, apply_filters_to, label
 from quarto.sources.archive import READY, SQL, Archive
 
 
+def narrowed(ar: Archive, f: Filters, tables: list[str]) -> Archive:
+    """The archive with those filters on its tables that copies of a row meet all or none of, below the step that drops the copies."""
+    dates, texts = apply_filters_to(f, ["newspaper_id", "issue_date"]), apply_filters_to(f, ["section", "article_type"])
+    conditions = {t: c for t in tables if (c := dates if t == "issues" else texts) is not None}
+    return ar.where(**conditions)
+
+
 def availability(ar: Archive) -> DataFrame:
     """A1: papers with a ready issue, per date."""
     ready = ar.issue_papers.where(F.col("ingestion_status").isin(*READY))
@@ -45,9 +52,11 @@ def latest_issue(ar: Archive, f: Filters) -> DataFrame:
 
 
 def issue_manifest(ar: Archive, f: Filters) -> DataFrame:
-    """A5: the stories of the latest issue that the filters leave, page by page, lead stories first."""
+    """A5: the stories of the latest issue that the filters leave, page by page, lead stories first; the issue is looked up first, so only its pages are read on."""
     rank = prominence_rank(F.col("prominence"))
-    s = ar.stories.join(latest_issue(ar, f).select("issue_id"), "issue_id", "left_semi")
+    found = narrowed(ar, f, ["issues"])
+    issue = latest_issue(found, f).select("issue_id").first()  # one row
+    s = ar.of_issue(issue[0] if issue else None).stories
     return s.select("issue_id", "article_id", "page_number", F.coalesce(F.nullif("headline", F.lit("")), F.lit("Untitled Article")).alias("headline"), label("section", "General").alias("section"), "article_type", rank.alias("prominence_rank"))
 
 
@@ -64,6 +73,7 @@ def prominence_rank(c: Column) -> Column:
 
 def count_articles(ar: Archive, f: Filters) -> DataFrame:
     """Distinct stories under all filters, the page filter included."""
+    ar = narrowed(ar, f, ["issues", "article_skeletons"])
     rows = apply_filters(ar.stories, f)
     if f.page is not None:
         pages = ar.story_pages.where(F.col("page_number") == f.page).select("article_id").distinct()
@@ -76,6 +86,7 @@ def list_articles(ar: Archive, f: Filters, limit: int = 30, strict: bool = True)
 
     The listing of old ignored the page filter, which ``strict`` keeps.
     """
+    ar = narrowed(ar, f, ["issues", "article_skeletons"])
     rows = apply_filters(ar.stories, f)
     if f.page is not None and not strict:
         rows = rows.join(ar.story_pages.where(F.col("page_number") == f.page).select("article_id").distinct(), "article_id", "left_semi")
@@ -86,7 +97,8 @@ def list_articles(ar: Archive, f: Filters, limit: int = 30, strict: bool = True)
 
 def count_ads(ar: Archive, f: Filters) -> DataFrame:
     """Advertisements per paper."""
-    rows = apply_filters(ar.dated_articles, f).where(F.col("article_type") == "advertisement")
+    ar = narrowed(ar, f, ["issues", "articles"]).where(articles=F.col("article_type") == "advertisement")
+    rows = apply_filters(ar.dated_articles, f)
     return rows.groupBy("newspaper").agg(F.count("*").alias("advertisements"), F.min("issue_date").alias("first_date"), F.max("issue_date").alias("last_date"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarto.functions.dates import date_int
+from quarto.session import ensure_checkpoint_dir
 from quarto.sources.archive import SQL, Archive
 
 
@@ -61,26 +62,48 @@ def update_where(table: DataFrame, condition: Column, values: dict[str, Column])
 
 def get_or_create(dimension: DataFrame, names: DataFrame, name: str, key: str) -> DataFrame:
     """The dimension with a row for every name; new ids go on from the largest, in the order of names."""
+    ensure_checkpoint_dir(names.sparkSession)
     new = names.select(name).where(F.col(name).isNotNull()).distinct().join(dimension.select(name), name, "left_anti")
+    new = new.orderBy(name).withColumn("_p", F.spark_partition_id()).checkpoint()  # ranges of names, numbered one after another
+    before = new.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_b", F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # one row per range
     top = dimension.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
-    add = new.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy(name))).cast("long").alias(key), name)  # a dimension's new names
-    return dimension.select(key, name).unionByName(add)
+    add = new.join(F.broadcast(before.select("_p", F.coalesce("_b", F.lit(0)).alias("_b"))), "_p").crossJoin(F.broadcast(top))  # one row
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(name))
+    return dimension.select(key, name).unionByName(add.select((F.col("top") + F.col("_b") + at).cast("long").alias(key), name))
 
 
 def delete_issue(ar: Archive, issue_id: int) -> dict[str, DataFrame]:
-    """Every table without an issue and what hangs on it."""
+    """Every table without an issue and what hangs on it.
+
+    Pages take their stories and raw items along, articles their chunks, and
+    chunks their vectors unless a chunk that stays has the same one.
+    """
     gone_articles = ar.articles.where(F.col("issue_id") == issue_id).select(F.col("id").alias("article_id"))
-    gone_chunks = ar.chunks.join(gone_articles, "article_id", "left_semi")
-    vectors = gone_chunks.select(F.lower(F.trim("embedding_vector_id")).alias("id")).where("id is not null")
+    gone_pages = ar.table("page_layouts").where(F.col("issue_id") == issue_id).select("layout_id")
+    vector = F.lower(F.trim(F.translate("embedding_vector_id", "{}", ""))).alias("id")
+    chunks = ar.chunks.join(gone_articles, "article_id", "left_anti")
+    gone_vectors = ar.chunks.join(gone_articles, "article_id", "left_semi").select(vector).where("id <> ''").join(chunks.select(vector), "id", "left_anti").distinct()
     return {
         "issues": ar.issues.where(F.col("id") != issue_id),
         "articles": ar.articles.where(F.coalesce(F.col("issue_id") != issue_id, F.lit(True))),
-        "article_chunks": ar.chunks.join(gone_articles, "article_id", "left_anti"),
-        "vector_points": ar.vectors.join(vectors, "id", "left_anti"),
-        "page_layouts": ar.table("page_layouts").where(F.col("issue_id") != issue_id),
+        "article_chunks": chunks,
+        "vector_points": ar.vectors.join(gone_vectors, "id", "left_anti"),
+        "page_layouts": ar.table("page_layouts").where(F.coalesce(F.col("issue_id") != issue_id, F.lit(True))),
+        "article_skeletons": ar.table("article_skeletons").dropDuplicates(["skeleton_id"]).join(gone_pages, "layout_id", "left_anti"),
+        "parsed_items": ar.table("parsed_items").dropDuplicates(["item_id"]).join(gone_pages, "layout_id", "left_anti"),
     }
 
 
+def remaining_rows(ar: Archive, issue_id: int) -> DataFrame:
+    """(name, id) of every row that stays when an issue is deleted."""
+    keys = {"page_layouts": "layout_id", "article_skeletons": "skeleton_id", "parsed_items": "item_id"}
+    out = None
+    for name, df in delete_issue(ar, issue_id).items():
+        part = df.select(F.lit(name).alias("name"), F.col(keys.get(name, "id")).cast("string").alias("id"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def purge_page(ar: Archive, issue_id: int, page: int) -> DataFrame:
     """(article_id, action) of the stories on a page: deleted if they have no other page, else only unmapped."""
     p = ar.story_pages.where(F.col("issue_id") == issue_id)
@@ -145,7 +168,7 @@ QUERIES = {
     "s06_delete_vectors": _q(lambda ar: delete_ids(ar.vectors.select("id"), ar.table("deletion_log").where("target_table = 'vector_points'").select(F.lower("target_key").alias("id")), "id")),
     "s07_backfill_dates": _q(backfill_dates),
     "s10_history": _q(lambda ar: history(ar.table("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("query"), F.lit('{"citations": [1, 2]}').alias("citations"), F.col("ts").alias("at")))),
-    "s12_delete_issue": _q(lambda ar: delete_issue(ar, 58)["article_chunks"].select("id")),
+    "s12_delete_issue": _q(lambda ar: remaining_rows(ar, 58)),
     "s13_purge_page": _q(lambda ar: purge_page(ar, 301, 12)),
     "s15_schema": lambda spark, root: schema_rows(spark, root, ["articles", "issues", "newspapers"]),
     "s18_rename_paper": _q(lambda ar: rename_paper(ar, "Ostelby Ledger", "Ostelby Post")),
@@ -160,7 +183,12 @@ ORACLE = {
     "s06_delete_vectors": "select distinct id from vector_points where id not in (select lower(target_key) from deletion_log where target_table = 'vector_points')",
     "s07_backfill_dates": "select distinct id, cast(strftime(try_cast(json_extract_string(payload, '$.issue_date') as date), '%Y%m%d') as integer) issue_date_int from vector_points where try_cast(json_extract_string(payload, '$.issue_date') as date) is not null",
     "s10_history": "select event_id id, event_type query, cast(2 as integer) citations_count, ts as at from events order by ts desc, event_id desc limit 20",
-    "s12_delete_issue": "select distinct id from article_chunks where article_id not in (select id from articles where issue_id = 58)",
+    "s12_delete_issue": """with a as (select distinct id, issue_id from articles), g as (select id article_id from a where issue_id = 58), c as (select distinct id, article_id, lower(trim(translate(embedding_vector_id, '{}', ''))) v from article_chunks), k as (select * from c where article_id is null or article_id not in (select article_id from g)), p as (select layout_id from page_layouts where issue_id = 58)
+        select 'issues' as name, cast(id as varchar) id from (select distinct id from issues where id <> 58) union all select 'articles', cast(id as varchar) from a where issue_id is distinct from 58 union all select 'article_chunks', cast(id as varchar) from (select distinct id from k)
+        union all select 'vector_points', id from (select distinct id from vector_points) where id not in (select v from c where article_id in (select article_id from g) and v <> '') or id in (select v from k where v <> '')
+        union all select 'page_layouts', cast(layout_id as varchar) from page_layouts where issue_id is distinct from 58
+        union all select 'article_skeletons', cast(skeleton_id as varchar) from (select distinct skeleton_id, layout_id from article_skeletons) where layout_id is null or layout_id not in (select layout_id from p)
+        union all select 'parsed_items', cast(item_id as varchar) from (select distinct item_id, layout_id from parsed_items) where layout_id is null or layout_id not in (select layout_id from p)""",
     "s13_purge_page": SQL + "select article_id, case when count(*) filter (page_number <> 12) > 0 then 'unmap' else 'delete' end action from story_pages where issue_id = 301 and article_id in (select article_id from story_pages where issue_id = 301 and page_number = 12) group by 1",
     "s18_rename_paper": "select distinct id, case when n = 'Ostelby Ledger' then 'Ostelby Post' else n end newspaper_name from (select id, json_extract_string(payload, '$.newspaper_name') n from vector_points)",
     "s19_get_or_create": "with n as (select distinct trim(newspaper_brand) as name from page_layouts where trim(newspaper_brand) <> ''), m as (select name from n where name not in (select name from newspapers)) select id, name from newspapers union all select (select max(id) from newspapers) + row_number() over (order by name), name from m",

@@ -124,8 +124,10 @@ def rerank(fused: DataFrame, queries: DataFrame, articles: DataFrame, pool: int
     w = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "article_id")
     c = fused.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool)
     c = c.join(queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("q")), "query_id")
-    text = F.concat_ws(" ", "headline", "full_text")
-    c = c.join(articles.select("article_id", F.array_distinct(tokens(text)).alias("d"), F.col("prominence_score").alias("p")), "article_id")
+    # only the articles of the pools, and their text is tokenised behind the join
+    mine = articles.join(c.select("article_id").distinct(), "article_id", "left_semi")
+    c = c.join(mine.select("article_id", F.concat_ws(" ", "headline", "full_text").alias("text"), F.col("prominence_score").alias("p")), "article_id")
+    c = c.withColumn("d", F.array_distinct(tokens(F.col("text"))))
     overlap = F.size(F.array_intersect("q", "d")) / F.greatest(F.lit(1), F.size("q"))
     score = F.round(0.6 * overlap + 0.3 * F.col("rrf_score") + 0.1 * F.least(F.lit(1.0), F.col("p")), 4)
     if strict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,26 +29,39 @@ def contains_ci(c: str | Column, text: str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).ilike(f"%{text}%")
 
 
-def apply_filters(df: DataFrame, f: Filters) -> DataFrame:
-    """The filters as predicates, each only if given, so that they reach the scan."""
+def _predicates(f: Filters) -> list[tuple[str, Column]]:
+    """(column, predicate) of each filter given."""
+    date = lambda text: F.lit(iso(text)).cast("date")
+    out: list[tuple[str, Column]] = []
     if f.newspaper:
-        df = df.where(contains_ci("newspaper", f.newspaper))
+        out.append(("newspaper", contains_ci("newspaper", f.newspaper)))
     if f.newspaper_id is not None:
-        df = df.where(F.col("newspaper_id") == f.newspaper_id)
+        out.append(("newspaper_id", F.col("newspaper_id") == f.newspaper_id))
     if f.issue_date:
-        df = df.where(F.col("issue_date") == F.lit(iso(f.issue_date)).cast("date"))
+        out.append(("issue_date", F.col("issue_date") == date(f.issue_date)))
     else:
-        if f.date_from:
-            df = df.where(F.col("issue_date") >= F.lit(iso(f.date_from)).cast("date"))
-        if f.date_to:
-            df = df.where(F.col("issue_date") <= F.lit(iso(f.date_to)).cast("date"))
+        out += [("issue_date", F.col("issue_date") >= date(f.date_from))] if f.date_from else []
+        out += [("issue_date", F.col("issue_date") <= date(f.date_to))] if f.date_to else []
     if f.section:
-        df = df.where(contains_ci("section", f.section))
+        out.append(("section", contains_ci("section", f.section)))
     if f.article_type:
-        df = df.where(F.col("article_type") == f.article_type)
+        out.append(("article_type", F.col("article_type") == f.article_type))
+    return out
+
+
+def apply_filters(df: DataFrame, f: Filters) -> DataFrame:
+    """The filters as predicates, each only if given, so that they reach the scan."""
+    for _, p in _predicates(f):
+        df = df.where(p)
     return df
 
 
+def apply_filters_to(f: Filters, columns: list[str]) -> Column | None:
+    """The given filters on some columns as one predicate; None if there are none."""
+    mine = [p for c, p in _predicates(f) if c in columns]
+    return reduce(lambda a, b: a & b, mine) if mine else None
+
+
 def iso(text: str) -> str:
     """P5 for a parameter: ``Y-M-D`` padded; ``D/M/Y`` or ``D-M-Y``, turned where only that makes a month; other text as it is."""
     text = text.strip()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarto.sources.tables import read_table
@@ -18,11 +18,23 @@ READY = ("completed", "indexed", "ready")
 
 
 class Archive:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    """The tables under a root. ``keep`` has a condition per table that rows must meet; it is applied before copies are dropped, so it reaches the scan."""
+
+    def __init__(self, spark: SparkSession, root: str, keep: dict[str, Column] | None = None):
+        self.spark, self.root, self.keep = spark, root, keep or {}
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.root, name)
+        t = read_table(self.spark, self.root, name)
+        return t.where(self.keep[name]) if name in self.keep else t
+
+    def where(self, **conditions: Column) -> Archive:
+        """The archive with further conditions per table, of copies of a row all or none."""
+        both = {n: c & self.keep[n] if n in self.keep else c for n, c in conditions.items()}
+        return Archive(self.spark, self.root, self.keep | both)
+
+    def of_issue(self, issue_id: int) -> Archive:
+        """The archive of one issue: its pages, articles and itself."""
+        return self.where(issues=F.col("id") == issue_id, articles=F.col("issue_id") == issue_id, page_layouts=F.col("issue_id") == issue_id)
 
     @cached_property
     def newspapers(self) -> DataFrame:
@@ -59,9 +71,11 @@ class Archive:
 
     @cached_property
     def stories(self) -> DataFrame:
-        s = self.table("article_skeletons").dropDuplicates(["skeleton_id"]).withColumnRenamed("skeleton_id", "article_id").drop("newspaper_id")
+        s = self.table("article_skeletons").withColumnRenamed("skeleton_id", "article_id").drop("newspaper_id")
         p = self.table("page_layouts").select("layout_id", "issue_id", "page_number", "is_advertisement_page")
-        return s.join(p, "layout_id").join(self.issue_papers, "issue_id")
+        if "page_layouts" in self.keep:  # few pages: their stories first, then the copies
+            s = s.join(p.select("layout_id"), "layout_id", "left_semi")
+        return s.dropDuplicates(["article_id"]).join(p, "layout_id").join(self.issue_papers, "issue_id")
 
     @cached_property
     def story_pages(self) -> DataFrame:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from quarto.session import ensure_checkpoint_dir
 
 
 def event_stream(spark: SparkSession, root: str, files_per_trigger: int = 1) -> DataFrame:
@@ -37,46 +42,88 @@ def rate_limit(events: DataFrame, seconds: int = 60, most: int = 2) -> DataFrame
     return g.where(F.col("requests") > most).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "requests")
 
 
-def lockouts(events: DataFrame, failures: int = 5, seconds: int = 900) -> DataFrame:
-    """(user_id, locked_at): each error that makes ``failures`` within the last ``seconds``, which starts the count anew."""
+def lockouts(events: DataFrame, failures: int = 5, seconds: int = 900, late: str = "10 minutes") -> DataFrame:
+    """(user_id, locked_at): each error that makes ``failures`` within the last ``seconds``, which starts the count anew.
+
+    A user's state is dropped once the watermark is ``seconds`` beyond the last error.
+    """
 
     def step(key: tuple, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
-        out = []
+        out, last = [], 0
         for t in sorted(x for b in batches for x in b.us.tolist()):
             recent = [r for r in recent if r > t - seconds * 1_000_000] + [t]
+            last = max(last, t)
             if len(recent) >= failures:
                 out.append(t)
                 recent = []
         state.update((recent,))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]] * len(out), "locked_us": out})
 
-    e = events.where("event_type = 'error'").select("user_id", F.unix_micros("ts").alias("us"))
-    return e.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_us long", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    e = events.withWatermark("ts", late).where("event_type = 'error'").select("user_id", "ts", F.unix_micros("ts").alias("us"))
+    return e.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_us long", "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, mode: str, name: str = "quarto") -> DataFrame:
-    """Runs a stream over what is there now into a memory table and returns it; its rows are few, such as windows."""
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(table)
+def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what is there now into files of the checkpoint folder and returns them as a table.
 
+    In ``update`` mode the last row of each of ``keys`` counts, in ``complete``
+    mode the last batch, in ``append`` mode every row. No row passes the driver.
+    """
+    spark = stream.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
-    """§2.15: idempotent micro-batch ingest: each batch replaces the partitions of its keys, so a repeated batch changes nothing."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/_at={number}")
 
-    def write(batch: DataFrame, _: int) -> None:
-        transform(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(stream.schema if mode == "complete" else StructType([*stream.schema.fields, StructField("_at", IntegerType())])).parquet(path)
+    if mode == "update" and keys:
+        rest = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_at").alias("x")).select(*keys, *(f"x.{c}" for c in rest))
+    return rows.select(*stream.columns)
+
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, ids: list[str], transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
+    """§2.15: idempotent micro-batch ingest of rows told apart by ``ids``: rows that are there already are left out, others of the same ``key`` are added to it.
+
+    A batch that is run again replaces its own partitions (key and batch, which
+    the checkpoint and its number tell), so neither a repeated batch nor the
+    same rows by another stream change anything. Only ids of the batch's keys
+    are read.
+    """
+    mark = f"{zlib.crc32(checkpoint.encode()):08x}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = f"{mark}-{number}"
+        rows = transform(batch).dropDuplicates(ids)
+        try:
+            there = batch.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("_batch", StringType())])).parquet(path)
+            there = there.where(F.col("_batch") != own).join(rows.select(key).distinct(), key, "left_semi").select(*ids)
+            rows = rows.join(there, ids, "left_anti")
+        except AnalysisException:  # the first batch: no path yet
+            pass
+        rows.withColumn("_batch", F.lit(own)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key, "_batch").parquet(path)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _s(f, mode):
-    return lambda spark, root: run_to_table(f(event_stream(spark, root)), mode)
+def ingested(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an ingest path."""
+    return spark.read.parquet(path).drop("_batch")
+
+
+def _s(f, mode, *keys):
+    return lambda spark, root: run_to_table(f(event_stream(spark, root)), mode, list(keys))
 
 
-QUERIES = {"st01_tumbling": _s(tumbling, "complete"), "st02_sliding": _s(sliding, "complete"), "st03_sessions": _s(sessions, "complete"), "st04_rate_limit": _s(lambda e: rate_limit(e, 3600, 1), "complete"), "st05_lockouts": _s(lambda e: lockouts(e, 2, 86_400), "append")}
+QUERIES = {"st01_tumbling": _s(tumbling, "update", "start", "event_type"), "st02_sliding": _s(sliding, "update", "start"), "st03_sessions": _s(sessions, "complete"), "st04_rate_limit": _s(lambda e: rate_limit(e, 3600, 1), "update", "user_id", "start"), "st05_lockouts": _s(lambda e: lockouts(e, 2, 86_400), "append")}
 ORACLE = {
     "st01_tumbling": "select date_trunc('hour', ts) as start, event_type, count(*) events, round(sum(value), 2) as value from events group by 1, 2",
     "st02_sliding": "select s as start, count(*) events from (select unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) s from events) group by 1",

@@ -10,6 +10,7 @@ from util import frame
 from quarto.functions import dates, geometry, text
 from quarto.operators import analytics, layout, mutations, orphans, retrieval, stories
 from quarto.plans import filters, frontend, graph
+from quarto.sources.archive import Archive
 
 
 def one(spark, col):
@@ -338,10 +339,24 @@ def test_parse():
 
 def test_safe_sql(spark):
     spark.range(3).createOrReplaceTempView("three")
-    assert frontend.safe_sql(spark, "with a as (select id from three) select count(distinct id) n from a").first().n == 3
-    for bad in ("drop table three", "insert into three select 1", "create table x as select 1", "set a=b", "select java_method('java.lang.System', 'exit', 0)", "cache table three"):
+    spark.range(3).createOrReplaceTempView("secret")
+    spark.udf.register("own_udf", lambda x: x)
+    ok = [
+        "with a as (select id from three) select count(distinct id) n from a",
+        "select count(*) n from three where id in (select max(id) + 1 from three) or exists (select 1 from three t where t.id = three.id)",
+        "select n from (select id, row_number() over (order by id) n from three union all select id, 0 from three) order by n desc limit 1",
+    ]
+    for good in ok:
+        assert frontend.safe_sql(spark, good, {"three"}).first().n == 3
+    for bad in (
+        "drop table three", "insert into three select 1", "create table x as select 1", "set a=b", "cache table three", "show tables", "describe three", "explain select 1", "add jar 'x'",
+        "select java_method('java.lang.System', 'exit', 0)", "select java_method/**/('java.lang.System','getProperty','user.name')", "select `java_method`('java.lang.System','getProperty','user.name')", "select reflect('java.lang.System','getProperty','user.name')", "select try_reflect('java.lang.System','getProperty','user.name')",
+        "select system.builtin.java_method('java.lang.System','getProperty','user.name')", "select id from three where exists (select java_method('java.lang.System','getProperty','user.name'))",
+        "select * from text.`/etc/hostname`", "select * from `text`.`/etc/hostname`", "select * from csv.`/etc/passwd`", "select (select first(value) from text.`/etc/hostname`) from three", "select * from three where id in (select 1 from text.`/etc/hostname`)", "with a as (select * from text.`/etc/hostname`) select * from a", "select * from secret", "select * from default.three", "select * from range(5)", "select own_udf(id) from three",
+        "select transform(id) using 'cat' from three", "begin select 1; end",
+    ):
         with pytest.raises(Exception):
-            frontend.safe_sql(spark, bad)
+            frontend.safe_sql(spark, bad, {"three"})
     assert frontend.fan_out("select count(a.id) from a join b") and not frontend.fan_out("select count(distinct a.id) from a join b")
 
 
@@ -358,8 +373,47 @@ def test_stream_ingest(spark, tmp_path):
 
     root = "/root/testdata/sf0.001"
     for i in range(2):
-        E.ingest(E.event_stream(spark, root), str(tmp_path / "out"), str(tmp_path / f"cp{i}"), "event_type")
-    assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{root}/events.parquet").count()
+        E.ingest(E.event_stream(spark, root), str(tmp_path / "out"), str(tmp_path / f"cp{i}"), "event_type", ["event_id"])
+    assert E.ingested(spark, str(tmp_path / "out")).count() == spark.read.parquet(f"{root}/events.parquet").count()
+
+
+def test_stream_ingest_adds_to_a_key(spark, tmp_path):
+    from quarto.streaming import events as E
+
+    src = tmp_path / "in"
+    for i, rows in enumerate(([("k", 1), ("k", 2)], [("k", 3), ("k", 2)])):
+        spark.createDataFrame(rows, "key string, id long").coalesce(1).write.parquet(str(src / f"{i}"))
+    stream = spark.readStream.schema("key string, id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(src))
+    E.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "key", ["id"])
+    assert sorted(r.id for r in E.ingested(spark, str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    from quarto.streaming import events as E
+
+    src = tmp_path / "in"
+    for i, ts in enumerate(("2024-01-01 00:10:00", "2024-01-01 06:00:00", "2024-01-01 06:01:00", "2024-01-01 00:20:00", "2024-01-01 05:55:00")):
+        spark.sql(f"select timestamp'{ts}' ts, 'a' event_type, 1.0D value, 1L user_id").coalesce(1).write.parquet(str(src / f"{i}"))
+        for f in (src / f"{i}").glob("*.parquet"):
+            import os
+
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double, user_id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(str(src))
+    got = E.run_to_table(E.tumbling(stream), "update", ["start", "event_type"]).collect()
+    assert sorted((r.start.hour, r.events) for r in got) == [(0, 1), (5, 1), (6, 2)]
+
+
+def test_deleted_issue_leaves_no_orphans(spark):
+    from quarto.operators import mutations as M
+
+    ar = Archive(spark, "/root/testdata/sf0.001")
+    issue = ar.table("page_layouts").join(ar.issues, F.col("issue_id") == F.col("id")).select("issue_id").orderBy("issue_id").first()[0]
+    left = M.delete_issue(ar, issue)
+    pages = left["page_layouts"].select("layout_id")
+    gone = ar.table("page_layouts").where(F.col("issue_id") == issue).select("layout_id")
+    for t in ("article_skeletons", "parsed_items"):
+        assert left[t].join(gone, "layout_id").count() == 0 and ar.table(t).join(gone, "layout_id").count() > 0
+        assert left[t].join(pages, "layout_id", "left_anti").count() == ar.table(t).distinct().join(ar.table("page_layouts").select("layout_id"), "layout_id", "left_anti").count()
 
 
 def test_headline_slices_and_drop_caps():
