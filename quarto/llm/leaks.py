@@ -5,14 +5,14 @@ document is looked up; hits are counted per (document, item, diagonal band), in
 bands that overlap by the edit budget, so that a region lies in one of them as
 a whole. By the q-gram lemma a region of ``w`` characters with ``e`` edits
 shares at least ``w + 1 - q * (e + 1)`` q-grams, so bands with fewer hits are
-dropped; the rest is verified by alignment of the words within the band.
+dropped; the rest is verified by an alignment of characters within the band's
+diagonals, in which letters may be changed, lost or put in.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +29,8 @@ Q, MIN_WORDS = 16, 13
 BLOCK_CHARS = 8_000_000
 #: Characters of corpus text that are looked at in one vectorised step.
 STEP_CHARS = 2_000_000
+#: Shared q-grams that are counted in one step; texts with more are looked at alone, and against part of the items at a time.
+STEP_HITS = 4_000_000
 _BREAK = re.compile("[-‐­](?:\r\n|[\n\r  \x85\x0b\x0c])")
 _FILTER_BITS = 24
 _BASE, _WORD64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -113,77 +115,131 @@ class PassageIndex:
         pos, g = pos[hit], g[hit]
         if not len(pos):
             return
-        doc = np.searchsorted(starts, pos, "right") - 1
         n = self.first[g + 1] - self.first[g]
-        post = np.repeat(self.first[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        doc, pos = np.repeat(doc, n), np.repeat(pos - starts[doc], n)
+        total = int(n.sum())
+        if total > STEP_HITS and len(texts) > 1:
+            half = len(texts) // 2
+            yield from self.search(texts[:half], min_words, edits)
+            yield from ((half + i, k) for i, k in self.search(texts[half:], min_words, edits))
+            return
+        doc = np.searchsorted(starts, pos, "right") - 1
+        parts = min(len(self.ids), -(-total // STEP_HITS))
+        for part in range(parts):  # the counts of one item do not depend on another's
+            lo, hi = part * len(self.ids) // parts, (part + 1) * len(self.ids) // parts
+            found: list[tuple[np.ndarray, ...]] = []
+            for at in range(0, len(pos), max(1, STEP_HITS // max(1, int(n.max())))):
+                s = slice(at, at + max(1, STEP_HITS // max(1, int(n.max()))))
+                m = n[s]
+                post = np.repeat(self.first[g[s]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                keep = (self.item[post] >= lo) & (self.item[post] < hi) if parts > 1 else slice(None)
+                found.append((np.repeat(doc[s], m)[keep], np.repeat(pos[s] - starts[doc[s]], m)[keep], post[keep]))
+            yield from self._bands(codes, starts, *(np.concatenate(c) for c in zip(*found)), min_words, edits)
+
+    def _bands(self, codes: np.ndarray, starts: np.ndarray, doc: np.ndarray, pos: np.ndarray, post: np.ndarray, min_words: int, edits: int) -> Iterator[tuple[int, int]]:
         item, diagonal = self.item[post], pos - self.at[post]
         width = max(1, 2 * edits)
         need = max(1, 2 * min_words - 1 + 1 - self.q * (edits + 1))
         seen = set()
-        for shift in {0, edits}:  # bands of 2e diagonals, twice, moved by e
+        for shift in sorted({0, edits}):  # bands of 2e diagonals, twice, moved by e
             band = (diagonal + shift) // width
             order = np.lexsort((band, item, doc))
             d, i, b = doc[order], item[order], band[order]
             new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])]))
             count = np.diff(np.append(new, len(d)))
             for k in np.flatnonzero(count >= need):
-                at = order[new[k] : new[k] + count[k]]
                 key = (int(d[new[k]]), int(i[new[k]]))
-                if key not in seen and self._verify(codes, starts, key, pos[at], self.at[post[at]], min_words, edits):
+                if key not in seen and self._verify(codes, starts, key, diagonal[order[new[k] : new[k] + count[k]]], min_words, edits):
                     seen.add(key)
                     yield key
 
-    def _verify(self, codes: np.ndarray, starts: np.ndarray, key: tuple[int, int], pos: np.ndarray, at: np.ndarray, min_words: int, edits: int) -> bool:
-        """Whether the band's region has ``min_words`` words in a row that equal the item's but for ``edits`` characters."""
+    def _verify(self, codes: np.ndarray, starts: np.ndarray, key: tuple[int, int], diagonals: np.ndarray, min_words: int, edits: int) -> bool:
+        """Whether ``min_words`` whole words in a row of the item stand in the text along the band's diagonals, but for ``edits`` characters."""
         d, i = key
         end = starts[d + 1] - 1 if d + 1 < len(starts) else len(codes) - 1
-        text = codes[starts[d] : end]
-        words, item = _decode(text).split(), self.words(i)
-        # a shared q-gram fixes by how many words the document's passage lies behind the item's
-        mine = self.codes[self.starts[i] : self.starts[i] + int(at.max()) + 1]
-        offsets = set((np.cumsum(text == 32)[pos] - np.cumsum(mine == 32)[at]).tolist())
-        return any(_run(words, item, o, min_words, edits) for o in offsets)
-
-
-def _run(words: list[str], item: list[str], lead: int, min_words: int, edits: int) -> bool:
-    first, last = max(0, lead), min(len(words), lead + len(item))
-    if last - first < min_words:
+        own = self.starts[i + 1] - 1 if i + 1 < len(self.starts) else len(self.codes) - 1
+        text, item = codes[starts[d] : end], self.codes[self.starts[i] : own]
+        if not edits:
+            return any(whole_words(text, item, x) >= min_words for x in np.unique(diagonals).tolist())
+        return aligned(text, item, int(diagonals.min()) - edits, int(diagonals.max()) + edits, min_words, edits)
+
+
+def whole_words(text: np.ndarray, item: np.ndarray, diagonal: int) -> int:
+    """The most whole words in a row that text and item share where the item's start lies at ``diagonal`` of the text."""
+    lo, hi = max(0, -diagonal), min(len(item), len(text) - diagonal)
+    if hi <= lo:
+        return 0
+    x, y = np.concatenate([[32], item, [32]]), np.concatenate([[32], text, [32]])  # place p of the item is x[p + 1]
+    p = np.arange(lo, hi)
+    same = item[p] == text[p + diagonal]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    best = 0
+    for a, b in zip(p[0] + edge[::2], p[0] + edge[1::2]):
+        if b - a <= best:
+            continue
+        q = np.arange(a, b + 1)
+        opens = (x[q] == 32) & (y[q + diagonal] == 32)  # a word may begin at q in both
+        closes = (x[q + 1] == 32) & (y[q + diagonal + 1] == 32)  # a word may end before q in both
+        first = np.flatnonzero(opens[:-1])
+        if len(first):
+            best = max(best, int(closes[first[0] + 1 :].sum()))
+    return best
+
+
+def aligned(text: np.ndarray, item: np.ndarray, low: int, high: int, min_words: int, edits: int) -> bool:
+    """Whether a run of ``min_words`` of the item's words, with the blanks around it, is within ``edits`` edits of a stretch of the text that starts on a diagonal of the band.
+
+    All runs are aligned at once: cost[r, b] is the least number of edits of
+    run r's first k characters that ends on diagonal b. A step keeps the
+    diagonal for a kept or changed letter, lowers it for a lost one and raises
+    it for one put in.
+    """
+    x = np.concatenate([[32], item, [32]])
+    blanks = np.flatnonzero(x == 32)
+    if len(blanks) <= min_words:
         return False
-    costs = [0 if words[k] == item[k - lead] else _distance(words[k], item[k - lead], edits) for k in range(first, last)]
-    total = sum(costs[:min_words])
-    for k in range(len(costs) - min_words + 1):
-        if k:
-            total += costs[k + min_words - 1] - costs[k - 1]
-        if total <= edits:
-            return True
-    return False
-
-
-def _distance(a: str, b: str, most: int) -> int:
-    """Edit distance within a band of ``most``; ``most + 1`` if it is larger."""
-    if abs(len(a) - len(b)) > most or not most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j in range(1, len(b) + 1):
-            if abs(i - j) > most:
-                prev, row[j] = row[j], most + 1
-                continue
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != b[j - 1]))
-    return min(row[-1], most + 1)
+    begin, length = blanks[:-min_words], blanks[min_words:] - blanks[:-min_words] + 1
+    band = np.arange(low - edits, high + edits + 1)
+    far = edits + 1
+    y = np.concatenate([[32], text, [32]])
+    cost = np.zeros((len(begin), len(band)), np.int64)
+    for k in range(int(length.max())):
+        p = np.minimum(begin + k, len(x) - 1)
+        at = p[:, None] + band[None, :]
+        letter = np.where((at >= 0) & (at < len(y)), y[np.clip(at, 0, len(y) - 1)], 1)
+        new = cost + (letter != x[p][:, None])
+        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
+        for b in range(1, len(band)):
+            np.minimum(new[:, b], new[:, b - 1] + 1, out=new[:, b])
+        cost = np.where((k < length)[:, None], np.minimum(new, far), cost)
+        live = cost.min(1) <= edits
+        if not live.any():
+            return False
+        begin, length, cost = begin[live], length[live], cost[live]
+    return True
 
 
 def _decode(codes: np.ndarray) -> str:
     return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
+_built: dict[tuple, PassageIndex] = {}
+
+
+def _index(shared, q: int) -> PassageIndex:
+    """The worker's index of the broadcast items, built once."""
+    key = (getattr(shared, "id", id(shared)), q)
+    if key not in _built:
+        _built.clear()
+        _built[key] = PassageIndex([k for k, _ in shared.value], [t for _, t in shared.value], q)
+    return _built[key]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, edits: int = 0) -> DataFrame:
     """(doc_key, item_key) of each document that holds at least ``min_words`` consecutive words of an item.
 
     Words are runs of letters, combining marks and digits after ``plain``.
-    ``edits`` characters of the passage may differ. Null and empty texts hold
+    ``edits`` characters of the passage, or blanks in and around it, may be
+    changed, lost or put in. Null and empty texts hold
     nothing; items of fewer words than ``min_words`` are never found; items and
     documents that occur twice count once. Items are broadcast in blocks of
     ``BLOCK_CHARS`` characters, each searched against all documents.
@@ -202,7 +258,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
         shared = spark.sparkContext.broadcast(mine)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = PassageIndex([k for k, _ in shared.value], [t for _, t in shared.value], q)
+            index = _index(shared, q)
             for b in batches:
                 keys, texts, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
                 step: list[str] = []

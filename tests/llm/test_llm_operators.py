@@ -250,6 +250,27 @@ def test_agreement(value, entry, ok):
     assert (canonical.agreement(value, entry, 0.25) > 0) is ok
 
 
+def test_agreement_of_many_words():
+    entry = "Senior Deputy Assistant Regional Archive Records Keeper Manager"
+    words = entry.split()
+    assert canonical.agreement(" ".join(words[::-1]), entry, 0.25) > 0.9 and canonical.agreement(" ".join([*words[:2], "Xyzzy", "Pottery", *words[4:]]), entry, 0.25) == 0
+    assert canonical.agreement(" ".join(words * 2)[:400], entry, 0.25) == 0
+
+
+def test_assignment_against_permutations():
+    from itertools import permutations
+
+    rng = random.Random(25)
+    for _ in range(200):
+        n, m = rng.randint(2, 4), rng.randint(0, 2)
+        costs = [[rng.choice([None, 0.0, 0.1, 0.2]) for _ in range(n + m)] for _ in range(n)]
+        spare = frozenset(i for i in range(n + m) if rng.random() < 0.5)
+        reads = [(sum(costs[k][i] for k, i in enumerate(p)), list(p) != sorted(p)) for p in permutations(range(n + m), n) if all(costs[k][i] is not None for k, i in enumerate(p)) and all(i in spare for i in range(n + m) if i not in p)]
+        got = canonical._assigned(costs, [1] * n, spare)
+        assert round(min((c for c, _, _ in got), default=9), 9) == round(min((c for c, _ in reads), default=9), 9)
+        assert round(min((c for c, t, _ in got if not t), default=9), 9) <= round(min((c for c, t in reads if not t), default=9), 9) + 1e-9
+
+
 def test_similarity_join_against_brute_force(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 8))) for _ in range(40)]
@@ -485,6 +506,21 @@ def test_leak_with_an_edit(spark):
     assert leaks.find_leaks(d, i).count() == 0 and leaks.find_leaks(d, i, edits=1).count() == 1
 
 
+def test_leak_with_a_lost_blank_or_letter(spark):
+    item = " ".join(CLEAN[:18])
+    docs = [(1, item.replace("harbour council", "harbourcouncil")), (2, "xx " + item.replace("market", "marrket") + " yy"), (3, item.replace("market", "maket")), (4, item.replace("market budget", "mar ket buget")), (5, "zz" + " ".join(CLEAN[5:18]))]
+    d, i = frame(spark, docs, "doc_id long, text string"), frame(spark, [(2, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in leaks.find_leaks(d, i, edits=1).collect()) == [1, 2, 3, 5]
+    assert sorted(r.doc_id for r in leaks.find_leaks(d, i, edits=2).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_frequent_passages_are_counted_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "STEP_HITS", 50)
+    index = leaks.PassageIndex(list(range(30)), [" ".join(CLEAN[:14])] * 29 + [" ".join(CLEAN[2:20])])
+    texts = [" ".join(CLEAN[:15]), "nothing of it", " ".join(CLEAN[3:20])]
+    assert sorted(index.search(texts, 13, 0)) == sorted([(0, k) for k in range(29)] + [(0, 29), (2, 29)])
+
+
 # 10: quality
 
 
