@@ -16,7 +16,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
 from zlib import crc32
 
 import numpy as np
@@ -118,6 +117,35 @@ def _word_cost(value: str, abbreviated: bool, entry: str, tolerance: float) -> f
     return cost / len(entry) if cost <= tolerance * len(entry) + 1e-9 else None
 
 
+def _assigned(costs: list[list[float | None]], weights: list[int], spare: frozenset[int]) -> list[tuple[float, bool, tuple[int, ...]]]:
+    """(cost, turned round, words) of the cheapest reading in order and of the cheapest in any order; words that stay over must be spare.
+
+    A table over the sets of words taken; words that no entry's word may be are
+    never taken, so the sets stay few. ``costs[k][i]``: of reading the entry's
+    word k in word i, None if it may not.
+    """
+    n = len(costs[0])
+    must = sum(1 << i for i in range(n) if i not in spare)
+    out = []
+    for ordered in (True, False):
+        best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+        for row, w in zip(costs, weights):
+            new: dict[int, tuple[float, tuple[int, ...]]] = {}
+            for taken, (c, picked) in best.items():
+                for i, x in enumerate(row):
+                    if x is None or taken >> i & 1 or (ordered and taken >> i):
+                        continue
+                    t, v = taken | 1 << i, (c + x * w, (*picked, i))
+                    if t not in new or v < new[t]:
+                        new[t] = v
+            best = new
+        full = [v for t, v in best.items() if t & must == must]
+        if full:
+            c, picked = min(full)
+            out.append((c, list(picked) != sorted(picked), picked))
+    return out
+
+
 def agreement(value: str, entry: str, tolerance: float) -> float:
     """0 if the value's words do not mean the entry, else a score up to 1."""
     got, want = words_of(value), [w for w, _ in words_of(entry)]
@@ -141,21 +169,11 @@ def agreement(value: str, entry: str, tolerance: float) -> float:
         if c is not None:
             best = max(best, 0.85 - c)
     if len(want) > 1 and len(want) <= len(got) <= len(want) + 2:
-        for pick in permutations(range(len(got)), len(want)):
-            rest = [got[i][0] for i in range(len(got)) if i not in pick]
-            if any(len(r) > 4 or min(edit_cost(r, s) for s in ("the", "and")) > 2 for r in rest):
-                continue
-            costs = []
-            for k, (i, w) in enumerate(zip(pick, want)):
-                c = _word_cost(*got[i], w, tolerance)
-                if c is None:
-                    break
-                costs.append(c * len(w))
-            else:
-                if all(len(got[i][0]) < 3 for i in pick):
-                    continue
-                c = sum(costs) / sum(map(len, want))
-                best = max(best, 1 - c - 0.01 * (list(pick) != sorted(pick)) - 0.02 * len(rest))
+        spare = [i for i, (r, _) in enumerate(got) if len(r) <= 4 and min(edit_cost(r, s) for s in ("the", "and")) <= 2]
+        costs = [[_word_cost(*g, w, tolerance) for g in got] for w in want]
+        for c, turned, picked in _assigned(costs, [len(w) for w in want], frozenset(spare)):
+            if any(len(got[i][0]) >= 3 for i in picked):
+                best = max(best, 1 - c / sum(map(len, want)) - 0.01 * turned - 0.02 * (len(got) - len(want)))
     return best
 
 
@@ -209,7 +227,8 @@ def _prefixes(sets: DataFrame, rank: np.ndarray, similarity: float) -> DataFrame
 
 def similar_entries(values: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(field, value, entry, jaccard) of every value and entry, one of whose forms reaches the similarity."""
-    v, e = _sets(values.select("field", "value"), False), _sets(entries.select("field", "entry"), True)
+    slots = 2 * values.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be coalesced
+    v, e = _sets(values.select("field", "value").repartition(slots, "value"), False), _sets(entries.select("field", "entry"), True)
     counts = v.unionAll(e).select(F.explode("toks").alias("t")).groupBy("t").count().collect()  # TOKENS rows at most
     seen = np.zeros(TOKENS, np.int64)
     for r in counts:
