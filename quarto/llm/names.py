@@ -19,10 +19,10 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -383,13 +383,28 @@ def average_linkage(similarity: np.ndarray, weight: np.ndarray, least: float) ->
     return np.array(sparse_linkage(i.tolist(), j.tolist(), similarity[i, j].tolist(), weight.tolist(), least))
 
 
-def _grouped(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """Average linkage of one component's names over its scored pairs, weighted by the root of how often they occur."""
-    nodes = nodes.sort_values("uid").reset_index(drop=True)
-    at = pd.Index(nodes.uid)
-    i, j = at.get_indexer(pairs.a), at.get_indexer(pairs.b)
-    group = sparse_linkage(i.tolist(), j.tolist(), pairs.loose.tolist(), nodes.weight.tolist(), LINKAGE, UNMET)
-    return pd.DataFrame({"uid": nodes.uid, "cluster": nodes.uid.to_numpy()[group]})
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, cluster): average linkage of each component of (of, a, b, loose, wa, wb), whose rows follow each other."""
+
+    def group(rows: np.ndarray, pairs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        a, b, loose, wa, wb = (c[rows] for c in pairs)
+        uid, first = np.unique(np.concatenate([a, b]), return_index=True)
+        weight = np.concatenate([wa, wb])[first]
+        i, j = np.searchsorted(uid, a), np.searchsorted(uid, b)
+        return uid, uid[np.array(sparse_linkage(i.tolist(), j.tolist(), loose.tolist(), weight.tolist(), LINKAGE, UNMET))]
+
+    held: list[np.ndarray] = [np.empty(0, np.int64)] * 3 + [np.empty(0)] * 3
+    for b in chain(batches, [None]):
+        cols = held if b is None else [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns)]
+        of = cols[0]
+        ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
+        done = ends if b is None else ends[:-1]  # the last component may go on in the next batch
+        starts = np.concatenate([[0], done[:-1]]) if len(done) else done
+        out = [group(np.arange(s, e), cols[1:]) for s, e in zip(starts, done) if e > s]
+        cut = int(done[-1]) if len(done) else 0
+        held = [c[cut:] for c in cols]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["uid", "cluster"])
 
 
 def linkage_rounds(nodes: DataFrame, pairs: DataFrame, least: float = LINKAGE, unmet: float = UNMET) -> DataFrame:
@@ -437,8 +452,9 @@ def link_names(rows: DataFrame) -> DataFrame:
     large = inside.groupBy("of").count().where(F.col("count") > TASK_PAIRS).select("of")
     linked = units.join(parts, units.uid == parts.node).select("component", "uid", "weight").checkpoint()
     slots = 2 * rows.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be coalesced
-    small = linked.join(large, linked.component == large.of, "left_anti").repartition(slots, "component").groupBy("component")
-    clusters = small.cogroup(inside.join(large, "of", "left_anti").repartition(slots, "of").groupBy("of")).applyInPandas(_grouped, "uid long, cluster long")
+    weight = lambda c, w: units.select(F.col("uid").alias(c), F.col("weight").alias(w))
+    small = inside.join(large, "of", "left_anti").join(weight("a", "wa"), "a").join(weight("b", "wb"), "b").select("of", "a", "b", "loose", "wa", "wb")
+    clusters = small.repartition(slots, "of").sortWithinPartitions("of", "a", "b").mapInArrow(_grouped, "uid long, cluster long")
     if not large.isEmpty():
         clusters = clusters.unionByName(linkage_rounds(linked.join(large, linked.component == large.of, "left_semi").select("uid", "weight"), inside.join(large, "of", "left_semi").select("a", "b", "loose")))
     return parsed.join(clusters, "uid", "left").select("rec", F.coalesce("cluster", "uid").alias("cluster")).distinct()
