@@ -30,13 +30,13 @@ BANDS, ROWS, JACCARD = 8, 2, 0.8  # a pair of Jaccard 0.8 shares a band with pro
 #: Different sets of one bucket, or of two of its blocks, that one task compares.
 TASK_SETS = 20_000
 _EDGE = " .,;:!?*-_|"
-_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_SPACE = r"[\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"  # all but the line feed, at which lines are split
 
 
-def normal_form(line: Column) -> Column:
-    """Lower case, digit runs as ``0``, white space as one blank, edges without blanks and ``.,;:!?*-_|``."""
-    c = F.regexp_replace(F.lower(line), "[0-9]+", "0")
-    return F.btrim(F.regexp_replace(c, _SPACE, " "), F.lit(_EDGE))
+def normal_forms(text: Column) -> Column:
+    """The lines of a text in lower case, digit runs as ``0``, white space as one blank; edges stay."""
+    c = F.regexp_replace(F.lower(text), "[0-9]+", "0")
+    return F.split(F.regexp_replace(c, _SPACE, " "), "\n", -1)
 
 
 @lru_cache(maxsize=1)
@@ -187,9 +187,10 @@ def _alike(t: pa.Table) -> pa.Table:
 
 def source_lines(df: DataFrame, doc: str, source: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, source, line_no, line, norm) of the lines whose normal form has ``min_chars``; lines count from 1."""
-    lines = df.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
-    lines = lines.where((F.char_length("line") >= min_chars // 2) & F.col("doc").isNotNull() & F.col("source").isNotNull())
-    lines = lines.select("doc", "source", (F.col("at") + 1).cast("int").alias("line_no"), "line", normal_form(F.col("line")).alias("norm"))
+    both = F.arrays_zip(F.split(text, "\n", -1).alias("line"), normal_forms(F.col(text)).alias("norm"))
+    lines = df.where(F.col(doc).isNotNull() & F.col(source).isNotNull()).select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.posexplode(both).alias("at", "x"))
+    # edges without blanks and punctuation; worked out on the whole text first, as calls per line cost most
+    lines = lines.select("doc", "source", (F.col("at") + 1).cast("int").alias("line_no"), "x.line", F.btrim("x.norm", F.lit(_EDGE)).alias("norm"))
     return lines.where(F.char_length("norm") >= min_chars)
 
 
