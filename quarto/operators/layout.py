@@ -1,7 +1,7 @@
 """Page layout and assembly: reading order, segments, stitching across pages, visuals and their stories.
 
-State machines run per page or issue, whose rows are few; everything else is
-expressions.
+Block assembly runs per page, whose items are few; everything else is
+expressions, joins within a page or issue, and windows.
 """
 
 from __future__ import annotations
@@ -13,70 +13,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarto.functions import geometry as G
-from quarto.functions.text import CONTINUATION_WORDS
+from quarto.functions import text as T
+from quarto.plans.graph import connected_components
 from quarto.sources.archive import SQL, Archive
 
 PAGE_W, PAGE_H = 2000.0, 3000.0
 HEADS = ("title", "section_header")
-_MARKER = re.compile(r"\b(?:continued\s+from|from\s+page|cont['’]d|turn\s+to)\b|\.{3}|…", re.I)
 
 
-def _lanes(items: list[dict], tolerance: float) -> list[list[dict]]:
-    """Columns from left to right: an item joins the first lane whose mean left edge is near; each lane from top to bottom."""
+# Reach of a headline's span in pixels, share of an item's width that lies under it, gap between columns, height of a band of headlines.
+SPAN_SLACK, UNDER, LANE_GAP, BAND = 30.0, 0.40, 90.0, 30.0
+
+
+def _lanes(items: list[dict], gap: float) -> list[list[dict]]:
+    """Columns from left to right, each from top to bottom: a left edge more than ``gap`` beyond the one before starts the next."""
     lanes: list[list[dict]] = []
+    edge = None
     for it in sorted(items, key=lambda i: (i["box"][0], i["item_id"])):
-        near = next((lane for lane in lanes if abs(it["box"][0] - sum(x["box"][0] for x in lane) / len(lane)) <= tolerance), None)
-        lanes.append([it]) if near is None else near.append(it)
-    lanes.sort(key=lambda lane: sum(x["box"][0] for x in lane) / len(lane))
+        if edge is None or it["box"][0] - edge > gap:
+            lanes.append([])
+        lanes[-1].append(it)
+        edge = it["box"][0]
     return [sorted(lane, key=lambda i: (i["box"][1], i["item_id"])) for lane in lanes]
 
 
-def reading_order(items: list[dict], width: float = PAGE_W, height: float = PAGE_H) -> list[tuple[int, int, int]]:
-    """(item_id, index, lane) of a page's items: each headline, then the items under its span by lanes; none is left out."""
-    heads = sorted((i for i in items if i["label"] in HEADS), key=lambda h: (round(h["box"][1] / max(height * 0.01, 15.0)), h["box"][0], h["item_id"]))
-    done: set[int] = set()
-    out: list[tuple[int, int, int]] = []
-
-    def emit(it: dict, lane: int) -> None:
-        done.add(it["item_id"])
-        out.append((it["item_id"], len(out) + 1, lane))
-
-    slack = max(width * 0.015, 20.0)
-    for h in heads:
-        emit(h, 0)
-        left, right = max(0.0, h["box"][0] - slack), min(width, h["box"][2] + slack)
-        floor = min([height * 0.94, *(o["box"][1] for o in heads if o is not h and o["box"][1] > h["box"][3] and min(o["box"][2], right) - max(o["box"][0], left) > 10)])
-        body = []
-        for it in items:
-            if it["item_id"] in done or it["label"] in HEADS:
-                continue
-            x0, y0, x1, y1 = it["box"]
-            across = left <= (x0 + x1) / 2 <= right or (min(x1, right) - max(x0, left)) / max(x1 - x0, 1.0) >= 0.40
-            if across and (h["box"][3] - height * 0.008 <= y0 < floor or h["box"][3] <= (y0 + y1) / 2 <= floor):
-                body.append(it)
-        for k, lane in enumerate(_lanes(body, max(width * 0.045, 30.0)), 1):
-            for it in lane:
-                emit(it, k)
-    for k, lane in enumerate(_lanes([i for i in items if i["item_id"] not in done], max(width * 0.05, 35.0)), 1):
-        for it in lane:
-            emit(it, k)
-    return out
-
-
 def page_items(ar: Archive) -> DataFrame:
     """Items of scanned pages with a whole box, each once."""
     return ar.table("parsed_items").dropDuplicates(["item_id"]).where(F.size("bbox") >= 4)
 
 
-def ordered_items(ar: Archive) -> DataFrame:
-    """(layout_id, item_id, reading_index, lane) of every page."""
+def reading_order(items: DataFrame) -> DataFrame:
+    """(layout_id, item_id, reading_index, lane) of items (layout_id, item_id, label, bbox), each once.
+
+    An item belongs to the nearest headline above whose span it lies under;
+    headlines go by bands from the top and left to right, what belongs to none
+    comes last. Under a headline the columns are read from left to right, each
+    from the top; a headline is in lane 0. Pages are joined by equality and
+    ordered by windows, so a page is never a Python object.
+    """
+    b = F.col("bbox")
+    it = items.select("layout_id", "item_id", F.col("label").isin(*HEADS).alias("head"), b[0].alias("x0"), b[1].alias("y0"), b[2].alias("x1"), b[3].alias("y1"))
+    heads = it.where("head").select("layout_id", F.col("item_id").alias("head_id"), F.col("x0").alias("hx0"), F.col("x1").alias("hx1"), F.col("y0").alias("hy0"), F.col("y1").alias("hy1"))
+    left, right, mid = F.col("hx0") - SPAN_SLACK, F.col("hx1") + SPAN_SLACK, (F.col("x0") + F.col("x1")) / 2
+    under = mid.between(left, right) | ((F.least("x1", right) - F.greatest("x0", left)) >= UNDER * F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0)))
+    above = F.col("hy1") <= (F.col("y0") + F.col("y1")) / 2
+    body = it.where("not head").join(heads, "layout_id").where(under & above)
+    near = F.row_number().over(Window.partitionBy("layout_id", "item_id").orderBy(F.desc("hy1"), "hx0", "head_id"))
+    body = body.withColumn("r", near).where("r = 1").select("layout_id", "item_id", "head_id")
+    placed = it.join(body, ["layout_id", "item_id"], "left").withColumn("head_id", F.when(F.col("head"), F.col("item_id")).otherwise(F.col("head_id")))
+    placed = placed.join(heads.select("layout_id", "head_id", "hx0", "hy0"), ["layout_id", "head_id"], "left")
+    column = Window.partitionBy("layout_id", "head_id", "head").orderBy("x0", "item_id")
+    starts = F.coalesce(F.col("x0") - F.lag("x0").over(column) > LANE_GAP, F.lit(True)).cast("int")
+    placed = placed.withColumn("starts", starts).withColumn("lane", F.when(F.col("head"), 0).otherwise(F.sum("starts").over(column)).cast("int"))
+    order = Window.partitionBy("layout_id").orderBy(F.col("head_id").isNull(), F.round(F.col("hy0") / BAND), "hx0", "head_id", "lane", "y0", "item_id")
+    return placed.select("layout_id", "item_id", F.row_number().over(order).alias("reading_index"), "lane")
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = [{"item_id": int(i), "label": lab, "box": list(b)} for i, lab, b in zip(pdf.item_id, pdf.label, pdf.bbox)]
-        o = reading_order(items)
-        return pd.DataFrame({"layout_id": pdf.layout_id.iloc[0], "item_id": [x[0] for x in o], "reading_index": [x[1] for x in o], "lane": [x[2] for x in o]})
 
-    return page_items(ar).select("layout_id", "item_id", "label", "bbox").groupBy("layout_id").applyInPandas(page, "layout_id long, item_id long, reading_index int, lane int")
+def ordered_items(ar: Archive) -> DataFrame:
+    """(layout_id, item_id, reading_index, lane) of every page."""
+    return reading_order(page_items(ar))
 
 
 def segments(ar: Archive) -> DataFrame:
@@ -218,87 +213,66 @@ def debundle(text: str, least: int = 8) -> list[str]:
     return [p.strip() for p in out]
 
 
-def _words(text: str) -> set[str]:
-    cut = re.sub(r"(?i)[.…]+\s*(?:from\s+page\s+\d+|cont['’]?d?|continued\s+from\s+p(?:age)?\s*\d*).*$", "", text).strip() or text
-    return set(re.findall(r"\w+", cut.lower())) - set(CONTINUATION_WORDS)
+# Overlap of headlines by which a part that a jump points to goes on, by which any part does, words of a headline that is long enough by itself, words of a teaser.
+JUMP_CONTAINMENT, JUMP_JACCARD, NEAR_CONTAINMENT, NEAR_JACCARD, LONG_HEADLINE, TEASER_WORDS = 0.30, 0.20, 0.80, 0.60, 4, 35
+_MARKER = r"(?i)\b(?:continued\s+from|from\s+page|cont['’]d|turn\s+to)\b|\.{3}|…"
 
 
-def stitch(parts: list[dict]) -> list[dict]:
-    """The stories of an issue with their continuations on later pages.
+def continuations(parts: DataFrame) -> DataFrame:
+    """(issue_id, id, next_id): the part of a later page in which a part goes on; each part follows one and has one next part per page.
 
-    ``parts``: id, page, headline, byline, text, jump, teaser, in reading
-    order. A part goes on in the first one of a later page that its jump
-    points to and whose headline is near (containment 0.3, Jaccard 0.2, or a
-    shared word beside a marker), or whose headline is nearly its own (0.8,
-    0.6, or two words beside a marker; under four words also the byline, a
-    marker or 0.6). The longer headline and the first byline win; a teaser of
-    under 35 words that goes on nowhere joins the story before.
+    ``parts``: issue_id, id, page, headline, byline, text, jump. Parts meet on
+    the words of their headlines within an issue; a part goes on where its jump
+    points to and the headlines overlap a little, or where they overlap much.
+    Of several the best by jump, overlap, nearness of the page and id is taken
+    on both sides.
     """
-    pages = sorted({p["page"] for p in parts})
-    by = {n: [p for p in parts if p["page"] == n] for n in pages}
-    taken: set = set()
-    out: list[dict] = []
-    for p in (q for n in pages for q in by[n]):
-        if p["id"] in taken:
-            continue
-        text = p["text"].strip()
-        if p["headline"] and p["headline"] not in text:
-            text = f"{p['headline']}\n\n{text}".strip()
-        story = {"ids": [p["id"]], "headline": p["headline"] or "Untitled Article", "byline": p["byline"], "text": text or "Untitled Article", "pages": [p["page"]]}
-        jump = p["jump"]
-        for n in (x for x in pages if x > p["page"]):
-            nxt = next((c for c in by[n] if c["id"] not in taken and _goes_on(story, jump, n, c)), None)
-            if nxt is None:
-                continue
-            taken.add(nxt["id"])
-            story["ids"].append(nxt["id"])
-            story["pages"].append(n)
-            if len(nxt["headline"]) > len(story["headline"]):
-                story["headline"] = nxt["headline"]
-            story["byline"] = story["byline"] or nxt["byline"]
-            story["text"] += "\n\n" + nxt["text"]
-            jump = nxt["jump"]
-            if not jump:
-                break
-        if p["teaser"] and len(story["ids"]) == 1 and len(story["text"].split()) < 35:
-            if out:
-                out[-1]["text"] += "\n\n" + story["text"]
-                out[-1]["ids"] += story["ids"]
-            continue
-        out.append(story)
-    return out
-
-
-def _goes_on(story: dict, jump: int | None, page: int, c: dict) -> bool:
-    a, b = _words(story["headline"]), _words(c["headline"])
-    if not a or not b:
-        return False
-    both = a & b
-    jaccard, containment = len(both) / len(a | b), len(both) / min(len(a), len(b))
-    shared = sum(len(w) >= 4 for w in both)
-    marker = bool(_MARKER.search(f"{c['headline']} {c['text'][:200]}"))
-    if jump == page and (containment >= 0.30 or jaccard >= 0.20 or (shared >= 1 and marker)):
-        return True
-    if containment >= 0.80 or jaccard >= 0.60 or (shared >= 2 and marker):
-        same = bool(story["byline"] and c["byline"] and story["byline"].lower() in c["byline"].lower())
-        return min(len(a), len(b)) >= 4 or same or marker or jaccard >= 0.60
-    return False
+    words = T.headline_words(F.col("headline"))
+    p = parts.select("issue_id", "id", "page", "jump", F.lower(F.coalesce("byline", F.lit(""))).alias("byline"), F.coalesce("headline", F.lit("")).alias("headline"), F.concat_ws(" ", "headline", F.substring("text", 1, 200)).rlike(_MARKER).alias("marker"), words.alias("words"))
+    token = p.select("issue_id", "id", "page", F.explode("words").alias("word"))
+    met = token.join(token.select("issue_id", F.col("id").alias("next_id"), F.col("page").alias("next_page"), "word"), ["issue_id", "word"]).where("next_page > page").select("issue_id", "id", "next_id").distinct()
+    follow = p.select("issue_id", F.col("id").alias("next_id"), F.col("page").alias("next_page"), F.col("headline").alias("next_headline"), F.col("byline").alias("next_byline"), F.col("marker").alias("next_marker"), F.size("words").alias("next_words"))
+    m = met.join(p, ["issue_id", "id"]).join(follow, ["issue_id", "next_id"]).withColumn("m", T.continuation_metrics(F.col("headline"), F.col("next_headline")))
+    jac, con, shared = (F.col(f"m.{c}") for c in ("jaccard", "containment", "shared"))
+    jump = (F.col("jump") == F.col("next_page")) & ((con >= JUMP_CONTAINMENT) | (jac >= JUMP_JACCARD) | ((shared >= 1) & F.col("next_marker")))
+    alike = (con >= NEAR_CONTAINMENT) | (jac >= NEAR_JACCARD) | ((shared >= 2) & F.col("next_marker"))
+    same = (F.col("byline") != "") & F.col("next_byline").contains(F.col("byline"))
+    near = alike & ((F.least(F.size("words"), F.col("next_words")) >= LONG_HEADLINE) | same | F.col("next_marker") | (jac >= NEAR_JACCARD))
+    m = m.withColumn("jumps", F.coalesce(jump, F.lit(False)).cast("int")).where((F.col("jumps") == 1) | near).withColumn("jac", jac)
+    best = lambda *by: F.row_number().over(Window.partitionBy("issue_id", *by).orderBy(F.desc("jumps"), F.desc("jac"), F.col("next_page") - F.col("page"), "id", "next_id"))
+    return m.withColumn("r", best("next_id")).where("r = 1").withColumn("q", best("id", "next_page")).where("q = 1").select("issue_id", "id", "next_id")
+
+
+def stitch(parts: DataFrame) -> DataFrame:
+    """(issue_id, article_id, members, headline, byline, pages, word_count): the stories of each issue, continuations merged.
+
+    Parts that go on in each other are one story, told by its first part. The
+    longest headline and the first byline win; a teaser of under TEASER_WORDS
+    words that goes on nowhere joins the story before it.
+    """
+    links = continuations(parts)
+    chain = connected_components(links, "id", "next_id").select(F.col("node").alias("id"), F.col("component"))
+    order = Window.partitionBy("issue_id", "component").orderBy("page", "id")
+    p = parts.join(chain, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    p = p.withColumn("story", F.first("id").over(order)).withColumn("n", F.size(T.words(F.coalesce("text", F.lit("")))))
+    own = Window.partitionBy("issue_id", "component")
+    p = p.withColumn("fold", F.coalesce(F.col("teaser"), F.lit(False)) & (F.count("*").over(own) == 1) & (F.col("n") < TEASER_WORDS))
+    before = Window.partitionBy("issue_id").orderBy("page", "id").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("into", F.last(F.when(~F.col("fold"), F.col("story")), ignorenulls=True).over(before)).withColumn("part", F.when(F.col("fold"), F.coalesce("into", "story")).otherwise(F.col("story")))
+    head = F.when(~F.col("fold") | F.col("into").isNull(), F.struct(F.length(F.coalesce("headline", F.lit(""))).alias("n"), (-F.col("page")).alias("p"), (-F.col("id")).alias("i"), "headline"))
+    by = F.when(F.col("byline") != "", F.struct("page", "id", "byline"))
+    g = p.groupBy("issue_id", F.col("part").alias("article_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("page", "id"))), lambda x: x["id"]).alias("members"), F.coalesce(F.nullif(F.max(head)["headline"], F.lit("")), F.lit("Untitled Article")).alias("headline"), F.min(by)["byline"].alias("byline"),
+        F.array_sort(F.collect_set("page")).alias("pages"), F.sum("n").cast("int").alias("word_count"),
+    )
+    return g.select("issue_id", "article_id", "members", "headline", "byline", "pages", "word_count")
 
 
 def stitched_stories(ar: Archive) -> DataFrame:
-    """(issue_id, article_id, members, headline, byline, pages, word_count) of every issue's stories, continuations merged."""
-
-    def issue(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_number", "article_id"])
-        parts = [
-            {"id": int(r.article_id), "page": int(r.page_number), "headline": r.headline or "", "byline": r.byline or "", "text": r.body_text or "", "jump": None if pd.isna(r.continues_to_page) else int(r.continues_to_page), "teaser": r.article_type == "teaser"}
-            for r in pdf.itertuples()
-        ]
-        rows = [(int(pdf.issue_id.iloc[0]), s["ids"][0], s["ids"], s["headline"], s["byline"] or None, s["pages"], len(s["text"].split())) for s in stitch(parts)]
-        return pd.DataFrame(rows, columns=["issue_id", "article_id", "members", "headline", "byline", "pages", "word_count"])
-
-    cols = ["issue_id", "article_id", "page_number", "headline", "byline", "body_text", "continues_to_page", "article_type"]
-    return ar.stories.select(*cols).groupBy("issue_id").applyInPandas(issue, "issue_id long, article_id long, members array<long>, headline string, byline string, pages array<int>, word_count int")
+    """The stitched stories of every issue, with members and pages as text."""
+    parts = ar.stories.select("issue_id", F.col("article_id").alias("id"), F.col("page_number").alias("page"), "headline", "byline", F.col("body_text").alias("text"), F.col("continues_to_page").alias("jump"), (F.col("article_type") == "teaser").alias("teaser"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return stitch(parts).select("issue_id", "article_id", text("members"), "headline", "byline", text("pages"), "word_count")
 
 
 def box_pairs(ar: Archive) -> DataFrame:
@@ -378,12 +352,35 @@ QUERIES = {
     "k04_merged_headlines": _q(lambda ar: _page_blocks(ar, merge_headlines)),
     "k05_consolidated_blocks": _q(lambda ar: _page_blocks(ar, consolidate)),
     "k06_reading_order": _q(ordered_items),
-    "k07_segments": _q(segments),
+    "k07_segments": _q(lambda ar: segments(ar).select("layout_id", "segment", "headline", "body", "items", *[F.col("bbox")[i].alias(c) for i, c in enumerate(("left_edge", "top_edge", "right_edge", "bottom_edge"))])),
     "k12_stitched_stories": _q(stitched_stories),
     "k13_masthead": _q(masthead),
     "k23_issue_view": _q(issue_view),
 }
 
+_ORDER = """with it as (select distinct * from parsed_items where len(bbox) >= 4), i9 as (select distinct layout_id, item_id, label in ('title', 'section_header') head, bbox[1] x0, bbox[2] y0, bbox[3] x1, bbox[4] y1 from it),
+        h9 as (select layout_id, item_id head_id, x0 hx0, x1 hx1, y0 hy0, y1 hy1 from i9 where head),
+        b9 as (select layout_id, item_id, head_id from (select i.layout_id, item_id, head_id, row_number() over (partition by i.layout_id, item_id order by hy1 desc, hx0, head_id) r from i9 i join h9 h on i.layout_id = h.layout_id
+            where not head and hy1 <= (y0 + y1) / 2 and ((x0 + x1) / 2 between hx0 - 30 and hx1 + 30 or least(x1, hx1 + 30) - greatest(x0, hx0 - 30) >= 0.4::double * greatest(x1 - x0, 1))) where r = 1),
+        p9 as (select i.*, case when head then item_id else b.head_id end head_id from i9 i left join b9 b using (layout_id, item_id)), q9 as (select p.*, hx0, hy0 from p9 p left join h9 using (layout_id, head_id)),
+        g9 as (select *, case when coalesce(x0 - lag(x0) over (partition by layout_id, head_id, head order by x0, item_id) > 90, true) then 1 else 0 end starts from q9),
+        lanes as (select *, cast(case when head then 0 else sum(starts) over (partition by layout_id, head_id, head order by x0, item_id) end as integer) lane from g9)"""
+_STITCHED = SQL + r""", w as (select issue_id, article_id id, page_number page, continues_to_page jump, headline, lower(coalesce(byline, '')) byline, byline raw_byline, coalesce(article_type = 'teaser', false) teaser, len(list_filter(regexp_split_to_array(coalesce(body_text, ''), '\s+'), lambda x: x <> '')) n,
+        regexp_matches(concat_ws(' ', headline, substr(body_text, 1, 200)), '(?i)(?:continued\s+from|from\s+page|cont[''’]d|turn\s+to)|\.{3}|…') marker,
+        list_filter(list_distinct(regexp_extract_all(lower(coalesce(nullif(trim(regexp_replace(coalesce(headline, ''), '(?i)[.…]+\s*(?:from\s+page\s+\d+|cont[''’]?d?|continued\s+from\s+p(?:age)?\s*\d*).*$', '')), ''), coalesce(headline, ''))), '[a-z0-9_]+')), lambda x: not list_contains(__WORDS__, x)) t from stories),
+        m as (select a.issue_id, a.id, b.id next_id, a.page, b.page next_page, a.jump, a.byline, b.byline nb, b.marker nm, len(a.t) la, len(b.t) lb, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) jac, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) con, len(list_filter(list_intersect(a.t, b.t), lambda v: length(v) >= 4)) sh
+            from w a join w b on a.issue_id = b.issue_id and b.page > a.page and len(list_intersect(a.t, b.t)) > 0),
+        k as (select *, case when coalesce(jump = next_page and (con >= 0.3 or jac >= 0.2 or (sh >= 1 and nm)), false) then 1 else 0 end j from m),
+        l as (select * from k where j = 1 or ((con >= 0.8 or jac >= 0.6 or (sh >= 2 and nm)) and (least(la, lb) >= 4 or (byline <> '' and contains(nb, byline)) or nm or jac >= 0.6))),
+        r1 as (select * from (select *, row_number() over (partition by issue_id, next_id order by j desc, jac desc, next_page - page, id, next_id) r from l) where r = 1),
+        links as (select issue_id, id, next_id from (select *, row_number() over (partition by issue_id, id, next_page order by j desc, jac desc, next_page - page, id, next_id) q from r1) where q = 1),
+        up as (select w.issue_id, w.id, coalesce(links.id, w.id) top from w left join links on links.issue_id = w.issue_id and links.next_id = w.id),
+        u2 as (select a.issue_id, a.id, b.top from up a join up b on a.top = b.id and a.issue_id = b.issue_id), u4 as (select a.issue_id, a.id, b.top from u2 a join u2 b on a.top = b.id and a.issue_id = b.issue_id), u8 as (select a.issue_id, a.id, b.top from u4 a join u4 b on a.top = b.id and a.issue_id = b.issue_id), u16 as (select a.issue_id, a.id, b.top from u8 a join u8 b on a.top = b.id and a.issue_id = b.issue_id), u32 as (select a.issue_id, a.id, b.top from u16 a join u16 b on a.top = b.id and a.issue_id = b.issue_id),
+        s0 as (select w.*, u.top component, first_value(w.id) over (partition by w.issue_id, u.top order by w.page, w.id) story, count(*) over (partition by w.issue_id, u.top) c from w join u32 u using (issue_id, id)),
+        s1 as (select *, teaser and c = 1 and n < 35 fold from s0), s2 as (select *, last_value(case when not fold then story end ignore nulls) over (partition by issue_id order by page, id rows between unbounded preceding and 1 preceding) into_ from s1),
+        s3 as (select *, case when fold then coalesce(into_, story) else story end part from s2)
+        select issue_id, part article_id, string_agg(cast(id as varchar), ',' order by page, id) members, coalesce(nullif(arg_max(headline, row(length(coalesce(headline, '')), -page, -id)) filter (not fold or into_ is null), ''), 'Untitled Article') headline,
+        arg_min(raw_byline, row(page, id)) filter (raw_byline <> '') byline, array_to_string(list_sort(list_distinct(list(page))), ',') pages, cast(sum(n) as integer) word_count from s3 group by 1, 2""".replace("__WORDS__", "[" + ", ".join(f"'{w}'" for w in T.CONTINUATION_WORDS) + "]")
 _ITEMS = "it as (select distinct * from parsed_items where len(bbox) >= 4)"
 ORACLE = {
     "b01_box_pairs": SQL + """, s9 as (select layout_id, article_id, bbox a, lead(article_id) over w other_id, lead(bbox) over w b from stories where len(bbox) >= 4 window w as (partition by layout_id order by article_id)),
@@ -400,6 +397,11 @@ ORACLE = {
         k9 as (select item_id, article_id, round(0.4::double * greatest(0.0, least(p[3], a[3]) - greatest(p[1], a[1])) / greatest(1.0, p[3] - p[1]) + 0.4::double * greatest(0.0, 1 - d / 600) + case when cx between a[1] and a[3] and cy between a[2] and a[4] and (a[3] - a[1]) * (a[4] - a[2]) / 6e6 <= 0.4 then 0.5 else 0 end::double
           + least(0.6, len(list_intersect(list_distinct(regexp_extract_all(cap, '[a-z0-9_]{{4,}}')), list_distinct(regexp_extract_all(h, '[a-z0-9_]{{4,}}')))) * 0.25)::double, 6) score from j9)
         select item_id, article_id, score from (select *, row_number() over (partition by item_id order by score desc, article_id) r from k9) where r = 1""",
+    "k06_reading_order": _ORDER + " select layout_id, item_id, cast(row_number() over (partition by layout_id order by head_id is null, round(hy0 / 30), hx0, head_id, lane, y0, item_id) as integer) reading_index, lane from lanes",
+    "k07_segments": _ORDER + """, o9 as (select l.*, t.text, row_number() over (partition by layout_id order by head_id is null, round(hy0 / 30), hx0, head_id, lane, y0, item_id) n from lanes l join (select distinct item_id, text from it) t using (item_id)),
+        f9 as (select *, case when n = 1 or (head and not coalesce(lag(head) over (partition by layout_id order by n), false)) then 1 else 0 end opens from o9), s9 as (select *, sum(opens) over (partition by layout_id order by n) segment from f9)
+        select layout_id, segment, coalesce(string_agg(trim(text), ' ' order by n) filter (head and length(trim(text)) > 0), '') headline, coalesce(string_agg(trim(text), chr(10) || chr(10) order by n) filter (not head and length(trim(text)) > 0), '') body, count(*) items, min(x0) left_edge, min(y0) top_edge, max(x1) right_edge, max(y1) bottom_edge from s9 group by 1, 2""",
+    "k12_stitched_stories": _STITCHED,
     "k13_masthead": f"with {_ITEMS} select layout_id, text masthead from (select *, row_number() over (partition by layout_id order by bbox[2], item_id) r from it where bbox[2] <= 450 and length(trim(text)) > 0) where r = 1",
     "k23_issue_view": SQL + "select issue_id, page_number, case when bool_or(is_advertisement_page) then 'Advertisement' else 'Digital Native' end extraction_mode, cast(count(*) as integer) stories, string_agg(cast(article_id as varchar), ',' order by article_id) article_ids from stories group by 1, 2",
 }

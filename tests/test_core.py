@@ -236,26 +236,30 @@ def test_boxes(spark):
 # layout and matching
 
 
-def test_reading_order_drops_nothing():
+def ordered(spark, items):
+    return layout.reading_order(frame(spark, items, "layout_id long, item_id long, label string, bbox array<double>")).orderBy("layout_id", "reading_index").collect()
+
+
+def test_reading_order_drops_nothing(spark):
     rng = random.Random(1)
-    items = [{"item_id": i, "label": rng.choice(["title", "text", "text", "picture"]), "box": sorted([rng.uniform(0, 1900), 0])[:1] + [rng.uniform(0, 2800)] + [0, 0]} for i in range(60)]
-    for it in items:
-        it["box"] = [it["box"][0], it["box"][1], it["box"][0] + 90, it["box"][1] + 60]
-    o = layout.reading_order(items)
-    assert sorted(x[0] for x in o) == list(range(60)) and [x[1] for x in o] == list(range(1, 61))
+    items = [(i % 2, i, rng.choice(["title", "text", "text", "picture"]), [x := rng.uniform(0, 1900), y := rng.uniform(0, 2800), x + 90, y + 60]) for i in range(120)]
+    o = ordered(spark, items)
+    assert sorted(r.item_id for r in o) == list(range(120)) and [r.reading_index for r in o] == [*range(1, 61)] * 2
 
 
-def test_reading_order_columns():
-    box = lambda x, y, w=400: [x, y, x + w, y + 100]
-    items = [{"item_id": 1, "label": "title", "box": box(100, 100, 1800)}, {"item_id": 2, "label": "text", "box": box(1000, 300)}, {"item_id": 3, "label": "text", "box": box(100, 500)}, {"item_id": 4, "label": "text", "box": box(100, 300)}]
-    assert [x[0] for x in layout.reading_order(items)] == [1, 4, 3, 2]
+def test_reading_order_columns(spark):
+    box = lambda x, y, w=400: [float(x), float(y), float(x + w), float(y + 100)]
+    items = [(1, 1, "title", box(100, 100, 1800)), (1, 2, "text", box(1000, 300)), (1, 3, "text", box(100, 500)), (1, 4, "text", box(100, 300)), (1, 5, "title", box(100, 900)), (1, 6, "text", box(120, 1100)), (1, 7, "text", box(1000, 1100)), (1, 8, "text", box(100, 10))]
+    assert [(r.item_id, r.lane) for r in ordered(spark, items)] == [(1, 0), (4, 1), (3, 1), (2, 2), (7, 2), (5, 0), (6, 1), (8, 1)]
 
 
-def test_stitch():
-    part = lambda i, page, head, text="some words of the story", jump=None, teaser=False: {"id": i, "page": page, "headline": head, "byline": "", "text": text, "jump": jump, "teaser": teaser}
-    got = layout.stitch([part(1, 1, "Harbour wall falls", jump=3), part(2, 1, "Other news entirely", "x"), part(3, 3, "Harbour wall falls in storm ... from page 1"), part(4, 2, "Teaser", "tiny", teaser=True)])
-    assert [s["ids"] for s in got] == [[1, 3], [2, 4]]
-    assert got[0]["headline"].startswith("Harbour wall falls in storm") and got[0]["pages"] == [1, 3]
+def test_stitch(spark):
+    part = lambda i, page, head, text="some words of the story", jump=None, teaser=False, byline="": (9, i, page, head, byline, text, jump, teaser)
+    rows = [part(1, 1, "Harbour wall falls", jump=3), part(2, 1, "Other news entirely", "x", byline="A. B."), part(3, 3, "Harbour wall falls in storm ... from page 1"), part(4, 2, "Teaser", "tiny", teaser=True), part(5, 4, "Harbour wall falls in storm", "the end"), part(6, 5, None, None)]
+    got = layout.stitch(frame(spark, rows, "issue_id long, id long, page int, headline string, byline string, text string, jump int, teaser boolean")).orderBy("article_id").collect()
+    assert [(r.members, r.pages) for r in got] == [([1, 3, 5], [1, 3, 4]), ([2, 4], [1, 2]), ([6], [5])]
+    assert got[0].headline.startswith("Harbour wall falls in storm ... from") and got[1].byline == "A. B." and got[2].headline == "Untitled Article" and got[0].word_count == 12
+    assert layout.stitch(frame(spark, [], "issue_id long, id long, page int, headline string, byline string, text string, jump int, teaser boolean")).count() == 0
 
 
 def test_debundle():
