@@ -149,11 +149,11 @@ def word_stats(ar: Archive) -> DataFrame:
     return a.agg(F.sum("word_count").alias("total_words"), F.round(F.avg("word_count"), 2).alias("avg_words"), F.min("word_count").alias("min_words"), F.max("word_count").alias("max_words"), F.count("*").alias("articles"))
 
 
-def daily_correlation(ar: Archive) -> DataFrame:
-    """Pearson correlation of the daily counts of each pair of papers, over days on which both have articles (two at least)."""
-    d = ar.dated_articles.groupBy("newspaper", "issue_date").agg(F.count("*").cast("double").alias("n"))
+def daily_correlation(ar: Archive, period: str = "day") -> DataFrame:
+    """Pearson correlation of the counts per day, or longer period, of each pair of papers, over those in which both have articles (two at least); null where one does not vary."""
+    d = ar.dated_articles.groupBy("newspaper", F.date_trunc(period, "issue_date").alias("issue_date")).agg(F.count("*").cast("double").alias("n"))
     x, y = d.select(F.col("newspaper").alias("paper_a"), "issue_date", F.col("n").alias("x")), d.select(F.col("newspaper").alias("paper_b"), "issue_date", F.col("n").alias("y"))
-    p = x.join(y, "issue_date").where("paper_a < paper_b").groupBy("paper_a", "paper_b").agg(F.count("*").alias("n_days"), F.corr("x", "y").alias("r"))
+    p = x.join(y, "issue_date").where("paper_a < paper_b").groupBy("paper_a", "paper_b").agg(F.count("*").alias("n_days"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
     r = F.when(F.isnan("r"), None).otherwise(F.round("r", 6))
     return p.where("n_days >= 2").select("paper_a", "paper_b", "n_days", r.alias("correlation"))
 
@@ -308,6 +308,7 @@ QUERIES = {
     "a12_archive_bounds": _q(archive_bounds),
     "a13_word_stats": _q(word_stats),
     "a14_daily_correlation": _q(daily_correlation),
+    "a14_monthly_correlation": _q(lambda ar: daily_correlation(ar, "month")),
     "a14_section_word_stats": _q(section_word_stats),
     "a15_distribution_stats": _q(distribution_stats),
     "a15_word_histogram": _q(word_histogram),
@@ -376,3 +377,5 @@ ORACLE = {
         when regexp_matches(issue_date, '^\d{1,2}[/-]\d{1,2}[/-]\d{4}$') then (select printf('%s-%02d-%02d', p[3], case when b > 12 and a <= 12 then a else b end, case when b > 12 and a <= 12 then b else a end) from (select regexp_split_to_array(issue_date, '[/-]') p, cast(p[1] as integer) a, cast(p[2] as integer) b))
         else issue_date end iso_date from page_layouts""",
 }
+
+ORACLE["a14_monthly_correlation"] = ORACLE["a14_daily_correlation"].replace("select newspaper, issue_date, count(*) n", "select newspaper, date_trunc('month', issue_date) issue_date, count(*) n")

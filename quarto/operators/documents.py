@@ -183,3 +183,48 @@ ORACLE = {
         select article_id, other_id, case when len(x) > 0 and len(y) > 0 then round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) else 0 end::double jaccard, case when len(x) > 0 and len(y) > 0 then round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) else 0 end::double containment,
         cast(case when len(x) > 0 and len(y) > 0 then len(list_filter(list_intersect(x, y), lambda v: length(v) >= 4)) else 0 end as integer) shared from p""".replace("\\\\", "\\").replace("__WORDS__", "[" + ", ".join(f"'{w}'" for w in T.CONTINUATION_WORDS) + "]"),
 }
+
+
+def _ligature_sql() -> str:
+    e = "coalesce(full_text, '')"
+    for sign, letters in T.LIGATURES.items():
+        e = f"replace({e}, '{sign}', '{letters}')"
+    for pattern, word in T.LOST_LIGATURES:
+        e = f"regexp_replace({e}, '(?i){pattern}', '{word.replace('$1', chr(92) + '1')}', 'g')"
+    return f"{SQL} select article_id, replace({e}, '�', '') as text from a_"
+
+
+_noise = lambda x: f"({x} = '' or regexp_matches({x}, '{T.UUID}') or regexp_matches({x}, '{_d(T.PROMO)}') or regexp_matches({x}, '{_d(T.PRINTER)}'))"
+_sentences = lambda x: f"string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+_cite = "(?i)(?:\\[(?:\\d+|photo)?\\]\\s*)?(?:\\{?([A-Za-z0-9\\s.''\\-]+?)\\}?,\\s*)(?:(\\d{4}-\\d{2}-\\d{2}),\\s*)?(?:Page\\s*(\\d+),\\s*)?(?:Headline:\\s*)?[\"“]([^\"”]+)[\"”]"
+_month = "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+
+
+def _dated(pattern: str, y: int, m: int, d: int, named: bool) -> str:
+    g = lambda i: f"regexp_extract(text, '{pattern}', {i})"
+    month = f"case when {g(m)} <> '' then (instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr({g(m)}, 1, 3))) - 1) // 3 + 1 end" if named else f"try_cast({g(m)} as integer)"
+    year, day = f"try_cast({g(y)} as integer)", f"try_cast({g(d)} as integer)"
+    return f"case when {year} between 2020 and 2035 and {month} between 1 and 12 and {day} between 1 and 31 then try_cast(printf('%04d-%02d-%02d', {year}, {month}, {day}) as date) end"
+
+
+ORACLE |= {
+    "t03_headlines": SQL + r""", x as (select article_id, byline_author, trim(coalesce(headline, '')) h, nullif(trim(coalesce(byline_author, '')), '') b, trim(regexp_split_to_array(trim(coalesce(full_text, '')), '[.\n]')[1]) f from a_),
+        y as (select *, case when b is null then h else h || ' (' || b || ')' end own, trim(substr(regexp_replace(f, '(?i)^(?:A|The)\s+', ''), 1, 70)) topic, regexp_matches(h, '(?i)^(?:Dr\.?|Doctor|Prof\.?|Professor)\s+[A-Z]') doctor,
+            upper(h) = h and lower(h) <> h and len(list_filter(regexp_split_to_array(h, '\s+'), lambda w: w <> '')) between 2 and 3 and regexp_matches(h, '^[\p{L}\s]+$') capital, array_to_string(list_transform(string_split(lower(h), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') named from x)
+        select article_id, case when h = '' then 'Untitled Report' when doctor then case when length(f) > 10 then substr(f, 1, 80) else 'Medical Column: ' || h end when lower(h) = lower(b) then case when length(f) > 10 then substr(f, 1, 80) else 'Profile: ' || h end
+            when capital and length(f) > 15 then upper(substr(topic, 1, 1)) || lower(substr(topic, 2, 70)) when capital then 'Special Feature: ' || named else h end headline,
+            case when h = '' then byline_author when doctor then own when lower(h) = lower(b) then b when capital and length(f) > 15 then case when b is null then h else h || ' / ' || b end when capital then coalesce(b, named) else b end byline from y""",
+    "t04_ligatures": _ligature_sql(),
+    "t06_sanitized": SQL + rf"""select article_id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(full_text, ''), '\n\s*\n'), lambda p: array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda y: trim(y)), lambda x: not {_noise('x')}), chr(10))), lambda q: q <> ''), chr(10) || chr(10)) as text from a_""",
+    "t16_printed_dates": "with t as (select distinct item_id, text from parsed_items), d as (select item_id, coalesce(" + ", ".join([_dated(rf"(\d{{1,2}})(?:st|nd|rd|th)?\s+{_month}\.?,?\s+(\d{{4}})", 3, 2, 1, True), _dated(rf"{_month}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})", 3, 1, 2, True), _dated(r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", 1, 2, 3, False), _dated(r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b", 3, 2, 1, False)]) + ") printed from t) select * from d where printed is not null",
+    "t19_summaries": SQL + f""", p as (select article_id, headline, list_filter(list_transform(string_split(coalesce(full_text, ''), chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') p from a_),
+        l as (select *, trim(array_to_string(({_sentences('p[1]')})[1:2], ' ')) lead, ({_sentences('p[2]')})[1] more from p)
+        select article_id, case when len(p) = 0 then coalesce(nullif(headline, ''), 'News article report.') else substr(case when length(lead) < 30 and len(p) > 1 then lead || ' ' || more else lead end, 1, 500) end summary from l""",
+    "t26_citations": SQL + f""", c as (select article_id, '[1] ' || newspaper || ', ' || cast(issue_date as varchar) || ', Page 3, "' || coalesce(headline, 'none') || '"' t from dated_articles)
+        select article_id, nullif(trim(regexp_extract(t, '{_cite}', 1)), '') newspaper, nullif(trim(regexp_extract(t, '{_cite}', 2)), '') issue_date, try_cast(nullif(trim(regexp_extract(t, '{_cite}', 3)), '') as integer) as page, nullif(trim(regexp_extract(t, '{_cite}', 4)), '') headline from c""",
+    "k14_reclassified": f"""with s9 as ({ORACLE['t09_ad_signals']}), z9 as (select *, trim(regexp_replace(coalesce(full_text, ''), '\\s+', ' ', 'g')) t from (select distinct id article_id, headline, byline_author, article_type, word_count, full_text from articles)),
+        y9 as (select z9.*, s9.* exclude (article_id), regexp_matches(t, '{_d(T.AD_CATEGORIES[1])}') priced, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) n from z9 join s9 using (article_id)),
+        x9 as (select *, case when n = 0 then false when header then true when terms >= 3 then true when density >= 0.04 and score >= 3.5 then true when editorial >= 3 and n >= 350 then score >= 6 when n < 50 and ((density >= 0.2 and score >= 2) or (priced and editorial = 0)) then true when n < 250 and score >= 3 then true else score >= 4.5 end is_ad from y9),
+        w9 as (select *, coalesce(article_type = 'advertisement', false) or (byline_author is null and coalesce(word_count < 300, false) and is_ad) ad, coalesce(headline, '') h from x9)
+        select article_id, case when ad then 'advertisement' else article_type end article_type, case when ad and not starts_with(h, '[Advertisement]') then '[Advertisement] ' || h else h end headline from w9""",
+}

@@ -193,3 +193,5 @@ ORACLE = {
     "s18_rename_paper": "select distinct id, case when n = 'Ostelby Ledger' then 'Ostelby Post' else n end newspaper_name from (select id, json_extract_string(payload, '$.newspaper_name') n from vector_points)",
     "s19_get_or_create": "with n as (select distinct trim(newspaper_brand) as name from page_layouts where trim(newspaper_brand) <> ''), m as (select name from n where name not in (select name from newspapers)) select id, name from newspapers union all select (select max(id) from newspapers) + row_number() over (order by name), name from m",
 }
+
+ORACLE["s15_schema"] = "select table_name as \"table\", column_name as \"column\", case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' when 'DATE' then 'date' when 'TIMESTAMP' then 'timestamp_ntz' else lower(data_type) end as \"type\" from duckdb_columns() where table_name in ('articles', 'issues', 'newspapers')"

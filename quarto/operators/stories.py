@@ -59,9 +59,9 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.loc[keep]
 
 
-def shared_stories(ar: Archive) -> DataFrame:
+def shared_stories(ar: Archive, least: float = 0.40) -> DataFrame:
     """One-to-one matches of each pair of papers and day, best score first, ties by ids."""
-    c = shared_candidates(ar)
+    c = shared_candidates(ar, least)
     return c.groupBy("issue_date", "paper_a", "paper_b").applyInPandas(_greedy, c.schema)
 
 
@@ -293,8 +293,8 @@ QUERIES = {
     "g03_trajectory": _q(trajectory, ["harbour", "storm"]),
     "g04_coverage": _q(coverage, "harbour storm council", "2024-03-01", 20),
     "g05_coverage_tally": _q(coverage_tally, "harbour storm council", "2024-03-01", 20),
-    "g06_shared_candidates": _q(shared_candidates),
-    "g06_shared_stories": _q(shared_stories),
+    "g06_shared_candidates": _q(lambda ar: shared_candidates(ar, 0.25)),
+    "g06_shared_stories": _q(lambda ar: shared_stories(ar, 0.25)),
     "g07_exclusive_stories": _q(exclusive_stories),
     "j12_cooccurrence": _q(lambda ar: cooccurrence(mentions(ar))),
     "j14_two_hop": _q(two_hop, ["market", "price"]),
@@ -347,9 +347,9 @@ ORACLE = {
     "g06_shared_candidates": _M + f""", cc as (select issue_date, newspaper_id paper, article_id, {_toks('headline')} t, {_nums('headline')} n from dated_articles where length(trim(coalesce(headline, ''))) >= 10 and lower(trim(headline)) not in ({_list(NOISE_HEADLINES)})),
         en as (select article_id, list_distinct(list(lower(trim(name)))) e from m_ where length(trim(name)) >= 3 and lower(trim(name)) not in ({_list(T.UBIQUITOUS)}) group by 1), ss as (select cc.*, coalesce(e, []) e from cc left join en using (article_id)),
         p as (select a.issue_date, a.paper paper_a, b.paper paper_b, a.article_id id_a, b.article_id id_b, len(list_intersect(a.t, b.t)) ct, len(list_intersect(a.n, b.n)) cn, len(list_intersect(a.e, b.e)) ce, len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) o from ss a join ss b on a.issue_date = b.issue_date and a.paper < b.paper),
-        q as (select *, case when ct >= 2 and o >= 0.4 then o when ct >= 2 and o >= 0.25 and cn > 0 then least(0.95, o + 0.35) else 0 end::double one, case when ce >= 2 and (ct > 0 or cn > 0) then least(0.9, 0.55 + ce * 0.1) else 0 end::double two from p),
+        q as (select *, case when ct >= 2 and o >= 0.25 then o when ct >= 2 and o >= 0.25 and cn > 0 then least(0.95, o + 0.35) else 0 end::double one, case when ce >= 2 and (ct > 0 or cn > 0) then least(0.9, 0.55 + ce * 0.1) else 0 end::double two from p),
         z as (select *, case when one < 0.5 then two else 0 end tw from q)
-        select issue_date, paper_a, paper_b, id_a, id_b, round(greatest(one, tw), 6) score, case when tw > one then 'entities' when ct >= 2 and o >= 0.4 then 'words' else 'numbers' end tier from z where round(greatest(one, tw), 6) >= 0.4""",
+        select issue_date, paper_a, paper_b, id_a, id_b, round(greatest(one, tw), 6) score, case when tw > one then 'entities' when ct >= 2 and o >= 0.25 then 'words' else 'numbers' end tier from z where round(greatest(one, tw), 6) >= 0.25""",
     "j12_cooccurrence": _M + " select x.name source, y.name target, count(*) weight, round(avg((x.salience + y.salience) / 2), 6) avg_salience from m_ x join m_ y using (article_id) where x.name < y.name group by 1, 2",
     "j14_two_hop": _M + """, ro as (select article_id, issue_date from dated_articles where headline ilike '%market%' or headline ilike '%price%'), fo as (select name from m_ join ro using (article_id) where salience >= 0.5 group by 1 order by max(salience) desc, name limit 8)
         select article_id, issue_date, newspaper from dated_articles where article_id in (select article_id from m_ where salience >= 0.4 and name in (select name from fo)) and article_id not in (select article_id from ro) and issue_date between (select min(issue_date) from ro) and (select max(issue_date) from ro) order by issue_date, article_id limit 20""",

@@ -130,3 +130,6 @@ ORACLE = {
     "st03_sessions": "with a as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end n from events), b as (select *, sum(n) over (partition by user_id order by ts rows unbounded preceding) g from a) select user_id, min(ts) as start, count(*) events from b group by user_id, g",
     "st04_rate_limit": "select user_id, date_trunc('hour', ts) as start, count(*) requests from events group by 1, 2 having count(*) > 1",
 }
+ORACLE["st05_lockouts"] = """with recursive e as (select user_id, epoch_us(ts) us, row_number() over (partition by user_id order by ts) n from events where event_type = 'error'),
+    r as (select user_id, n, us, us held, false locked from e where n = 1 union all select e.user_id, e.n, e.us, case when r.held > e.us - 86400000000 then null else e.us end, coalesce(r.held > e.us - 86400000000, false) from r join e on e.user_id = r.user_id and e.n = r.n + 1)
+    select user_id, us locked_us from r where locked"""
