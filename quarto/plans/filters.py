@@ -22,6 +22,7 @@ class Filters:
     section: str | None = None
     article_type: str | None = None
     page: int | None = None
+    words: tuple[str, ...] = ()
 
 
 def contains_ci(c: str | Column, text: str) -> Column:

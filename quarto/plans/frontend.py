@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import calendar
 import re
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 from quarto.operators import analytics as A
+from quarto.operators import enrichment as V
 from quarto.operators import stories as S
 from quarto.plans.filters import Filters, iso, page_numbers
 from quarto.sources.archive import Archive
@@ -23,6 +26,16 @@ STATISTICS = r"\b(?:mean|median|average|correlat\w*|regression|variance|std|stan
 COUNT = r"\b(?:how many|count|number of|total|volume of)\b"
 
 
+# Words of a question that name no content.
+QUESTION_WORDS = frozenset("what which who when where how many much does did do is are was were the a an of in on at for to and or from by with about show list give tell me timeline history evolution network graph related connected photos photo pictures picture images image charts chart articles article stories story newspaper newspapers paper papers page pages issue issues".split())
+
+
+def content_words(text: str, papers: list[str]) -> list[str]:
+    """Words of a question that name content: longer ones without dates, question words and names of papers, in order."""
+    bare = re.sub("|".join(re.escape(p) for p in papers) or r"(?!)", " ", text, flags=re.I)
+    return list(dict.fromkeys(w for w in re.findall(r"[^\W\d_]{3,}", bare) if w.lower() not in QUESTION_WORDS and w.lower() not in MONTHS))
+
+
 @dataclass
 class QuerySpec:
     """Q1: what a question names."""
@@ -40,7 +53,7 @@ class QuerySpec:
     shared: bool = False
 
     def filters(self) -> Filters:
-        return Filters(newspaper=self.papers[0] if self.papers else None, issue_date=self.dates[0] if len(self.dates) == 1 else None, date_from=self.date_from, date_to=self.date_to, section=self.section, page=self.pages[0] if len(self.pages) == 1 else None)
+        return Filters(newspaper=self.papers[0] if self.papers else None, issue_date=self.dates[0] if len(self.dates) == 1 else None, date_from=self.date_from, date_to=self.date_to, section=self.section, page=self.pages[0] if len(self.pages) == 1 else None, words=tuple(content_words(self.text, self.papers)))
 
 
 def parse(text: str, papers: list[str], sections: list[str], year: int | None = None) -> QuerySpec:
@@ -118,6 +131,7 @@ ROUTINES = {
     "availability": lambda ar, f: A.availability(ar), "count_articles": A.count_articles, "list_articles": A.list_articles, "count_ads": A.count_ads, "count_issues": A.count_issues, "issue_manifest": A.issue_manifest, "visual_counts": lambda ar, f: A.visual_counts(ar),
     "page_leads": lambda ar, f: A.page_leads(ar), "statistics": lambda ar, f: A.section_word_stats(ar), "topic_distribution": lambda ar, f: A.topic_distribution(ar, f.newspaper_id), "front_page_ratio": lambda ar, f: A.front_page_ratio(ar, f.newspaper_id),
     "shared_coverage": lambda ar, f: S.shared_stories(ar), "coverage_difference": lambda ar, f: S.exclusive_stories(ar), "roster": lambda ar, f: A.newspaper_roster(ar),
+    "visuals": lambda ar, f: V.visual_assets(ar, f.words or ["the"]), "timeline": lambda ar, f: S.timeline(ar, list(f.words)), "entity_graph": lambda ar, f: S.entity_graph(ar, f.words[0] if f.words else ""), "entity_search": lambda ar, f: S.entity_search(ar, list(f.words)),
 }
 ALIASES = {"issue_summary": "issue_manifest", "issue_articles": "issue_manifest", "shared_articles": "shared_coverage", "coverage_diff": "coverage_difference", "section_distribution": "topic_distribution", "frontpage_ratio": "front_page_ratio", "search": "list_articles", "volume": "count_issues"}
 
@@ -242,6 +256,80 @@ def follow_up(text: str, before: QuerySpec | None, papers: list[str], sections:
     return q
 
 
+def plan_steps(q: QuerySpec) -> list[tuple[str, Filters]]:
+    """Q4, Q5: the routines that a question takes, best first: the one decided on, what its form asks besides, and a search where nothing is counted."""
+    first, _ = decide(q)
+    steps = [] if first == "none" else [(first, q.filters())]
+    low = q.text.lower()
+    if len(q.papers) >= 2 and first not in ("coverage_difference", "shared_coverage"):
+        steps.append(("shared_coverage", q.filters()))
+    if re.search(r"\b(?:first|lead|top|front)\b", low):
+        steps.append(("page_leads", q.filters()))
+    if q.dates and first not in ("issue_manifest", "availability"):
+        steps.append(("issue_manifest", q.filters()))
+    if first != "none" and not re.search(COUNT, low):
+        steps.append(("search", q.filters()))
+    return dedupe_calls(steps)
+
+
+def run_steps(ar: Archive, steps: list[tuple[str, Filters]], workers: int = 4) -> list[dict]:
+    """Q16: the evidence of every step, run side by side: routine, rows (``evidence_rows``, a bounded number), seconds, error; a step that fails leaves the others alone."""
+
+    def one(step: tuple[str, Filters]) -> dict:
+        began, out = time.monotonic(), {"routine": step[0], "rows": [], "error": None}
+        try:
+            out["rows"] = [r.asDict() for r in V.evidence_rows(step[0], run(ar, *step)).collect()]
+        except Exception as e:  # noqa: BLE001 - the failure is the result
+            out["error"] = f"{type(e).__name__}: {str(e)[:200]}"
+        return out | {"seconds": round(time.monotonic() - began, 3)}
+
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(one, steps))
+
+
+def evidence_label(row: dict) -> str:
+    """Q19: ``quantity`` for a row that counts, ``structure`` for a summary or manifest, else ``text``."""
+    if any(isinstance(v, (int, float)) and not isinstance(v, bool) and re.search(r"count|articles|issues|total|number|ratio|^n_", k) for k, v in row.items()):
+        return "quantity"
+    return "structure" if row.get("article_id") == 0 or row.get("routine") in ("issue_manifest", "page_leads", "availability") else "text"
+
+
+def recovery(q: QuerySpec, gaps: list[str]) -> list[tuple[str, Filters]]:
+    """Q20: what to run where evidence is lacking: the statistics for a missing quantity, else a search for the first capitalised name, else a wider search."""
+    if not gaps:
+        return []
+    if "no_quantity" in gaps:
+        return [("statistics", q.filters())]
+    bare = re.sub("|".join(re.escape(p) for p in q.papers) or r"(?!)", " ", q.text, flags=re.I)
+    names = [m for m in re.findall(r"(?<!^)\b[A-Z][\w'’-]+(?:\s+[A-Z][\w'’-]+)*", bare) if m.lower() not in MONTHS]
+    if names:
+        return [("entity_search", Filters(words=(names[0],)))]
+    return [("search", Filters(newspaper=q.papers[0] if q.papers else None))]
+
+
+def next_stage(stage: str, gaps: list[str], cycles: int) -> str:
+    """Q21: the stage that follows: evidence that lacks something is recovered once, then the answer is written whatever it holds."""
+    after = {"parse": "plan", "plan": "run", "run": "evaluate", "recover": "evaluate", "answer": "done"}
+    return after.get(stage) or ("recover" if gaps and cycles < 1 else "answer")
+
+
+@dataclass
+class Budget:
+    """Q22: what a query may cost, and how many words its answer may have."""
+
+    most: float = 0.50
+    spent: float = 0.0
+
+    def charge(self, cost: float) -> None:
+        if self.spent + cost > self.most:
+            raise RuntimeError(f"budget of {self.most} exceeded")
+        self.spent += cost
+
+    @staticmethod
+    def answer_words(rows: int, archetype: str) -> int:
+        return min(1200, {"quantitative": 120, "conversation": 60}.get(archetype, 250) + 25 * rows)
+
+
 QUESTIONS = [
     "How many articles did Ostelby Ledger publish between 2024-01-01 and 2024-12-31 on page 15?",
     "What stories in Ostelby Ledger are shared with Ostelby Herald on 15 February 2024?",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from util import frame
 
 from quarto.functions import dates, geometry, text
-from quarto.operators import analytics, layout, mutations, orphans, retrieval, stories
+from quarto.operators import analytics, enrichment, layout, mutations, orphans, retrieval, stories
 from quarto.plans import filters, frontend, graph
 from quarto.sources.archive import Archive
 
@@ -439,3 +439,64 @@ def test_nulls_everywhere(spark):
     d = frame(spark, [(None, None)], "a string, b string")
     for c in (text.substantive_tokens(F.col("a")), text.numeric_anchors(F.col("a")), text.repair_ligatures(F.col("a")), text.sanitize_block(F.col("a")), text.is_ad(F.col("a")), text.summary(F.col("a"), F.col("b")), text.is_gibberish(F.col("a")), text.clean_headline(F.col("a"), F.col("b"), F.col("b"))):
         d.select(c.alias("x")).collect()
+
+
+# filters, evidence, repair
+
+
+def test_payload_filter(spark):
+    import json as j
+
+    rows = [(i, j.dumps(x)) for i, x in enumerate([{"d": "2024-03-05", "n": 3, "s": "a"}, {"d": "2024-12-31", "n": 5}, {"d": "2026-01-01"}, {"d": "5/3/2024", "n": "x"}, {}])] + [(9, None), (10, "no json")]
+    df = frame(spark, rows, "i int, p string")
+    ids = lambda f: sorted(r.i for r in df.where(enrichment.payload_filter(F.col("p"), f)).collect())
+    assert ids({"d": {"gte": "2024-03-01", "lte": "2024-12-31"}}) == [0, 1] and ids({"d": {"gte": "2024-06-01"}}) == [1, 2] and ids({"d": {"gte": "2020-01-01", "lt": "2026-01-01"}}) == [0, 1]
+    assert ids({"n": {"gt": 3}}) == [1] and ids({"n": {"gte": 3, "lte": 3}}) == [0] and ids({"s": "a"}) == [0] and len(ids({})) == 7 and ids({"d": {"gte": "2024-03-05", "lte": "2024-03-05"}}) == [0]
+
+
+def test_category_gate(spark):
+    df = frame(spark, [("courts & inquests", "news"), ("farm & weather", "editorial"), ("", None)], "m string, t string")
+    ids = lambda w: [r.m for r in df.where(enrichment.category_gate(w, F.col("m"), F.col("t"))).collect()]
+    assert ids("Crime/Law") == ["courts & inquests"] and ids("Opinion") == ["farm & weather"] and ids("the farm and field") == ["farm & weather"] and ids("sport") == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('{"a": 1}', {"a": 1}), ('<think>{"x": 2}</think>```json\n{"a": [1, 2,], }\n```', {"a": [1, 2]}), ('Here: {"a": {"b": "x}y", "c": "cut o', {"a": {"b": "x}y"}}), ('{"a": 1, "b": [1, 2, {"c": 3', {"a": 1, "b": [1, 2, {"c": 3}]}), ('{"a": "q\\"{", "b', {"a": 'q"{'}), ("no object", None), ("", None), (None, None), ("[1, 2]", None),
+    ],
+)
+def test_repaired_json(text, want):
+    import json as j
+
+    got = enrichment.repaired_json(text)
+    assert (got and j.loads(got)) == want
+
+
+def test_bulk_links_keep_what_is_there(spark):
+    old, new = frame(spark, [(1, "a", 0.2)], "k int, n string, c double"), frame(spark, [(1, "a", 0.9), (2, "b", 0.4), (2, "b", 0.3), (2, None, 0.1)], "k int, n string, c double")
+    assert sorted(map(tuple, enrichment.bulk_links(old, new, ["k", "n"]).collect()), key=str) == [(1, "a", 0.2), (2, "b", 0.3), (2, None, 0.1)]
+
+
+def test_answers_without_repeats(spark):
+    t = "<think>no</think>- one\n- two\nplain\nplain\n- one\n* one"
+    assert one(spark, enrichment.without_repeats(F.lit(t))) == "- one\n- two\nplain\nplain\n* one" and one(spark, enrichment.open_fragment(F.lit("A vote for the"))) and not one(spark, enrichment.open_fragment(F.lit("A vote")))
+
+
+def test_steps_of_a_question(spark):
+    papers = ["Ostelby Ledger", "Ostelby Herald"]
+    q = frontend.parse("Show the timeline of Harbour Bridge in Ostelby Ledger", papers, [])
+    steps = frontend.plan_steps(q)
+    assert [s for s, _ in steps] == ["timeline", "list_articles"] and "Harbour" in steps[0][1].words
+    ar = Archive(spark, "/root/testdata/sf0.001")
+    got = frontend.run_steps(ar, [("roster", q.filters()), ("no such routine", q.filters())])
+    assert got[0]["error"] is None and got[0]["rows"][0]["article_id"] == 0 and len(got[0]["rows"]) == 31 and got[1]["error"] and got[1]["rows"] == []
+    assert frontend.recovery(q, ["no_evidence"])[0] == ("entity_search", filters.Filters(words=("Harbour Bridge",))) and frontend.recovery(q, []) == [] and frontend.recovery(q, ["no_quantity"])[0][0] == "statistics"
+    assert [frontend.next_stage("evaluate", ["x"], n) for n in (0, 1)] == ["recover", "answer"] and frontend.next_stage("run", [], 0) == "evaluate"
+    assert frontend.evidence_label({"articles": 3}) == "quantity" and frontend.evidence_label({"article_id": 0}) == "structure" and frontend.evidence_label({"headline": "x"}) == "text"
+    b = frontend.Budget()
+    b.charge(0.4)
+    with pytest.raises(RuntimeError):
+        b.charge(0.2)
+    for routine in ("visuals", "timeline", "entity_graph"):
+        frontend.run(ar, routine, q.filters()).collect()
