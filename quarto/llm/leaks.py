@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,16 +223,15 @@ def _decode(codes: np.ndarray) -> str:
     return codes.tobytes().decode("utf-32-le", "surrogatepass")
 
 
-_built: dict[tuple, PassageIndex] = {}
+_built: dict[str, PassageIndex] = {}
 
 
-def _index(shared, q: int) -> PassageIndex:
-    """The worker's index of the broadcast items, built once."""
-    key = (getattr(shared, "id", id(shared)), q)
-    if key not in _built:
+def _index(mark: str, shared, q: int) -> PassageIndex:
+    """The worker's index of the broadcast items, built once; ``mark`` is the broadcast's own."""
+    if mark not in _built:
         _built.clear()
-        _built[key] = PassageIndex([k for k, _ in shared.value], [t for _, t in shared.value], q)
-    return _built[key]
+        _built[mark] = PassageIndex([k for k, _ in shared.value], [t for _, t in shared.value], q)
+    return _built[mark]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, edits: int = 0) -> DataFrame:
@@ -257,8 +257,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
         mine = sorted((r.k, r.t) for r in rows.where(F.col("b") == block).collect())
         shared = spark.sparkContext.broadcast(mine)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = _index(shared, q)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, mark=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _index(mark, shared, q)
             for b in batches:
                 keys, texts, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
                 step: list[str] = []
