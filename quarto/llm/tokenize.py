@@ -18,6 +18,7 @@ emits the arc labels.
 from __future__ import annotations
 
 import json
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
@@ -212,15 +213,15 @@ class Automaton:
         return b"".join(self.labels[i] for i in ids).decode("utf-8", "replace")
 
 
-_built: dict[int, Automaton] = {}
+_built: dict[str, Automaton] = {}
 
 
-def _automaton(shared) -> Automaton:
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _built:
+def _automaton(mark: str, shared) -> Automaton:
+    """The worker's automaton, built once; ``mark`` is the broadcast's own."""
+    if mark not in _built:
         _built.clear()
-        _built[key] = Automaton(shared.value)
-    return _built[key]
+        _built[mark] = Automaton(shared.value)
+    return _built[mark]
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER_PATH) -> DataFrame:
@@ -231,11 +232,11 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     size is fixed by the tokenizer, not by the data.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(compile_merges(path))
+    shared, mark = spark.sparkContext.broadcast(compile_merges(path)), uuid.uuid4().hex
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _automaton(shared).encode
+        encode = _automaton(mark, shared).encode
         for b in batches:
             lists = [encode(t) for t in b.column(1).to_pylist()]
             offsets = np.zeros(len(lists) + 1, np.int32)
@@ -248,11 +249,11 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
 
 def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = TOKENIZER_PATH) -> DataFrame:
     """(key, text): the text of each list of ids; a null list gives null."""
-    shared = df.sparkSession.sparkContext.broadcast(compile_merges(path))
+    shared, mark = df.sparkSession.sparkContext.broadcast(compile_merges(path)), uuid.uuid4().hex
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = _automaton(shared).decode
+        decode = _automaton(mark, shared).decode
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else decode(x) for x in b.column(1).to_pylist()], pa.string())], names=[key, "text"])
 
