@@ -209,12 +209,15 @@ def near_links(units: DataFrame) -> DataFrame:
     units = units.where("same is not null")
     heads = units.groupBy("src", "same").agg(F.min(F.struct("uid", "shingles")).alias("x"), F.count("*").alias("n"))
     heads = written(heads.select("src", "same", "x.uid", "x.shingles", "n"))
-    equal = units.join(heads.where("n > 1").select("src", "same", F.col("uid").alias("head")), ["src", "same"]).where("uid <> head").select("uid", "head")
+    # small tables are written, so that their size is known and large sides need not be shuffled to meet them
+    shared = written(heads.where("n > 1").select("src", "same", F.col("uid").alias("head")))
+    equal = units.select("src", "same", "uid").join(shared, ["src", "same"]).where("uid <> head").select("uid", "head")
     slots = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = heads.select("uid", "src", "shingles").mapInArrow(_buckets, "uid long, bucket long").repartition(slots, "bucket")
     full = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.when(F.col("n") > TASK_SETS, F.ceil(F.col("n") / (TASK_SETS // 2))).otherwise(1).cast("int")
-    filled = rows.join(full.select("bucket", blocks.alias("blocks")), "bucket").join(heads.select("uid", "shingles"), "uid")
+    filled = written(rows.join(full.select("bucket", blocks.alias("blocks")), "bucket"))
+    filled = filled.join(heads.select("uid", "shingles"), "uid")
     filled = filled.withColumn("block", F.pmod("uid", "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     filled = filled.select("uid", "shingles", "bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     return filled.groupBy("bucket", "i", "j").applyInArrow(_alike, "uid long, head long").unionAll(equal).distinct()
@@ -237,13 +240,13 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str, min_docs: in
     units = per_doc.groupBy("h1", "h2", "src").agg(F.count("*").alias("unit_docs"), F.max("line").alias("line"))
     units = units.select("h1", "h2", F.xxhash64("h1", "h2").alias("uid"), "src", "unit_docs", "line")
     units = written(units.mapInArrow(_shingled, "h1 long, h2 long, uid long, src long, unit_docs long, same long, shingles array<int>"))
-    parts = connected_components(near_links(units.select("uid", "src", "same", "shingles")), "uid", "head").withColumnRenamed("node", "uid").checkpoint()
+    parts = written(connected_components(near_links(units.select("uid", "src", "same", "shingles")), "uid", "head").withColumnRenamed("node", "uid"))
     together = places.select("doc", F.xxhash64("h1", "h2").alias("uid")).join(parts, "uid").select("component", "doc").distinct().groupBy("component").agg(F.count("*").alias("docs"))
     # units without a near-duplicate that are rare by themselves are gone before they are joined
     sizes = units.select("h1", "h2", "uid", "unit_docs")
     linked = sizes.join(parts, "uid").join(together.where(F.col("docs") >= min_docs), "component").select("h1", "h2", "unit_docs", F.col("docs").alias("cluster_docs"))
     alone = sizes.where(F.col("unit_docs") >= min_docs).join(parts, "uid", "left_anti").select("h1", "h2", "unit_docs", F.col("unit_docs").alias("cluster_docs"))
-    return places.join(linked.unionAll(alone), ["h1", "h2"]).select("doc", "line_no", "unit_docs", "cluster_docs").dropDuplicates(["doc", "line_no"])
+    return places.join(written(linked.unionAll(alone)), ["h1", "h2"]).select("doc", "line_no", "unit_docs", "cluster_docs").dropDuplicates(["doc", "line_no"])
 
 
 def without_repeated(df: DataFrame, doc: str, source: str, text: str, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
