@@ -205,7 +205,8 @@ def fitted_kinds(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """The model fitted on LABELS labelled documents at most; documents without words, other labels and contradicting ones are left out."""
     few = labels.where(F.col("kind").isin(*KINDS) & F.col(key).isNotNull()).groupBy(key).agg(F.min("kind").alias("label"), F.max("kind").alias("other"))
     few = sampled(few.where("label = other").select(key, "label"), key, LABELS)
-    known = quality_statistics(docs.join(few.select(key), key, "left_semi").select(key, text), key, text).where("words > 0").dropDuplicates([key])
+    # LABELS keys at most are broadcast
+    known = quality_statistics(docs.join(F.broadcast(few.select(key)), key, "left_semi").select(key, text), key, text).where("words > 0").dropDuplicates([key])
     rows = known.join(few, key).select(*(n for n, _ in STATS), "label").orderBy(F.xxhash64(key), key).collect()
     return fit_kinds([tuple(r)[:-1] for r in rows], [r["label"] for r in rows])
 
