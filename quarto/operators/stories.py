@@ -11,6 +11,7 @@ from quarto.functions.dates import window_around
 from quarto.operators.documents import mentions
 from quarto.operators.retrieval import bm25_scores, tokens
 from quarto.plans.filters import contains_ci, label
+from quarto.session import written
 from quarto.sources.archive import READY, SQL, Archive
 
 # Headlines that are no stories.
@@ -89,7 +90,7 @@ def entity_graph(ar: Archive, name: str, depth: int = 2, top: int = 15, least: i
     the graph of old counted articles again at each hop. The frontier is the
     only thing that reaches the driver, ``top`` names at most.
     """
-    m = mentions(ar).cache()
+    m = written(mentions(ar))  # read by every hop
     frontier = [r["name"] for r in m.where(contains_ci("name", name)).select("name").distinct().orderBy("name").limit(5).collect()]
     seen, touched = list(frontier), None
     for _ in range(min(depth, 3)):

@@ -500,3 +500,32 @@ def test_steps_of_a_question(spark):
         b.charge(0.2)
     for routine in ("visuals", "timeline", "entity_graph"):
         frontend.run(ar, routine, q.filters()).collect()
+
+
+def test_domains():
+    from quarto.plans.domains import domain_of
+
+    assert domain_of("Which court verdicts were reported?") == "Crime & Law" and domain_of("compare business and cricket news") is None and domain_of("top stories about cricket") is None and domain_of("hello") is None
+
+
+def test_hooks(spark):
+    from quarto.operators import hooks as H
+
+    ar = Archive(spark, "/root/testdata/sf0.001")
+    fake = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    rows = frame(spark, [(i, "x" * i) for i in range(150)] + [(200, None)], "id long, text string")
+    got = {r.id: r.vector for r in H.embedded(rows, "id", "text", fake).collect()}
+    assert len(got) == 149 and got[7] == [7.0, 1.0]
+    issue = ar.articles.select("issue_id").join(ar.issues.select(F.col("id").alias("issue_id")), "issue_id").first()[0]
+    assert 0 < H.reembedded(ar, fake, issue).count() == H.reembedded(ar, fake, issue, dry_run=True).count() < H.reembedded(ar, fake, dry_run=True).count()
+    assert {k: d.count() for k, d in H.by_dimension(frame(spark, [([1.0],), ([1.0, 2.0],), (None,)], "vector array<float>"), {1: "a", 2: "b"}).items()} == {"a": 1, "b": 1}
+    pairs = frame(spark, [("q", 1, "a", "b"), ("q", 2, "a", "ccc")], "query_id string, article_id long, query string, text string")
+    assert {r.article_id: round(r.score, 3) for r in H.cross_reranked(pairs, lambda q, t: [len(x) / 2 for x in t]).collect()} == {1: 0.5, 2: 0.818}
+    answers = frame(spark, [("k", "The harbour council approved it.", "the harbour council approved a budget")], "key string, answer string, context string")
+    assert H.judged(answers).first().faithfulness == H.judged(answers, lambda a: 1 / 0).first().faithfulness == 1.0
+    now = [0.0]
+    b = H.Breaker(lambda: now[0])
+    b.trip(5, "down")
+    assert b.open and b.reason == "down"
+    now[0] = 6
+    assert not b.open
