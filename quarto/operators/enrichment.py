@@ -403,3 +403,34 @@ ORACLE |= {
         x9 as (select *, case when n = 0 then false when header then true when terms >= 3 then true when density >= 0.04 and score >= 3.5 then true when editorial >= 3 and n >= 350 then score >= 6 when n < 50 and ((density >= 0.2 and score >= 2) or (priced and editorial = 0)) then true when n < 250 and score >= 3 then true else score >= 4.5 end is_ad from y9)
         select article_id, regexp_replace(coalesce(headline, ''), '^\\[Advertisement\\]\\s*', '') headline, article_id not in (select article_id from article_chunks where article_id is not null) needs_chunks from x9 where not header and not is_ad""",
 }
+
+
+def boxes_of(c: Column) -> Column:
+    """The boxes in a JSON text: one box as four numbers or as an object with x0, y0, x1, y1, or a list of boxes; none for anything else."""
+    t = F.trim(c)
+    one = F.from_json(t, "array<double>")
+    obj = F.from_json(t, "x0 double, y0 double, x1 double, y1 double")
+    many = F.when(t.rlike(r"^\[\s*\["), F.from_json(t, "array<array<double>>")).when(t.rlike(r"^\[\s*-?\d"), F.array(one)).when(t.startswith("{"), F.array(F.array(obj["x0"], obj["y0"], obj["x1"], obj["y1"])))
+    return F.filter(F.coalesce(many, F.array().cast("array<array<double>>")), lambda b: (F.size(b) == 4) & ~F.exists(b, lambda x: x.isNull()))
+
+
+def json_boxes(ar: Archive) -> DataFrame:
+    """The boxes of page items from three ways of writing them."""
+    b = F.col("bbox")
+    i = layout.page_items(ar).select("item_id", F.when(F.col("item_id") % 3 == 0, F.to_json("bbox")).when(F.col("item_id") % 3 == 1, F.to_json(F.array("bbox", "bbox"))).otherwise(F.to_json(F.struct(*[b[k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]))).alias("j"))
+    x = i.select("item_id", boxes_of(F.col("j")).alias("b"))
+    return x.select("item_id", F.size("b").alias("boxes"), F.col("b")[0][0].alias("x0"), F.col("b")[0][3].alias("y1"))
+
+
+def on_pages(ar: Archive, wanted: list[int], exclude: bool = False) -> DataFrame:
+    """The stories of which a page is among the wanted ones, or none."""
+    p = ar.story_pages.groupBy("article_id").agg(F.collect_set("page_number").alias("pages"))
+    return p.where(pages_overlap("pages", wanted, exclude)).select("article_id")
+
+
+QUERIES |= {"f07_on_pages": _q(on_pages, [2, 3, 15]), "f08_not_on_pages": _q(on_pages, [2, 3, 15], True), "f15_json_boxes": _q(json_boxes)}
+ORACLE |= {
+    "f07_on_pages": SQL + "select distinct article_id from story_pages where page_number in (2, 3, 15)",
+    "f08_not_on_pages": SQL + "select distinct article_id from story_pages where article_id not in (select article_id from story_pages where page_number in (2, 3, 15))",
+    "f15_json_boxes": f"with {_items} select item_id, case when item_id % 3 = 1 then 2 else 1 end boxes, bbox[1] x0, bbox[4] y1 from it",
+}

@@ -276,10 +276,9 @@ def stitched_stories(ar: Archive) -> DataFrame:
 
 
 def box_pairs(ar: Archive) -> DataFrame:
-    """B1: overlap, IoU, track ratio and distance of every two neighbouring stories of a page (by id)."""
+    """B1: overlap, IoU, track ratio and distance of every two stories of a page, the smaller id first; a page has few."""
     s = ar.stories.where(F.size("bbox") >= 4).select("layout_id", "article_id", "bbox")
-    w = Window.partitionBy("layout_id").orderBy("article_id")
-    p = s.withColumn("other_id", F.lead("article_id").over(w)).withColumn("o", F.lead("bbox").over(w)).where("other_id is not null")
+    p = s.join(s.select("layout_id", F.col("article_id").alias("other_id"), F.col("bbox").alias("o")), "layout_id").where("article_id < other_id")
     a, b = F.col("bbox"), F.col("o")
     r = lambda c, n: F.round(c, 6).alias(n)
     return p.select("layout_id", "article_id", "other_id", r(G.h_overlap(a, b), "h_overlap"), r(G.v_overlap(a, b), "v_overlap"), r(G.iou(a, b), "iou"), r(G.track_ratio(a, b), "track_ratio"), r(G.distance(a, b), "distance"), G.contains(a, b).alias("contains"))
@@ -383,8 +382,8 @@ _STITCHED = SQL + r""", w as (select issue_id, article_id id, page_number page,
         arg_min(raw_byline, row(page, id)) filter (raw_byline <> '') byline, array_to_string(list_sort(list_distinct(list(page))), ',') pages, cast(sum(n) as integer) word_count from s3 group by 1, 2""".replace("__WORDS__", "[" + ", ".join(f"'{w}'" for w in T.CONTINUATION_WORDS) + "]")
 _ITEMS = "it as (select distinct * from parsed_items where len(bbox) >= 4)"
 ORACLE = {
-    "b01_box_pairs": SQL + """, s9 as (select layout_id, article_id, bbox a, lead(article_id) over w other_id, lead(bbox) over w b from stories where len(bbox) >= 4 window w as (partition by layout_id order by article_id)),
-        x9 as (select *, greatest(0.0, least(a[3], b[3]) - greatest(a[1], b[1])) h, greatest(0.0, least(a[4], b[4]) - greatest(a[2], b[2])) v, (a[3] - a[1]) * (a[4] - a[2]) aa, (b[3] - b[1]) * (b[4] - b[2]) bb from s9 where other_id is not null)
+    "b01_box_pairs": SQL + """, s9 as (select x.layout_id, x.article_id, x.bbox a, y.article_id other_id, y.bbox b from stories x join stories y on x.layout_id = y.layout_id and x.article_id < y.article_id where len(x.bbox) >= 4 and len(y.bbox) >= 4),
+        x9 as (select *, greatest(0.0, least(a[3], b[3]) - greatest(a[1], b[1])) h, greatest(0.0, least(a[4], b[4]) - greatest(a[2], b[2])) v, (a[3] - a[1]) * (a[4] - a[2]) aa, (b[3] - b[1]) * (b[4] - b[2]) bb from s9)
         select layout_id, article_id, other_id, round(h, 6) h_overlap, round(v, 6) v_overlap, round(case when h * v > 0 then h * v / (aa + bb - h * v) else 0 end, 6) iou, round(case when greatest(a[3] - a[1], b[3] - b[1]) > 0 then h / greatest(a[3] - a[1], b[3] - b[1]) else 0 end, 6) track_ratio,
         round(sqrt(pow(greatest(0.0, b[1] - a[3], a[1] - b[3]), 2) + pow(greatest(0.0, b[2] - a[4], a[2] - b[4]), 2)), 6) distance, a[1] <= b[1] and a[2] <= b[2] and a[3] >= b[3] and a[4] >= b[4] as "contains" from x9""",
     "b02_visual_triage": f"""with {_ITEMS}, v as (select *, bbox[3] - bbox[1] w, bbox[4] - bbox[2] h from it where label in ('picture', 'table'))
