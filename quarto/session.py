@@ -35,11 +35,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the checkpoint folder, which cuts the lineage; smaller than a checkpoint, as columns are compressed."""
+    """The rows as a table in the checkpoint folder, which cuts the lineage; smaller than a checkpoint, as columns are compressed.
+
+    What was shuffled for it is of no more use: a collection on the driver lets
+    Spark remove those files now rather than at some later time.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
