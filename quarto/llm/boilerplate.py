@@ -234,10 +234,11 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str, min_docs: in
     spark = df.sparkSession
     lines = source_lines(df, doc, source, text, min_chars)
     kind = lines.schema["source"].dataType.simpleString()
-    places = written(lines.select("doc", "line_no", *_unit(kind)))
-    # of a line's spellings the greatest stands for it: small letters come after capitals
-    per_doc = lines.select("doc", *_unit(kind), F.xxhash64("source").alias("src"), "line").groupBy("h1", "h2", "src", "doc").agg(F.max("line").alias("line"))
-    units = per_doc.groupBy("h1", "h2", "src").agg(F.count("*").alias("unit_docs"), F.max("line").alias("line"))
+    places = written(lines.select("doc", "line_no", *_unit(kind), F.xxhash64("source").alias("src")))
+    # of a line's spellings the greatest stands for it: small letters come after capitals; documents are counted without their lines, which are shuffled once
+    said = lines.select(*_unit(kind), "line").groupBy("h1", "h2").agg(F.max("line").alias("line"))
+    docs = places.select("h1", "h2", "src", "doc").distinct().groupBy("h1", "h2").agg(F.max("src").alias("src"), F.count("*").alias("unit_docs"))
+    units = said.join(docs, ["h1", "h2"])
     units = units.select("h1", "h2", F.xxhash64("h1", "h2").alias("uid"), "src", "unit_docs", "line")
     units = written(units.mapInArrow(_shingled, "h1 long, h2 long, uid long, src long, unit_docs long, same long, shingles array<int>"))
     parts = written(connected_components(near_links(units.select("uid", "src", "same", "shingles")), "uid", "head").withColumnRenamed("node", "uid"))
