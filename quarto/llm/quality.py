@@ -45,7 +45,7 @@ KINDS = ["prose", "list", "table", "junk"]
 #: Labelled documents that the model is fitted on, by the hash of their key; steps per statistic, lags looked at.
 LABELS, STEPS, LAGS = 20_000, 8, 6
 #: Log-odds that the rule gives its kind before any label, and the weight that holds the model back.
-TRUST, RIDGE, ROUNDS = 3.0, 2.0, 400
+TRUST, RIDGE, ROUNDS = 3.0, 0.5, 400
 
 
 def _periodicity(x: np.ndarray) -> float:
