@@ -434,3 +434,4 @@ ORACLE |= {
     "f08_not_on_pages": SQL + "select distinct article_id from story_pages where article_id not in (select article_id from story_pages where page_number in (2, 3, 15))",
     "f15_json_boxes": f"with {_items} select item_id, case when item_id % 3 = 1 then 2 else 1 end boxes, bbox[1] x0, bbox[4] y1 from it",
 }
+ORACLE["t27_clean_answers"] = SQL + r", l as (select article_id, string_split(trim(regexp_replace(coalesce(full_text, ''), '(?s)<thought>.*?</thought>|<think>.*?</think>', '', 'g')), chr(10)) l from a_) select article_id, array_to_string(list_filter(l, lambda x, i: not (regexp_matches(x, '^\s*[-*•]\s') and list_contains(l[1:i - 1], x))), chr(10)) as text from l"
